@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 SLOTS = 64
 
 
-def partition_sum(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
-    """``add(batch, total)`` adds a batch into a float64 vector of ``size``; returns the vector over all of ``df``."""
+def partition_sum(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndarray], None], combine: Callable = np.add, start: float = 0.0) -> np.ndarray:
+    """``add(batch, total)`` adds a batch into a float64 vector of ``size``; returns the vector over all of ``df``.
+
+    ``combine`` and its neutral element ``start`` may be another reduction than addition.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = np.full(size, start)
         seen = False
         for batch in batches:
             if batch.num_rows:
@@ -26,10 +29,13 @@ def partition_sum(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.nd
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SLOTS]), pa.array([total.tobytes()], pa.binary())], names=["slot", "v"])
 
     def merge(batch: pa.Table) -> pa.Table:
-        total = np.zeros(size)
+        total = np.full(size, start)
         for v in batch.column("v"):
-            total += np.frombuffer(v.as_py())
+            total = combine(total, np.frombuffer(v.as_py()))
         return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
 
     rows = df.mapInArrow(kernel, "slot long, v binary").groupBy("slot").applyInArrow(merge, "v binary").collect()
-    return sum((np.frombuffer(bytes(r.v)) for r in rows), np.zeros(size))
+    total = np.full(size, start)
+    for r in rows:
+        total = combine(total, np.frombuffer(bytes(r.v)))
+    return total
