@@ -187,3 +187,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
 
         docs = docs.mapInArrow(kernel, docs.schema)
     return docs
+
+
+#: :func:`hits` of the tables ``documents`` and ``benchmark``.
+SQL = r"""
+WITH dt AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, regexp_extract_all(text, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS pieces,
+  regexp_extract(text, '^[^\p{L}\p{N}]*') AS head FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + least(8, len(w)) - 1), ' ') AS g, least(8, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(range(1, CAST(len(w) - least(8, len(w)) + 2 AS BIGINT))) AS i FROM b WHERE len(w) >= 4)),
+sizes AS (SELECT DISTINCT n FROM bg),
+dg AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM dt, sizes WHERE len(w) >= n)),
+h AS (SELECT DISTINCT dg.doc_id, dg.i, dg.n, bg.item_id FROM dg JOIN bg ON dg.g = bg.g AND dg.n = bg.n),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM h),
+a AS (SELECT doc_id, list(p) AS ps, count(*) AS covered, count(*) - count(q) AS spans FROM (SELECT c.doc_id, c.p, d.p AS q FROM c LEFT JOIN c d ON c.doc_id = d.doc_id AND c.p = d.p + 1) GROUP BY doc_id),
+it AS (SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT a.doc_id, CASE WHEN covered >= 0.5 * len(w) THEN 'drop' ELSE 'cut' END AS action, CAST(len(w) AS BIGINT) AS n_tokens, CAST(covered AS BIGINT) AS covered_tokens,
+  CAST(spans AS BIGINT) AS n_spans, item_ids,
+  CASE WHEN covered < 0.5 * len(w) THEN head || array_to_string(list_filter(pieces, lambda x, k: NOT list_contains(ps, k)), '') END AS clean_text
+FROM a JOIN dt ON dt.doc_id = a.doc_id JOIN it ON it.doc_id = a.doc_id
+"""

@@ -121,14 +121,15 @@ def top_k(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataF
     file = written(file, "approximations")
     other = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))
     queries = file.select("node", "vec_id", "x", "shard", other.alias("o")).select((F.col("shard") * shards + F.col("o")).alias("cell"), "node", "vec_id", "x")
-    data = file.select("vec_id", "x", "code", "radius", "shard", other.alias("o")).select((F.col("o") * shards + F.col("shard")).alias("cell"), "vec_id", "x", "code", "radius")
+    # new names: grouped by the same column, the sides must not share attributes
+    data = file.select(F.col("vec_id").alias("xid"), F.col("x").alias("y"), "code", "radius", "shard", other.alias("o")).select((F.col("o") * shards + F.col("shard")).alias("cell"), "xid", "y", "code", "radius")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = [("qnode", pa.int64()), ("qid", pa.int64()), ("nid", pa.int64()), ("d2", pa.float64())]
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in kinds})
-        q, x = _vectors(left.column("x"), dim), _vectors(right.column("x"), dim)
-        qid, node, xid = left.column("vec_id").to_numpy(), left.column("node").to_numpy(), right.column("vec_id").to_numpy()
+        q, x = _vectors(left.column("x"), dim), _vectors(right.column("y"), dim)
+        qid, node, xid = left.column("vec_id").to_numpy(), left.column("node").to_numpy(), right.column("xid").to_numpy()
         code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(-1, dim)
         radius, out = right.column("radius").to_numpy().astype(np.float32), []
         for at in range(0, len(q), QUERY_BLOCK):

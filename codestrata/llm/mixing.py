@@ -91,7 +91,7 @@ def mix(docs: DataFrame, budget_tokens: float | None = None, target_entropy: flo
     tokens = [t for _, t in totals]
     budget = float(sum(tokens) if budget_tokens is None else budget_tokens)
     w = weights(tokens, solve(tokens, budget, target_entropy, max_repeats))
-    rows = [(s, t, x, math.floor(x * budget + 0.5), max(1, -(-t // block_tokens))) for (s, t), x in zip(totals, w)]
+    rows = [(s, t, round(x, 9), math.floor(x * budget + 0.5), max(1, -(-t // block_tokens))) for (s, t), x in zip(totals, w)]
     per = F.broadcast(spark.createDataFrame(rows, "s string, total long, weight double, quota long, blocks long"))
     blocks = sized.join(per, "s").groupBy("s", F.pmod("h", "blocks").alias("block")).agg(F.sum("n").alias("size"))
     epoch = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("quota") / F.col("total")) - 1, F.lit(0)).cast("int"))).alias("epoch")
@@ -108,3 +108,36 @@ def mix(docs: DataFrame, budget_tokens: float | None = None, target_entropy: flo
     part = part.where(F.col("quota") > F.col("at")).withColumn("b", F.coalesce(F.sum("n").over(inside), F.lit(0))).where(F.col("at") + F.col("b") < F.col("quota")).drop("b")
     used = whole.unionByName(part)
     return used.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("n").alias("mix_tokens"), F.col("epoch").cast("long").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("at").alias("mix_position"), F.col("o").alias("mix_order"), F.col("weight").alias("mix_weight"))
+
+
+def _bisected(above: str) -> str:
+    """SQL of :func:`solve`'s bisection over the list ``p`` of shares; ``above`` with {a} for the exponent."""
+    mid = "((acc[1] + acc[2]) / 2)"
+    steps = f"list_reduce(list_concat([[0.0::DOUBLE, 1.0::DOUBLE]], list_transform(range({STEPS}), lambda i: [i::DOUBLE, 0.0::DOUBLE])), lambda acc, i: CASE WHEN {above.format(a=mid)} THEN [{mid}, acc[2]] ELSE [acc[1], {mid}] END)[2]"
+    return f"CASE WHEN NOT ({above.format(a='0.0')}) THEN 0.0 WHEN {above.format(a='1.0')} THEN 1.0 ELSE {steps} END"
+
+
+_S = "list_sum(list_transform(p, lambda x: pow(x, {a})))"
+_ENTROPY = _bisected(f"ln({_S}) - {{a}} * list_sum(list_transform(p, lambda x: pow(x, {{a}}) * ln(x))) / {_S} > {TARGET_ENTROPY} * ln(k)")
+_REPEATS = _bisected(f"list_max(list_transform(p, lambda x: pow(x, {{a}}) / x)) / {_S} > {MAX_REPEATS}")
+_MD5 = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+#: :func:`mix` of ``documents(doc_id, text, source)``, without ``text``.
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, text, coalesce(source, '(null)') AS s, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n FROM documents),
+t AS (SELECT *, {_MD5.format("coalesce(CAST(doc_id AS VARCHAR), '(null)') || '|' || n")} AS h FROM d WHERE n > 0),
+tot AS (SELECT s, CAST(sum(n) AS BIGINT) AS total FROM t GROUP BY s),
+f AS (SELECT list(total / budget ORDER BY s) AS p, max(budget) AS budget, count(*) AS k FROM (SELECT s, total, (SELECT sum(total) FROM tot) AS budget FROM tot) q),
+e AS (SELECT p, budget, greatest({_REPEATS}, CASE WHEN k > 1 THEN {_ENTROPY} ELSE 0.0 END) AS a FROM f),
+g AS (SELECT budget, a, {_S.format(a="a")} AS z FROM e),
+per AS (SELECT s, total, pow(total / budget, a) / z AS weight, CAST(floor(pow(total / budget, a) / z * budget + 0.5) AS BIGINT) AS quota,
+  CAST(greatest(1, ceil(total / {BLOCK_TOKENS}.0)) AS BIGINT) AS blocks FROM tot, g),
+b AS (SELECT t.*, h % blocks AS block FROM t JOIN per ON per.s = t.s),
+bl AS (SELECT s, block, CAST(sum(n) AS BIGINT) AS size FROM b GROUP BY s, block),
+w0 AS (SELECT bl.s, block, size, quota, total, weight, unnest(range(CAST(greatest(ceil(quota / total), 1) AS BIGINT))) AS epoch FROM bl JOIN per ON per.s = bl.s),
+w1 AS (SELECT *, epoch * total + coalesce(sum(size) OVER (PARTITION BY s, epoch ORDER BY {_MD5.format("s || '|' || epoch || '|' || block")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w0),
+u AS (SELECT b.doc_id, b.source, b.n, b.block, w1.epoch, w1.pos, w1.weight, w1.quota, {_MD5.format("w1.epoch || '|' || b.h")} AS o, b.h, b.text, b.s FROM b JOIN w1 ON w1.s = b.s AND w1.block = b.block WHERE w1.pos < w1.quota),
+v AS (SELECT *, pos + coalesce(sum(n) OVER (PARTITION BY s, block, epoch ORDER BY o, h, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS here FROM u)
+SELECT doc_id, source, n AS mix_tokens, CAST(epoch AS BIGINT) AS mix_epoch, block AS mix_block, CAST(pos AS BIGINT) AS mix_position, o AS mix_order, round(weight, 9) AS mix_weight
+FROM v WHERE here < quota
+"""

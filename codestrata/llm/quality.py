@@ -104,7 +104,7 @@ class Model:
         return np.column_stack([z, np.ones(len(x))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.beta
+        return np.round(self.features(x) @ self.beta, 9)  # the same for a row in any batch
 
     def probability(self, score: np.ndarray) -> np.ndarray:
         return self.value[np.searchsorted(self.edges, score, side="right")]

@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": exact_topk.SQL, "op8_warc_revisits": warc.SQL, "op9_url_filter": url_filter.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op6_mix": mixing.SQL, "op2_exact_topk": exact_topk.SQL, "op8_warc_revisits": warc.SQL, "op9_url_filter": url_filter.SQL}

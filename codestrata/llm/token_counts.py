@@ -287,7 +287,7 @@ def apply_edits(docs: DataFrame, edits: DataFrame, path: str = VOCABULARY) -> Da
 
     Edits of unknown or null documents are ignored.  One shuffle by ``doc_id`` unless the edits are small.
     """
-    by = edits.groupBy(F.col("doc_id").cast("long").alias("edit_doc")).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long"), F.col("at").cast("long"), F.col("remove").cast("long"), F.col("insert").cast("string")))).alias("e"))
+    by = edits.groupBy(F.col("doc_id").cast("long").alias("edit_doc")).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("seq", "long"), ("at", "long"), ("remove", "long"), ("insert", "string"))]))).alias("e"))
     by = by.select("edit_doc", F.transform("e", lambda x: F.struct(x["at"].alias("at"), x["remove"].alias("remove"), x["insert"].alias("insert"))).alias("edit_list"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return recount(d.join(by, F.col("doc_id") == F.col("edit_doc"), "left"), "edit_list", path)

@@ -8,7 +8,8 @@ URL's own tokens fetch the candidate rules by an equi-join, and only those run t
 Rules without a literal token are candidates for every URL.
 
 The join's strategy is left to the optimiser, which broadcasts the index by its measured size or shuffles by
-token.  Matches are folded map-side, so what is shuffled is a row for each URL, and only the URL column is read.
+token.  Repeated rows are folded first; that shuffle, by page and URL, is the one that the result is grouped by too, and
+only the URL column is read.
 
 An exception outweighs any blocking rule; among rules of a kind the smallest ``rule_id`` is reported.
 
@@ -67,7 +68,7 @@ def compile_rule(pattern: str) -> tuple[str, str, list[str]]:
 def classify(pages: DataFrame, rules: list[tuple[int, str]] = RULES) -> DataFrame:
     """page_id, url, action (``block``, ``allow``, ``none``), rule_id, n_matched of each page."""
     spark = pages.sparkSession
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct()
     tokens = F.array_distinct(F.filter(F.split(F.lower("url"), "[^a-z0-9]+"), lambda t: t != ""))
     compiled = [(i, *compile_rule(p)) for i, p in rules if p]
     literals = sorted({t for *_, ts in compiled for t in ts})
