@@ -2,8 +2,7 @@
 
 Candidates are pairs of fragments that share rare tokens or a winnowed fingerprint; both are equi self-joins whose
 posting lists are cut before the join (that is part of the semantics, and what keeps hot keys from exploding).
-Pairs are scored by Column expressions on maps that carry each token's weight, so a pair is never exploded; only the
-ordered line run of pairs that pass the token score needs Python.
+Only the ordered line run of pairs that pass the token score needs Python.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from codestrata.functions.classify import is_generated_path
 from codestrata.operators.drift import violation
@@ -59,7 +59,9 @@ def rare_pairs(fragments: DataFrame, options: CloneOptions = CloneOptions()) ->
 
 def fingerprint_pairs(fragments: DataFrame, options: CloneOptions = CloneOptions()) -> DataFrame:
     """(a, b) that share a winnowed fingerprint which at most ``max_postings`` fragments have."""
-    d = fragments.select("frag_id", F.explode(winnow(kgrams(F.col("seq"), options.kgram), options.window)).alias("h"))
+    # a column of its own: inside the window's function the hashes would be computed anew for every element
+    hashed = fragments.select("frag_id", kgrams(F.col("seq"), options.kgram).alias("g"))
+    d = hashed.select("frag_id", F.explode(winnow(F.col("g"), options.window)).alias("h"))
     some = d.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, options.max_postings)).select("h")
     return _pairs(d.join(some, "h"), "h").select("a", "b").distinct()
 
@@ -70,32 +72,25 @@ def candidates(fragments: DataFrame, options: CloneOptions = CloneOptions()) ->
     return both.groupBy("a", "b").agg(F.max("shared").alias("shared"))
 
 
-def _jaccard(a: Column, b: Column, weight) -> Column:
-    """Multiset Jaccard of maps token -> (n, idf)."""
-    keys = F.array_union(F.map_keys(a), F.map_keys(b))
-    n = lambda m, k: F.coalesce(F.try_element_at(m, k)["n"], F.lit(0))
-    w = lambda k: weight(F.coalesce(F.try_element_at(a, k)["idf"], F.try_element_at(b, k)["idf"]))
-    total = lambda pick: F.aggregate(keys, F.lit(0.0), lambda acc, k: acc + w(k) * pick(n(a, k), n(b, k)))
-    return F.coalesce(F.try_divide(total(F.least), total(F.greatest)), F.lit(0.0))
-
-
 def _lcs(a: list, b: list) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
-@F.pandas_udf("int")
+    """Length of the longest common subsequence, a bit of an integer for each element of ``a``."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(IntegerType())
 def line_run(a: pd.Series, b: pd.Series) -> pd.Series:  # A22
     return pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([2 * _lcs(list(x), list(y)) / max(1, len(x) + len(y)) for x, y in zip(a, b)], dtype="float64")
 
@@ -106,23 +101,24 @@ def clone_type(a_seq: Column, b_seq: Column, a_raw: Column, b_raw: Column) -> Co
     return F.when(a_seq != b_seq, "STRUCTURAL").when(ids & lits, "MIXED").when(ids, "RENAMED").when(lits, "LITERAL").otherwise("EXACT")
 
 
-def _weighted_bags(fragments: DataFrame) -> DataFrame:
-    """fragments with ``wbag``: token -> (n, idf)."""
-    d = fragments.select("frag_id", F.explode("bag").alias("token", "n")).join(token_stats(fragments).select("token", "idf"), "token")
-    bags = d.groupBy("frag_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("n", "idf")))).alias("wbag"))
-    return fragments.join(bags, "frag_id")
-
-
 def scored(fragments: DataFrame, options: CloneOptions = CloneOptions()) -> DataFrame:
-    """Candidate pairs over the token score, with weighted, plain, line, shared_lines, type and both sides ``x``, ``y``."""
+    """Candidate pairs over the token score, with weighted, plain, line, shared_lines and both sides ``x``, ``y``.
+
+    A multiset Jaccard needs only what a pair has in common besides each side's own sum, so the tokens of a pair
+    meet in one equi-join on fragment and token, whatever the fragments' lengths.
+    """
     ship(fragments.sparkSession)
-    f = _weighted_bags(fragments)
-    keep = [x for x in f.columns if x != "bag"]
-    side = lambda name: f.select(F.col("frag_id").alias("a" if name == "x" else "b"), F.struct(*keep).alias(name))
-    p = candidates(fragments, options).join(side("x"), "a").join(side("y"), "b")
-    p = p.withColumn("weighted", _jaccard(F.col("x.wbag"), F.col("y.wbag"), lambda w: w)).where(F.col("weighted") >= options.min_weighted)
+    found = written(candidates(fragments, options), "candidates")
+    t = written(fragments.select("frag_id", F.explode("bag").alias("token", "n")).join(token_stats(fragments).select("token", "idf"), "token"), "tokens")
+    own = t.groupBy("frag_id").agg(F.sum(F.col("idf") * F.col("n")).alias("w"), F.sum("n").alias("k"))
+    common = found.select("a", "b").join(t.withColumnRenamed("frag_id", "a"), "a").join(t.select(F.col("frag_id").alias("b"), "token", F.col("n").alias("m")), ["b", "token"])
+    common = common.groupBy("a", "b").agg(F.sum(F.col("idf") * F.least("n", "m")).alias("iw"), F.sum(F.least("n", "m")).alias("ik"))
+    p = found.join(common, ["a", "b"]).join(own.toDF("a", "wa", "ka"), "a").join(own.toDF("b", "wb", "kb"), "b")
+    p = p.withColumn("weighted", F.coalesce(F.try_divide(F.col("iw"), F.col("wa") + F.col("wb") - F.col("iw")), F.lit(0.0))).where(F.col("weighted") >= options.min_weighted)
+    p = written(p.select("a", "b", "shared", "weighted", (F.col("ik") / (F.col("ka") + F.col("kb") - F.col("ik"))).alias("plain")), "scored")
+    side = lambda name: fragments.select(F.col("frag_id").alias("a" if name == "x" else "b"), F.struct(*fragments.columns).alias(name))
+    p = p.join(side("x"), "a").join(side("y"), "b")
     both = F.size(F.array_intersect("x.norm_lines", "y.norm_lines"))
-    p = p.withColumn("plain", _jaccard(F.col("x.wbag"), F.col("y.wbag"), lambda w: F.lit(1.0)))
     p = p.withColumn("line", F.when((F.size("x.norm_lines") > 0) & (F.size("y.norm_lines") > 0), both / F.size(F.array_union("x.norm_lines", "y.norm_lines"))).otherwise(0.0))
     return p.withColumn("shared_lines", line_run(F.col("x.norm_line_seq"), F.col("y.norm_line_seq")))
 
@@ -150,7 +146,7 @@ def clone_pairs(fragments: DataFrame, options: CloneOptions = CloneOptions(), ex
     p = p.where("NOT (x.token_count < 20 AND y.token_count < 20) OR weighted >= 0.90")
     frequent = fragments.select("file", F.explode("bag").alias("token", "n")).groupBy("file", "token").agg(F.sum("n").alias("t")).where("t > 10").groupBy("file").agg(F.collect_set("token").alias("hot"))
     p = p.join(frequent.withColumnRenamed("file", "__file"), (F.col("x.file") == F.col("__file")) & (F.col("x.file") == F.col("y.file")), "left")
-    local = F.aggregate(F.filter(F.map_entries("x.wbag"), lambda e: F.array_contains("hot", e["key"])), F.lit(0), lambda acc, e: acc + e["value"]["n"].cast("int"))
+    local = F.aggregate(F.filter(F.map_entries("x.bag"), lambda e: F.array_contains("hot", e["key"])), F.lit(0), lambda acc, e: acc + e["value"].cast("int"))
     idiom = F.col("hot").isNotNull() & (local > F.floor(F.col("x.token_count") / 2))
     return p.withColumn("weighted", F.when(idiom, F.col("weighted") * 0.80).otherwise(F.col("weighted"))).drop("hot", "__file")
 

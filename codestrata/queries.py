@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import classify as c
 from codestrata.operators import clones, code, drift, graph, history, lines, resolve
 from codestrata.options import CloneOptions
+from codestrata.storage import written
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -165,16 +166,10 @@ def graph_metrics(spark, d):
 
 @query(_with(recursive=True) + _REACH + " SELECT dst AS path FROM r WHERE src = (SELECT min(src) FROM cur) UNION SELECT min(src) FROM cur")
 def reachable(spark, d):
-    e = graph_written(base_cur(spark, d)[1])
+    e = written(base_cur(spark, d)[1], "edges")
     return graph.reachable_from(e, e.agg(F.min("src")).first()[0])
 
 
-def graph_written(e: DataFrame) -> DataFrame:
-    from codestrata.storage import written
-
-    return written(e, "edges")
-
-
 _PAIRS = """,
 cp AS (SELECT DISTINCT ma AS a, mb AS b FROM cur WHERE ma <> mb), bp AS (SELECT DISTINCT ma AS a, mb AS b FROM base WHERE ma <> mb),
 ad AS (SELECT c.* FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst WHERE c.ma <> c.mb)"""
@@ -420,8 +415,10 @@ def text_fragments(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where("length(l) > 60")
     seq = F.split(F.lower("l"), " ")
     f = t.select((F.col("doc_id") * 100000 + F.col("i")).alias("frag_id"), F.format_string("doc_%d.cpp", "doc_id").alias("file"), (F.col("i") + 1).cast("int").alias("start_line"), (F.col("i") + 1).cast("int").alias("end_line"), seq.alias("seq"), F.split("l", " ").alias("raw_seq"))
-    n = F.aggregate("seq", F.create_map().cast("map<string,int>"), lambda m, s: F.map_concat(F.map_filter(m, lambda k, v: k != s), F.create_map(s, F.coalesce(F.try_element_at(m, s), F.lit(0)) + 1)))
-    return f.select("frag_id", "file", "start_line", "end_line", F.size("seq").alias("token_count"), F.lit(2).alias("stmts"), n.alias("bag"), "seq", "raw_seq", F.array_distinct("seq").alias("norm_lines"), F.col("seq").alias("norm_line_seq"), clones.diversity(F.col("seq")).alias("diversity"))
+    bag = f.select("frag_id", F.explode("seq").alias("token")).groupBy("frag_id", "token").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    bag = bag.groupBy("frag_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("bag"))
+    f = f.join(bag, "frag_id")
+    return written(f.select("frag_id", "file", "start_line", "end_line", F.size("seq").alias("token_count"), F.lit(2).alias("stmts"), "bag", "seq", "raw_seq", F.array_distinct("seq").alias("norm_lines"), F.col("seq").alias("norm_line_seq"), clones.diversity(F.col("seq")).alias("diversity")), "fragments")
 
 
 _FRAG = """WITH RECURSIVE ln AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
@@ -481,7 +478,7 @@ def path_functions(spark, d):
 
 
 PATHS = [
-    ("src/core/a.cpp", "core"), ("core/a.h", "core"), ("a.h", ""), ("src/a.h", ""), ("src/include/net/x.hpp", "net"), ("third_party/z/a.c", ""), ("src/net/tests/a.cpp", ""), ("lib/EngineTests/a.cpp", ""), ("src/mocks/m.h", ""),
+    ("src/core/a.cpp", "core"), ("core/a.h", "core"), ("a.h", ""), ("src/a.h", ""), ("src/include/net/x.hpp", "net"), ("third_party/z/a.c", ""), ("src/net/tests/a.cpp", ""), ("lib/EngineTests/a.cpp", "EngineTests"), ("src/mocks/m.h", ""),
     ("zlib-1.3.2/z.c", ""), ("app/ui/panel.h", "app"), ("Src/Net/a.h", "Net"), ("build/x.h", ""), ("inc/override_x/a.h", ""),
 ]
 
@@ -602,7 +599,7 @@ def nearest_function_match(spark, d):
 
 
 _BODY = "  int total = 0;\n  for (int i = 0; i < n; ++i) {\n    total += weigh(values[i], i);\n    if (total > limit) {\n      report(total);\n      return clamp(total);\n    }\n  }\n  store(total);\n  return total;\n"
-CLONED = {"src/a.cpp": "int first(int n) {\n" + _BODY + "}\n", "src/b.cpp": "int second(int n) {\n" + _BODY.replace("total", "sum") + "}\n", "src/c.cpp": "int third(int n) {\n  int total = 1;\n  while (n--) { total *= 3; other(total, n); }\n  if (total) { third(n); again(n, n, n); }\n  return more(total) + n * 7 - 1;\n}\n"}
+CLONED = {"src/a.cpp": "int first(int n) {\n" + _BODY + "}\n", "src/b.cpp": "int second(int n) {\n" + _BODY.replace("limit", "bound") + "}\n", "src/c.cpp": "int third(int n) {\n  int total = 1;\n  while (n--) { total *= 3; other(total, n); }\n  if (total) { third(n); again(n, n, n); }\n  return more(total) + n * 7 - 1;\n}\n"}
 
 
 @query(values([("src/a.cpp", 2, 11, "src/b.cpp", 2, 11, 1.0, "RENAMED")], "file_a, start_a, end_a, file_b, start_b, end_b, weighted, type"))
