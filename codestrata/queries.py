@@ -447,7 +447,7 @@ def clone_fingerprint_pairs(spark, d):
 
 
 @query(_FRAG + """, cand AS (SELECT a, b, max(shared) AS shared FROM (SELECT a, b, shared FROM rp UNION ALL SELECT a, b, 2 FROM fp) GROUP BY a, b),
-mx AS (SELECT c.a, c.b, t.token, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM cand c JOIN (SELECT DISTINCT c.a, c.b, k.token FROM cand c JOIN tk k ON k.frag_id IN (c.a, c.b)) t ON t.a = c.a AND t.b = c.b LEFT JOIN tk x ON x.frag_id = c.a AND x.token = t.token LEFT JOIN tk y ON y.frag_id = c.b AND y.token = t.token),
+mx AS (SELECT c.a, c.b, t.token, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM cand c JOIN (SELECT c.a, c.b, k.token FROM cand c JOIN tk k ON k.frag_id = c.a UNION SELECT c.a, c.b, k.token FROM cand c JOIN tk k ON k.frag_id = c.b) t ON t.a = c.a AND t.b = c.b LEFT JOIN tk x ON x.frag_id = c.a AND x.token = t.token LEFT JOIN tk y ON y.frag_id = c.b AND y.token = t.token),
 s AS (SELECT a, b, sum(idf * least(na, nb)) / sum(idf * greatest(na, nb)) AS w, sum(least(na, nb)) / sum(greatest(na, nb)) AS p FROM mx JOIN st ON st.token = mx.token GROUP BY a, b)
 SELECT a, b, round(w, 6) AS weighted, round(p, 6) AS plain FROM s WHERE w >= 0.6""")
 def clone_scores(spark, d):
