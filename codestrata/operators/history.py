@@ -24,8 +24,8 @@ def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return commits, rows.where("added IS NOT NULL AND deleted IS NOT NULL AND NOT contains(path, ' => ')")
 
 
-def growth(changes: DataFrame, newest_first: bool = True) -> DataFrame:
-    """path, net, streak, shrunk: net growth, growing touches in a row from the recent end, any shrink of 50 lines.
+def growth(changes: DataFrame, newest_first: bool = True, shrink: int = 50) -> DataFrame:
+    """path, net, streak, shrunk: net growth, growing touches in a row from the recent end, any shrink of ``shrink`` lines.
 
     ``newest_first=False`` counts the streak from the oldest commit of the window instead.
     """
@@ -33,14 +33,14 @@ def growth(changes: DataFrame, newest_first: bool = True) -> DataFrame:
     w = Window.partitionBy("path").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = changes.groupBy("path", "pos").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.max(F.col("deleted") - F.col("added")).alias("drop"))
     d = d.withColumn("stops", F.sum(F.when(F.col("added") <= F.col("deleted"), 1).otherwise(0)).over(w))
-    return d.groupBy("path").agg(F.sum(F.col("added") - F.col("deleted")).alias("net"), F.count_if(F.col("stops") == 0).alias("streak"), F.bool_or(F.col("drop") >= 50).alias("shrunk"))
+    return d.groupBy("path").agg(F.sum(F.col("added") - F.col("deleted")).alias("net"), F.count_if(F.col("stops") == 0).alias("streak"), F.bool_or(F.col("drop") >= shrink).alias("shrunk"))
 
 
-def god_file_growth(changes: DataFrame, loc: DataFrame, extras: Extras = Extras(), newest_first: bool = True, min_streak: int = 5, percent: int = 30, absolute: int = 300) -> DataFrame:
+def god_file_growth(changes: DataFrame, loc: DataFrame, extras: Extras = Extras(), newest_first: bool = True, min_streak: int = 5, percent: int = 30, absolute: int = 300, shrink: int = 50) -> DataFrame:
     """SIZE.1 over ``loc(path, loc)``: in the top quarter by size, grown by much, touch after touch, never shrunk."""
     own = loc.where(~path_excluded(F.col("path"), extras))
     p75 = own.agg(F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY loc)").alias("p75"))
-    d = own.join(growth(changes, newest_first), "path").crossJoin(F.broadcast(p75))
+    d = own.join(growth(changes, newest_first, shrink), "path").crossJoin(F.broadcast(p75))
     d = d.where((F.col("loc") >= F.col("p75")) & ((F.col("net") >= F.floor(F.col("loc") * percent / 100)) | (F.col("net") >= absolute)) & (F.col("streak") >= min_streak) & ~F.col("shrunk"))
     return violation(d, "SIZE.1.god_file_growth", "path", F.format_string("current %d LOC, net +%d lines, %d consecutive growth commits", "loc", "net", "streak"))
 

@@ -316,14 +316,11 @@ g AS (SELECT path, CAST(sum(added - deleted) AS BIGINT) AS net, count(*) FILTER
 SELECT 'SIZE.1.god_file_growth' AS rule, g.path AS file, 0 AS line, 'current ' || loc || ' LOC, net +' || net || ' lines, ' || streak || ' consecutive growth commits' AS message
 FROM g JOIN loc ON loc.path = g.path, p WHERE loc >= p75 AND (net >= floor(loc * 0.3) OR net >= 300) AND streak >= 2 AND NOT shrunk""")
 def size1_god_file_growth(spark, d):
-    """With the columns swapped so that files do grow; shrinks are halved below the threshold for the same reason."""
+    """With the columns swapped so that files do grow, and a shrink limit that leaves some of them."""
     _, ch = history_tables(spark, d)
     loc = ch.groupBy("path").agg(F.count(F.lit(1)).alias("loc"))
-    grown = ch.select("pos", "path", F.col("deleted").alias("added"), F.least(F.col("added"), F.lit(10**6)).alias("deleted"))
-    g = history.growth(grown)
-    grown = grown.join(g.select("path"), "path")
-    out = history.god_file_growth(grown.withColumn("deleted", F.col("deleted")), loc, min_streak=2)
-    return out
+    grown = ch.select("pos", "path", F.col("deleted").alias("added"), F.col("added").alias("deleted"))
+    return history.god_file_growth(grown, loc, min_streak=2, shrink=5000)
 
 
 @query(_HISTORY + """, t AS (SELECT path, count(*) AS n FROM e WHERE subject = 'fix crash' GROUP BY path), l AS (SELECT CASE WHEN count(*) < 10 THEN max(n) ELSE quantile_disc(n, 0.9) END AS lim FROM t)
