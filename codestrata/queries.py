@@ -7,6 +7,7 @@ commits, lines of documents are code fragments.  Text kernels run on inline sour
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,12 +39,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # -- relations ------------------------------------------------------------------------------------------------------
 
 CUT_OLD, CUT_NEW = "2000-01-01", "2001-06-01"
+LEAST = 49
 
 
-def edge_table(spark: SparkSession, d: str) -> DataFrame:
+def edge_table(spark: SparkSession, d: str, least: int | None = LEAST) -> DataFrame:
+    """Edges of quantities of ``least`` and more; of all if it is None."""
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    e = li.select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_linenumber", F.lead("l_partkey").over(w).alias("next")).where("next IS NOT NULL AND next <> l_partkey AND l_quantity >= 49")
+    e = li.select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_linenumber", F.lead("l_partkey").over(w).alias("next")).where("next IS NOT NULL AND next <> l_partkey" + ("" if least is None else f" AND l_quantity >= {least}"))
     e = e.join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     path = F.format_string("s%d/%s/part_%d.h", "p_size", "p_brand", "p_partkey")
     names = part.select("p_partkey", path.alias("path"))
@@ -51,8 +54,8 @@ def edge_table(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.min("o_orderdate").alias("first_seen"), F.bool_and(F.col("l_discount") >= 0.05).alias("conditional"), F.min("l_linenumber").alias("ordinal"))
 
 
-def base_cur(spark: SparkSession, d: str, cut: str = CUT_OLD) -> tuple[DataFrame, DataFrame]:
-    e = edge_table(spark, d)
+def base_cur(spark: SparkSession, d: str, cut: str = CUT_OLD, least: int | None = LEAST) -> tuple[DataFrame, DataFrame]:
+    e = edge_table(spark, d, least)
     return e.where(F.col("first_seen") < F.lit(cut).cast("timestamp")).drop("first_seen"), e.drop("first_seen")
 
 
@@ -76,32 +79,32 @@ scb AS (SELECT a.src AS path, least(a.src, min(a.dst)) AS scc FROM rb a JOIN rb
 
 
 @query(_with() + " SELECT src, dst, conditional, CAST(ordinal AS BIGINT) AS ordinal FROM cur")
-def merged_edges(spark, d):
+def merged_edges(spark, d, least=LEAST):
     """J2, G1: parallel edges merged, unconditional wins."""
-    e = edge_table(spark, d)
+    e = edge_table(spark, d, least)
     return e.select("src", "dst", "conditional", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query(_with() + " SELECT 'Lakos.GodHeader' AS rule, dst AS file, CAST(0 AS INTEGER) AS line, 'fan-in ' || count(*) || ' exceeds threshold 3' AS message FROM cur GROUP BY dst HAVING count(*) > 3")
-def lakos_god_header(spark, d):
-    return drift.god_headers(base_cur(spark, d)[1], 3)
+def lakos_god_header(spark, d, least=LEAST):
+    return drift.god_headers(base_cur(spark, d, least=least)[1], 3)
 
 
 @query(_with() + " SELECT c.src, c.dst FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst")
-def added_edges(spark, d):
-    return drift.added_edges(*base_cur(spark, d)).select("src", "dst")
+def added_edges(spark, d, least=LEAST):
+    return drift.added_edges(*base_cur(spark, d, least=least)).select("src", "dst")
 
 
 @query(_with() + ", n AS (SELECT src AS p FROM base UNION SELECT dst FROM base) SELECT c.src, c.dst FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst WHERE c.src IN (SELECT p FROM n) AND c.dst IN (SELECT p FROM n)")
-def removed_edges(spark, d):
+def removed_edges(spark, d, least=LEAST):
     """J4 with the snapshots swapped, so that edges do go."""
-    base, cur = base_cur(spark, d)
+    base, cur = base_cur(spark, d, least=least)
     return drift.removed_edges(cur, base).select("src", "dst")
 
 
 @query(_with() + ", n AS (SELECT src AS p FROM base UNION SELECT dst FROM base) SELECT 'DRIFT.1' AS rule, c.src AS file, 0 AS line, 'shortcut edge: ' || c.src || ' -> ' || c.dst AS message FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst WHERE c.src IN (SELECT p FROM n) AND c.dst IN (SELECT p FROM n)")
-def drift1_shortcut_edge(spark, d):
-    return drift.shortcut_edges(*base_cur(spark, d))
+def drift1_shortcut_edge(spark, d, least=LEAST):
+    return drift.shortcut_edges(*base_cur(spark, d, least=least))
 
 
 @query(_with(recursive=True) + _REACH + """,
@@ -110,32 +113,32 @@ best AS (SELECT scc, old_size FROM (SELECT *, row_number() OVER (PARTITION BY sc
 g AS (SELECT sc.scc, count(*) AS size, string_agg(path, ' ' ORDER BY path) AS members FROM sc GROUP BY sc.scc HAVING count(*) > 1)
 SELECT 'DRIFT.2' AS rule, g.scc AS file, 0 AS line, CASE WHEN old_size IS NULL THEN 'new cycle (' || size || ' members): ' ELSE 'cycle grew from ' || old_size || ' to ' || size || ' members: ' END || members AS message
 FROM g LEFT JOIN best ON best.scc = g.scc WHERE coalesce(old_size, 0) < size""")
-def drift2_cycle_growth(spark, d):
-    return drift.cycle_growth(*base_cur(spark, d))
+def drift2_cycle_growth(spark, d, least=LEAST):
+    return drift.cycle_growth(*base_cur(spark, d, least=least))
 
 
 @query(_with(recursive=True) + _REACH + " SELECT path, scc, CAST(count(*) OVER (PARTITION BY scc) AS INTEGER) AS scc_size FROM sc")
-def scc(spark, d):
-    return graph.scc(base_cur(spark, d)[1])
+def scc(spark, d, least=LEAST):
+    return graph.scc(base_cur(spark, d, least=least)[1])
 
 
 @query(SQL["scc"])
-def scc_distributed(spark, d):
+def scc_distributed(spark, d, least=LEAST):
     """The same by the loop that scales out."""
-    return graph.scc(base_cur(spark, d)[1], kernel_edges=0)
+    return graph.scc(base_cur(spark, d, least=least)[1], kernel_edges=0)
 
 
 @query(_with(recursive=True) + _REACH + """ SELECT count(DISTINCT scc) AS total, CAST((SELECT count(*) FROM (SELECT scc FROM sc GROUP BY scc HAVING count(*) > 1)) AS BIGINT) AS cyclic,
 CAST((SELECT max(k) FROM (SELECT count(*) AS k FROM sc GROUP BY scc)) AS BIGINT) AS largest FROM sc""")
-def scc_stats(spark, d):
-    return graph.scc_stats(base_cur(spark, d)[1])
+def scc_stats(spark, d, least=LEAST):
+    return graph.scc_stats(base_cur(spark, d, least=least)[1])
 
 
 @query(_with(recursive=True) + _REACH + """,
 q AS (SELECT scc, bool_and(conditional) AS quiet FROM cur JOIN sc ON sc.path = cur.src JOIN (SELECT path AS p2, scc AS s2 FROM sc) t ON t.p2 = cur.dst AND t.s2 = sc.scc GROUP BY scc)
 SELECT 'SF.9' AS rule, sc.scc AS file FROM sc JOIN q ON q.scc = sc.scc WHERE NOT quiet GROUP BY sc.scc HAVING count(*) > 1""")
-def sf9_cycles(spark, d):
-    return drift.cycles(base_cur(spark, d)[1]).select("rule", "file")
+def sf9_cycles(spark, d, least=LEAST):
+    return drift.cycles(base_cur(spark, d, least=least)[1]).select("rule", "file")
 
 
 def _depth_sql() -> str:
@@ -146,27 +149,27 @@ depth AS (SELECT u, max(n) AS n FROM p GROUP BY u)"""
 
 
 @query(_depth_sql() + " SELECT path, CAST(n AS INTEGER) AS depth FROM sc JOIN depth ON u = scc")
-def include_depths(spark, d):
-    return graph.depths(base_cur(spark, d)[1])
+def include_depths(spark, d, least=LEAST):
+    return graph.depths(base_cur(spark, d, least=least)[1])
 
 
 @query(_depth_sql() + " SELECT 'Lakos.ChainLength' AS rule, path AS file, 0 AS line, 'include depth ' || n || ' exceeds threshold 10' AS message FROM sc JOIN depth ON u = scc WHERE n > 10")
-def lakos_chain_length(spark, d):
-    return drift.chain_length(base_cur(spark, d)[1])
+def lakos_chain_length(spark, d, least=LEAST):
+    return drift.chain_length(base_cur(spark, d, least=least)[1])
 
 
 @query(_depth_sql() + """,
 f AS (SELECT dst, count(*) AS k FROM cur GROUP BY dst), x AS (SELECT n.path, count(r.dst) + CASE WHEN bool_or(r.dst = n.path) THEN 0 ELSE 1 END AS reach FROM nodes n LEFT JOIN r ON r.src = n.path GROUP BY n.path),
 t AS (SELECT count(*) AS node_count, CAST(sum(reach) AS BIGINT) AS ccd FROM x)
 SELECT node_count, CAST((SELECT max(n) FROM depth) AS BIGINT) AS max_chain_length, (SELECT max(k) FROM f) AS max_fan_in, ccd, round(ccd / node_count, 6) AS acd, round(ccd / node_count / log2(node_count + 1), 6) AS nccd FROM t""")
-def graph_metrics(spark, d):
-    m = graph.metrics(base_cur(spark, d)[1])
+def graph_metrics(spark, d, least=LEAST):
+    m = graph.metrics(base_cur(spark, d, least=least)[1])
     return m.withColumns({"acd": F.round("acd", 6), "nccd": F.round("nccd", 6)})
 
 
 @query(_with(recursive=True) + _REACH + " SELECT dst AS path FROM r WHERE src = (SELECT min(src) FROM cur) UNION SELECT min(src) FROM cur")
-def reachable(spark, d):
-    e = written(base_cur(spark, d)[1], "edges")
+def reachable(spark, d, least=LEAST):
+    e = written(base_cur(spark, d, least=least)[1], "edges")
     return graph.reachable_from(e, e.agg(F.min("src")).first()[0])
 
 
@@ -179,8 +182,8 @@ ad AS (SELECT c.* FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst
 k AS (SELECT least(ma, mb) AS x, greatest(ma, mb) AS y, src, dst, ma, mb, row_number() OVER (PARTITION BY least(ma, mb), greatest(ma, mb) ORDER BY src, dst) AS n FROM ad
   WHERE (mb, ma) IN (SELECT (a, b) FROM cp) AND NOT ((ma, mb) IN (SELECT (a, b) FROM bp) AND (mb, ma) IN (SELECT (a, b) FROM bp)) AND (dst, src) NOT IN (SELECT (src, dst) FROM cur))
 SELECT 'DRIFT.3' AS rule, src AS file, 0 AS line, 'bidirectional module coupling: ''' || ma || ''' <-> ''' || mb || ''' (modules now depend on each other; was not mutual in baseline)' AS message FROM k WHERE n = 1""")
-def drift3_bidirectional_coupling(spark, d):
-    return drift.bidirectional_coupling(*base_cur(spark, d, CUT_NEW))
+def drift3_bidirectional_coupling(spark, d, least=LEAST):
+    return drift.bidirectional_coupling(*base_cur(spark, d, CUT_NEW, least))
 
 
 _MODULES = """,
@@ -190,8 +193,8 @@ sh AS (SELECT module FROM mm, lim WHERE most > 0 AND fid > floor(0.5 * most) AND
 
 
 @query(_with(CUT_NEW) + _PAIRS + _MODULES + " SELECT module, fid, fod, round(fod / (fid + fod), 6) AS instability, module IN (SELECT module FROM sh) AS shared FROM mm")
-def module_metrics(spark, d):
-    m = graph.module_metrics(base_cur(spark, d, CUT_NEW)[0])
+def module_metrics(spark, d, least=LEAST):
+    m = graph.module_metrics(base_cur(spark, d, CUT_NEW, least)[0])
     s = graph.shared_modules(m).withColumn("shared", F.lit(True))
     return m.join(s, "module", "left").select("module", "fid", "fod", F.round("instability", 6).alias("instability"), F.coalesce("shared", F.lit(False)).alias("shared"))
 
@@ -206,25 +209,25 @@ SELECT CASE WHEN back THEN 'DRIFT.4.CYCLE' WHEN ib > ia + 0.10 THEN 'DRIFT.4.SDP
 
 
 @query(_lateral(150))
-def drift4_lateral_dependency(spark, d):
-    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW))
+def drift4_lateral_dependency(spark, d, least=LEAST):
+    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least))
 
 
 @query(_lateral(10))
-def drift4_mass_change_guard(spark, d):
-    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW), max_added=10)
+def drift4_mass_change_guard(spark, d, least=LEAST):
+    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least), max_added=10)
 
 
 @query(_with() + " SELECT dst AS path, count(*) AS fan_in FROM cur GROUP BY dst HAVING count(*) > 3 AND dst NOT IN (SELECT dst FROM base GROUP BY dst HAVING count(*) > 3)")
-def diff_new_god_headers(spark, d):
-    return drift.new_god_headers(*base_cur(spark, d), threshold=3)
+def diff_new_god_headers(spark, d, least=LEAST):
+    return drift.new_god_headers(*base_cur(spark, d, least=least), threshold=3)
 
 
 @query(_with() + """,
 a AS (SELECT ma, mb, count(*) AS n, min((src, ordinal, dst)) AS s FROM cur WHERE ma <> mb GROUP BY ma, mb)
 SELECT ma AS from_area, mb AS to_area, n AS edge_count, s[1] AS sample_from, s[3] AS sample_to FROM a WHERE (ma, mb) NOT IN (SELECT (ma, mb) FROM base)""")
-def diff_cross_area_dependencies(spark, d):
-    return drift.cross_area_dependencies(*base_cur(spark, d))
+def diff_cross_area_dependencies(spark, d, least=LEAST):
+    return drift.cross_area_dependencies(*base_cur(spark, d, least=least))
 
 
 @query("""WITH RECURSIVE """ + _EDGES + f""", e0 AS (SELECT src, dst FROM cur WHERE first_seen < TIMESTAMP '{CUT_OLD}'), e1 AS (SELECT src, dst FROM cur),
@@ -232,8 +235,8 @@ r0 AS (SELECT src, dst FROM e0 UNION SELECT r0.src, e0.dst FROM r0 JOIN e0 ON r0
 n0 AS (SELECT src AS p FROM e0 UNION SELECT dst FROM e0), n1 AS (SELECT src AS p FROM e1 UNION SELECT dst FROM e1),
 c0 AS (SELECT (SELECT count(*) FROM r0 WHERE src <> dst) + (SELECT count(*) FROM n0) AS ccd, (SELECT count(*) FROM n0) AS n), c1 AS (SELECT (SELECT count(*) FROM r1 WHERE src <> dst) + (SELECT count(*) FROM n1) AS ccd, (SELECT count(*) FROM n1) AS n)
 SELECT round(c0.ccd / c0.n / log2(c0.n + 1), 6) AS nccd_before, round(c1.ccd / c1.n / log2(c1.n + 1), 6) AS nccd_after FROM c0, c1 WHERE c1.ccd / c1.n / log2(c1.n + 1) > c0.ccd / c0.n / log2(c0.n + 1)""")
-def diff_nccd_delta(spark, d):
-    g = drift.metric_growth(*base_cur(spark, d)).where("nccd_after IS NOT NULL")
+def diff_nccd_delta(spark, d, least=LEAST):
+    g = drift.metric_growth(*base_cur(spark, d, least=least)).where("nccd_after IS NOT NULL")
     return g.select(F.round("nccd_before", 6).alias("nccd_before"), F.round("nccd_after", 6).alias("nccd_after"))
 
 
@@ -247,15 +250,15 @@ def rename_guard(spark, d):
 
 
 @query(_with() + " SELECT 'DRIFT.1' AS rule, src AS file, 0 AS line, dst AS message FROM cur WHERE src NOT IN (SELECT src FROM base)")
-def violation_baseline_filter(spark, d):
+def violation_baseline_filter(spark, d, least=LEAST):
     """J6: findings that a baseline does not know, by rule, file and line."""
-    base, cur = base_cur(spark, d)
+    base, cur = base_cur(spark, d, least=least)
     rows = lambda e: drift.violation(e, "DRIFT.1", "src", F.col("dst"))
     return drift.new_violations(rows(cur), rows(base))
 
 
-def members_of(spark, d):
-    e = base_cur(spark, d)[1]
+def members_of(spark, d, least=LEAST):
+    e = base_cur(spark, d, least=least)[1]
     mods = spark.createDataFrame([("low", "s[0-9]/**"), ("mid", "s1*/**"), ("high", "s4*/**")], "name string, glob string")
     return e, drift.membership(graph.nodes_of(e), mods.withColumn("glob", F.when(F.col("name") == "low", "s1/**").otherwise(F.col("glob"))))
 
@@ -266,19 +269,41 @@ me AS (SELECT src, dst, a.m AS x, b.m AS y FROM cur JOIN mem a ON a.path = src J
 
 
 @query(_with() + _MEMBER + " SELECT src, dst, x AS frm, y AS to_module FROM me WHERE x = 'high' AND y IN ('low', 'mid')")
-def config_forbidden(spark, d):
-    e, m = members_of(spark, d)
+def config_forbidden(spark, d, least=LEAST):
+    e, m = members_of(spark, d, least)
     return drift.module_edges(e, m).where("ma = 'high' AND mb IN ('low', 'mid')").select("src", "dst", F.col("ma").alias("frm"), F.col("mb").alias("to_module"))
 
 
 @query(_with() + _MEMBER + " SELECT 'MODULE.INDEPENDENCE' AS rule, src AS file, 0 AS line, 'independence: ' || x || ' and ' || y || ' must be independent (via ' || dst || ')' AS message FROM me WHERE x IN ('mid', 'high') AND y IN ('mid', 'high')")
-def config_independence(spark, d):
-    return drift.independence(*members_of(spark, d), ["mid", "high"])
+def config_independence(spark, d, least=LEAST):
+    return drift.independence(*members_of(spark, d, least), ["mid", "high"])
 
 
 @query(_with() + _MEMBER + " SELECT 'MODULE.LAYERS' AS rule, src AS file, 0 AS line, 'layers: ' || x || ' must not depend on ' || y || ' above it (via ' || dst || ')' AS message FROM me WHERE (x = 'low' AND y IN ('high', 'mid')) OR (x = 'mid' AND y = 'high')")
-def config_layers(spark, d):
-    return drift.layers(*members_of(spark, d), ["high", "mid", "low"])
+def config_layers(spark, d, least=LEAST):
+    return drift.layers(*members_of(spark, d, least), ["high", "mid", "low"])
+
+
+# The graph queries above keep the edges of large quantities, as their SQL does.  These run over every edge; where the SQL
+# would list all pairs of nodes that reach each other, there is none, and tests/test_whole.py has it on the smallest tables.
+
+GRAPHS = [
+    merged_edges, lakos_god_header, added_edges, removed_edges, drift1_shortcut_edge, drift2_cycle_growth,
+    scc, scc_distributed, scc_stats, sf9_cycles, include_depths, lakos_chain_length,
+    graph_metrics, reachable, drift3_bidirectional_coupling, module_metrics, drift4_lateral_dependency, drift4_mass_change_guard,
+    diff_new_god_headers, diff_cross_area_dependencies, diff_nccd_delta, violation_baseline_filter, config_forbidden, config_independence,
+    config_layers,
+]
+
+
+def whole_sql(sql: str) -> str:
+    return sql.replace(f" AND l_quantity >= {LEAST}", "")
+
+
+for _f in GRAPHS:
+    Q[f"whole_{_f.__name__}"] = partial(_f, least=None)
+    if "RECURSIVE" not in SQL[_f.__name__]:
+        SQL[f"whole_{_f.__name__}"] = whole_sql(SQL[_f.__name__])
 
 
 # -- history --------------------------------------------------------------------------------------------------------
