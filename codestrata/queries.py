@@ -489,7 +489,16 @@ def clone_report(spark, d):
 @query("""SELECT doc_id, regexp_matches(lower(substr(text, 1, 2000)), 'licensed under the apache|permission is hereby granted|zlib license|boost software license|redistribution and use in source|released into the public domain') AS license,
 strlen(text) >= 4096 AND floor(least(strlen(text), 65536) / (1 + length(substr(text, 1, 65536)) - length(replace(substr(text, 1, 65536), chr(10), '')))) > 110 AS minified FROM documents WHERE strlen(text) = length(text)""")
 def content_classes(spark, d):
-    t = table(spark, d, "documents").where("octet_length(text) = length(text)")
+    return _content_classes(table(spark, d, "documents").where("octet_length(text) = length(text)"))
+
+
+@query()
+def whole_content_classes(spark, d):
+    """Of every document; its heads are cut by bytes, so it has no SQL."""
+    return _content_classes(table(spark, d, "documents"))
+
+
+def _content_classes(t: DataFrame) -> DataFrame:
     return t.select("doc_id", c.has_license_banner(F.col("text")).alias("license"), c.is_minified(F.col("text")).alias("minified"))
 
 

@@ -1,8 +1,10 @@
 """Queries over whole tables, against the SQL of their smaller forms without its cut, on the smallest tables."""
 
+import duckdb
 import pytest
 from compare import assert_same, from_sql
 
+from codestrata.functions.classify import LICENSE_MARKERS
 from codestrata.queries import GRAPHS, SQL, Q, whole_sql
 
 SMALL = "/root/testdata/sf0.001"
@@ -19,3 +21,22 @@ def test_every_edge_is_read(spark):
     names, pairs = from_sql("""SELECT DISTINCT l_partkey AS a, n AS b FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n <> l_partkey""", SMALL)
     assert {tuple(int(x.split("part_")[1][:-2]) for x in (r.src, r.dst)) for r in e.collect()} == set(pairs)
     assert Q["whole_scc_stats"](spark, SMALL).first().largest > Q["scc_stats"](spark, SMALL).first().largest
+
+
+def test_every_document_is_classified(spark, tmp_path):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
+    for i, lead in ((-1, "é" * 900), (-2, "é" * 1000)):  # 1,800 and 2,000 bytes before the banner
+        docs.append((i, lead + "Permission is hereby granted"))
+    docs += [(-3, "é" * 2048), (-4, "é\n" * 2048), (-5, "é" * 40000 + "\n" * 2000), (-6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        if text is None:
+            return None, None
+        b = text.encode()
+        sample = b[:65536]
+        return any(m.encode() in b[:2000].lower() for m in LICENSE_MARKERS), len(b) >= 4096 and len(sample) // (1 + sample.count(b"\n")) > 110
+
+    got = {r.doc_id: (r.license, r.minified) for r in Q["whole_content_classes"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in docs}
+    assert got[-1][0] and not got[-2][0] and got[-3][1] and not got[-4][1] and got[-5][1]
