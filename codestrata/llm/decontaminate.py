@@ -7,7 +7,9 @@ against the benchmark item.  Verified windows are merged into spans; a text of w
 that follow it.  No shuffle and no sort: one pass over the text.
 
 What is broadcast is bounded by ``part_bytes`` of benchmark text.  A larger benchmark is split by item into
-parts of that size and the texts are scanned once per part, so memory never grows with the benchmark.
+parts of that size and the texts are scanned once per part, so memory never grows with the benchmark.  Each part
+but the last only notes the words it covers beside the text, which is written to the shared folder between parts;
+the last unites them and decides, so the result is that of one part.
 
 Defined results:
 
@@ -23,14 +25,16 @@ Defined results:
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from codestrata.llm.storage import ship
+from codestrata.llm.storage import ship, written
 from codestrata.llm.textkernel import Words, gram_mask, grams, slices
 
 N, MIN_WORDS, DROP_SHARE, PART_BYTES = 8, 4, 0.5, 64 << 20
@@ -122,31 +126,67 @@ def _parts(benchmark: DataFrame, n: int, min_words: int, part_bytes: int):
             yield spark.sparkContext.broadcast(index)
 
 
+def _covered(index: Index, part: pa.RecordBatch, noted: str | None) -> list[tuple[int, np.ndarray, set]]:
+    """(row, covered mask, items) of each text that this part of the benchmark or one before it hits."""
+    found = {row: (covered, items) for row, covered, items, _ in index.scan(part.column("text"))}
+    for row, x in enumerate(part.column(noted).to_pylist() if noted else ()):
+        if x is not None:
+            bits, n, items = pickle.loads(x)
+            covered = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool)
+            found[row] = (found[row][0] | covered, found[row][1] | items) if row in found else (covered, items)
+    return [(row, *found[row]) for row in sorted(found)]
+
+
+def _noted(d: DataFrame, benchmark: DataFrame, n: int, min_words: int, part_bytes: int):
+    """``d`` with a column of what all parts of the benchmark but the last cover, that column's name, and the last part.
+
+    One part needs no column; an empty benchmark has no last part.
+    """
+    name, columns, index = None, d.columns, None
+    for following in _parts(benchmark, n, min_words, part_bytes):
+        if index is not None:
+            before, name = name, name or "_" * (1 + max(map(len, columns))) + "covered"
+
+            def kernel(batches, index=index, before=before, name=name):
+                ix = index.value.opened()
+                for batch in batches:
+                    for part in slices(batch, "text"):
+                        notes: list[bytes | None] = [None] * part.num_rows
+                        for row, covered, items in _covered(ix, part, before):
+                            notes[row] = pickle.dumps((np.packbits(covered).tobytes(), len(covered), items))
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(notes, pa.binary())], names=[*columns, name])
+
+            schema = StructType([*d.schema.fields[: len(columns)], StructField(name, BinaryType())])
+            d = written(d.mapInArrow(kernel, schema), "covered")
+            index.unpersist()
+        index = following
+    return d, name, index
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
-    """One row for each contaminated document (and part, if the benchmark had to be split)."""
+    """One row for each contaminated document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for index in _parts(benchmark, n, min_words, part_bytes):
-
-        def kernel(batches, index=index):
-            ix = index.value.opened()
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    found = []
-                    for row, covered, items, _ in ix.scan(part.column("text")):
-                        share = covered.mean()
-                        spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                        drop = share >= drop_share
-                        found.append((part.column("doc_id")[row].as_py(), "drop" if drop else "cut", len(covered), int(covered.sum()), spans, ",".join(str(i) for i in sorted(i for i in items if i is not None)), None if drop else _cut(part.column("text")[row].as_py(), covered)))
-                    if found:
-                        cols = list(zip(*found))
-                        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                        names = [x.split()[0] for x in HITS.split(", ")]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-        one = d.mapInArrow(kernel, HITS)
-        out = one if out is None else out.unionByName(one)
-    return docs.sparkSession.createDataFrame([], HITS) if out is None else out
+    d, noted, index = _noted(d, benchmark, n, min_words, part_bytes)
+    if index is None:
+        return docs.sparkSession.createDataFrame([], HITS)
+
+    def kernel(batches):
+        ix = index.value.opened()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = []
+                for row, covered, items in _covered(ix, part, noted):
+                    share = covered.mean()
+                    spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
+                    drop = share >= drop_share
+                    found.append((part.column("doc_id")[row].as_py(), "drop" if drop else "cut", len(covered), int(covered.sum()), spans, ",".join(str(i) for i in sorted(i for i in items if i is not None)), None if drop else _cut(part.column("text")[row].as_py(), covered)))
+                if found:
+                    cols = list(zip(*found))
+                    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    names = [x.split()[0] for x in HITS.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return d.mapInArrow(kernel, HITS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -154,39 +194,42 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
 
     ``n_chars`` is set anew where a text was cut.
     """
-    for index in _parts(benchmark, n, min_words, part_bytes):
-
-        def kernel(batches, index=index):
-            ix = index.value.opened()
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    found = ix.scan(part.column("text"))
-                    if not found:
-                        yield part
-                        continue
-                    keep = np.ones(part.num_rows, bool)
-                    new: dict[int, str] = {}
-                    for row, covered, _, _ in found:
-                        if covered.mean() >= drop_share:
-                            keep[row] = False
-                        else:
-                            new[row] = _cut(part.column("text")[row].as_py(), covered)
-                    if new:
-                        text = part.column("text").to_pylist()
+    d, noted, index = _noted(docs, benchmark, n, min_words, part_bytes)
+    if index is None:
+        return docs
+
+    def kernel(batches):
+        ix = index.value.opened()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = _covered(ix, part, noted)
+                if noted:
+                    part = part.drop_columns([noted])
+                if not found:
+                    yield part
+                    continue
+                keep = np.ones(part.num_rows, bool)
+                new: dict[int, str] = {}
+                for row, covered, _ in found:
+                    if covered.mean() >= drop_share:
+                        keep[row] = False
+                    else:
+                        new[row] = _cut(part.column("text")[row].as_py(), covered)
+                if new:
+                    text = part.column("text").to_pylist()
+                    for row, t in new.items():
+                        text[row] = t
+                    k = part.schema.get_field_index("text")
+                    part = part.set_column(k, part.schema.field(k), pa.array(text, part.schema.field(k).type))
+                    k = part.schema.get_field_index("n_chars")
+                    if k >= 0 and pa.types.is_integer(part.schema.field(k).type):
+                        size = part.column(k).to_pylist()
                         for row, t in new.items():
-                            text[row] = t
-                        k = part.schema.get_field_index("text")
-                        part = part.set_column(k, part.schema.field(k), pa.array(text, part.schema.field(k).type))
-                        k = part.schema.get_field_index("n_chars")
-                        if k >= 0 and pa.types.is_integer(part.schema.field(k).type):
-                            size = part.column(k).to_pylist()
-                            for row, t in new.items():
-                                size[row] = len(t)
-                            part = part.set_column(k, part.schema.field(k), pa.array(size, part.schema.field(k).type))
-                    yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(kernel, docs.schema)
-    return docs
+                            size[row] = len(t)
+                        part = part.set_column(k, part.schema.field(k), pa.array(size, part.schema.field(k).type))
+                yield part.filter(pa.array(keep))
+
+    return d.mapInArrow(kernel, docs.schema)
 
 
 #: :func:`hits` of the tables ``documents`` and ``benchmark``.

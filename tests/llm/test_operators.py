@@ -82,6 +82,22 @@ def test_decontaminate_equals_brute_force(spark):
     assert not brute_hits([(i, t) for i, t in cleaned.items() if got.get(i) and got[i].n_spans == 1], items, n=9, least=9)
 
 
+def test_decontaminate_many_parts_equal_one(spark):
+    rng = random.Random(21)
+    items = [(i, words(rng, 30, f"p{i}x")) for i in range(12)]
+    w = [t.split() for _, t in items]
+    # 30 and 30 of 100 words: dropped only if the parts are taken together
+    rows = [(12 * i + j, " ".join(w[i] + words(rng, 20).split() + w[j] + words(rng, 20).split()), "en", "s") for i in range(12) for j in range(12) if i != j]
+    # a passage of one item with one of another in its midst, and items that overlap
+    rows += [(200 + i, " ".join(words(rng, 200).split() + w[i] + w[i + 1][:9] + w[i][21:] + words(rng, 90).split()), "en", "s") for i in range(11)]
+    items += [(20 + i, " ".join(w[i][15:] + w[i + 1][:15])) for i in range(11)]
+    rows += [(300 + i, " ".join(words(rng, 99).split() + w[i] + w[i + 1][:15] + words(rng, 99).split()), "en", "s") for i in range(11)] + [(None, items[0][1], "en", "s"), (None, None, "en", "s"), rows[0], rows[0]]
+    d, b = frame(spark, rows, clash=True), spark.createDataFrame(items + [(99, None)], "item_id long, text string")
+    for f in (decontaminate.hits, decontaminate.clean):
+        one, many = (sorted(map(tuple, f(d, b, part_bytes=n).collect()), key=repr) for n in (1 << 20, 500))
+        assert one == many and len(one) > 10
+
+
 def test_decontaminate_odd_input(spark, corpus):
     d, b = frame(spark, corpus, clash=True), spark.createDataFrame([(1, corpus[0][1], "x"), (1, corpus[0][1], "x")], "item_id long, text string, action string")
     assert sorted(r.doc_id for r in decontaminate.hits(d, b).collect()) == [0, 0, 0]
