@@ -5,7 +5,8 @@ Document frequencies of all licence words are counted over every file.  Each tem
 A file's occurrences of indexed words vote for (template, file position - template position); votes of at least
 ``need`` distinct indexed words at (nearly) one relative position make a candidate, which is then verified: all
 mandatory key phrases of the template must stand there word for word, and ``min_coverage`` of the template's words
-must be in place.
+must be in place.  A template with gaps ("...") is indexed and verified passage by passage, each at its own position;
+its passages must follow each other, before its first passage stands again.
 
 Two passes over the texts, neither with a shuffle; what is broadcast is the template index, whose size is that
 of the template list and independent of the data.
@@ -36,7 +37,7 @@ from codestrata.llm.textkernel import Words, slices
 INDEX_WORDS, SLACK, MIN_COVERAGE = 5, 3, 0.7
 SCHEMA = "doc_id long, license string, first_word long, n_words long, start_byte long, end_byte long, votes long, coverage double"
 
-#: name, template text, mandatory key phrases
+#: name, template text, mandatory key phrases; "..." in a text stands for any number of other words
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ["apache license version 2 0"]),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', ["apache license version 2 0", "in compliance with the license"]),
@@ -46,7 +47,7 @@ TEMPLATES = [
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu general public license", "either version 3 of the license or at your option any later version"]),
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["gnu general public license", "either version 2 of the license or at your option any later version"]),
     ("LGPL-2.1-or-later", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", ["gnu lesser general public license", "either version 2 1 of the license"]),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used", ["redistribution and use in source and binary forms", "neither the name of"]),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: ... Neither the name of ... nor the names of its contributors may be used", ["redistribution and use in source and binary forms", "neither the name of", "nor the names of"]),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license v 2 0"]),
@@ -78,9 +79,15 @@ class RareIndex:
     """Postings of each template's rarest words."""
 
     def __init__(self, templates, frequency: dict[str, float], n_docs: float, index_words: int, min_coverage: float):
-        self.templates = [Template(n, _hashes(tokens(t)), [_hashes(tokens(p)) for p in ps]) for n, t, ps in templates]
+        self.templates, self.passages, texts = [], [], []
+        for name, whole, phrases in templates:
+            own = [f" {' '.join(tokens(x))} " for x in whole.split("...")]
+            self.passages.append(range(len(texts), len(texts) + len(own)))
+            texts += own
+            homes = [next((j for j, x in enumerate(own) if f" {' '.join(tokens(p))} " in x), 0) for p in phrases]
+            self.templates += [Template(name, _hashes(tokens(x)), [_hashes(tokens(p)) for p, home in zip(phrases, homes) if home == j]) for j, x in enumerate(own)]
         self.min_coverage, self.need, posts = min_coverage, [], []
-        for k, (_, text, _) in enumerate(templates):
+        for k, text in enumerate(texts):
             own = tokens(text)
             idf = {w: np.log((1 + n_docs) / (1 + frequency.get(w, 0))) for w in own}
             rare = sorted(set(own), key=lambda w: (-idf[w], w))[:index_words]
@@ -117,7 +124,7 @@ class RareIndex:
             for o in np.unique(offset[a:b]).tolist():
                 if (v := self._verify(w, row, t, o)) is not None:
                     found.append((row, t, *v, votes))
-        return self._best(found)
+        return self._joined(self._best(found))
 
     def _verify(self, w: Words, row: int, t: int, o: int):
         tpl = self.templates[t]
@@ -145,6 +152,29 @@ class RareIndex:
         return sorted(out)
 
 
+    def _joined(self, found: list[tuple]) -> list[tuple]:
+        """Of the passages of templates with gaps, those that follow each other, as one; the rest as it is."""
+        at: dict[int, dict[int, list[tuple]]] = {}
+        for f in found:
+            at.setdefault(f[0], {}).setdefault(f[1], []).append(f)
+        out = []
+        for passages in self.passages:
+            for row, of in at.items():
+                first = of.get(passages[0], [])
+                for i, f in enumerate(first):
+                    chain, end = [f], first[i + 1][2] if i + 1 < len(first) else np.inf
+                    for t in passages[1:]:
+                        f = next((g for g in of.get(t, []) if f[2] + f[3] - SLACK <= g[2] < end and g[2] > f[2]), None)
+                        if f is None:
+                            break
+                        chain.append(f)
+                    if len(chain) == len(passages):
+                        size = [len(self.templates[g[1]].words) for g in chain]
+                        coverage = chain[0][5] if len(chain) == 1 else float(np.dot([g[5] for g in chain], size) / sum(size))
+                        out.append((row, passages[0], chain[0][2], chain[-1][2] + chain[-1][3] - chain[0][2], sum(g[4] for g in chain), coverage))
+        return sorted(out)
+
+
 def _frequencies(d: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
     """Number of texts with each word of ``vocabulary``, over all texts, and the number of texts."""
     h = np.concatenate([_hashes([w]) for w in vocabulary])

@@ -203,6 +203,31 @@ def test_licenses_equal_a_plain_search(spark, corpus):
             assert licenses.tokens(text[r.start_byte : r.end_byte].decode()) in [licenses.tokens(t) for _, t, _ in licenses.TEMPLATES]
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = """
+3. Neither the name of %s nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+
+
+def test_canonical_bsd_licenses(spark):
+    holders = ["the copyright holder", "the <ORGANIZATION>", "Example Inc.", "the Institute of Long Names of Some Large University in a Town"]
+    rows = [(i, BSD + BSD_3 % h, "en", "s") for i, h in enumerate(holders)]
+    rows += [(10, (BSD + BSD_3 % holders[0]).replace("\n", "\n * ").replace("3. ", ""), "en", "s"), (11, BSD, "en", "s"), (12, BSD + BSD + BSD_3 % holders[0], "en", "s"), (13, BSD_3 % holders[0] + BSD, "en", "s")]
+    got = licenses.scan(frame(spark, rows)).collect()
+    three = {r.doc_id: r for r in got if r.license == "BSD-3-Clause"}
+    assert sorted(r.doc_id for r in got if r.license == "BSD-3-Clause") == [0, 1, 2, 3, 10, 12]
+    assert sorted(r.doc_id for r in got if r.license == "BSD") == [0, 1, 2, 3, 10, 11, 12, 12, 13]
+    for i, text, _, _ in rows[:4]:
+        cut = text.encode()[three[i].start_byte : three[i].end_byte].decode()
+        assert cut.startswith("Redistribution and use") and cut.endswith("contributors may be used")
+    assert three[12].first_word == len(licenses.tokens(BSD))
+
+
 # -- 5: near duplicates ---------------------------------------------------------------------------------------------
 
 
