@@ -242,9 +242,9 @@ def diff_nccd_delta(spark, d, least=LEAST):
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS cyc, l_partkey AS p FROM lineitem WHERE l_quantity >= 40), ren AS (SELECT p_partkey AS p FROM part WHERE p_size <= 25)
 SELECT cyc FROM s LEFT JOIN ren ON ren.p = s.p GROUP BY cyc HAVING NOT bool_and(ren.p IS NOT NULL)""")
-def rename_guard(spark, d):
+def rename_guard(spark, d, rows="l_quantity >= 40"):
     """J21: a cycle is dropped only if every member was renamed."""
-    s = table(spark, d, "lineitem").where("l_quantity >= 40").select(F.col("l_orderkey").alias("scc"), F.col("l_partkey").alias("p")).distinct()
+    s = table(spark, d, "lineitem").where(rows).select(F.col("l_orderkey").alias("scc"), F.col("l_partkey").alias("p")).distinct()
     grown = s.groupBy("scc").agg(F.collect_set("p").alias("members"))
     return drift.drop_renamed(grown, table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("path"))).select(F.col("scc").alias("cyc"))
 
@@ -422,13 +422,23 @@ def test1_co_evolution(spark, d):
 
 
 @query("""SELECT l.l_orderkey AS span, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) o JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 49) l ON l.l_orderkey BETWEEN o.o_orderkey - 2 AND o.o_orderkey + 2 AND o.o_custkey % 50 = l.l_orderkey % 50 GROUP BY 1""")
-def interval_join(spark, d):
+def interval_join(spark, d, rows="l_quantity >= 49"):
     """J12 as an inner join: an interval condition besides an equality."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey").distinct().select((F.col("o_custkey") % 50).alias("path"), (F.col("o_orderkey") - 2).alias("lo"), (F.col("o_orderkey") + 2).alias("hi"))
-    x = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("span"), (F.col("l_orderkey") % 50).alias("path")).distinct()
+    x = table(spark, d, "lineitem").where(rows).select(F.col("l_orderkey").alias("span"), (F.col("l_orderkey") % 50).alias("path")).distinct()
     return x.join(o, "path").where("span BETWEEN lo AND hi").groupBy("span").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(SQL["rename_guard"].replace(" WHERE l_quantity >= 40", ""))
+def whole_rename_guard(spark, d):
+    return rename_guard(spark, d, "true")
+
+
+@query(SQL["interval_join"].replace(" WHERE l_quantity >= 49", ""))
+def whole_interval_join(spark, d):
+    return interval_join(spark, d, "true")
+
+
 # -- clones ---------------------------------------------------------------------------------------------------------
 
 

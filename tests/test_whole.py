@@ -40,3 +40,10 @@ def test_every_document_is_classified(spark, tmp_path):
     got = {r.doc_id: (r.license, r.minified) for r in Q["whole_content_classes"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in docs}
     assert got[-1][0] and not got[-2][0] and got[-3][1] and not got[-4][1] and got[-5][1]
+
+
+@pytest.mark.parametrize("name", ["whole_rename_guard", "whole_interval_join"])
+def test_every_line_item_counts(spark, name):
+    assert "l_quantity" not in SQL[name]
+    assert_same(Q[name](spark, SMALL), SQL[name], SMALL)
+    assert Q[name](spark, SMALL).count() > Q[name.removeprefix("whole_")](spark, SMALL).count()
