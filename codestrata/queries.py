@@ -213,6 +213,15 @@ def drift4_lateral_dependency(spark, d, least=LEAST):
     return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least))
 
 
+UNGUARDED = 2_000_000_000
+
+
+@query(_lateral(UNGUARDED))
+def drift4_lateral_dependency_unguarded(spark, d, least=LEAST):
+    """The rule itself on tables of any size; the guard is the other two queries' matter."""
+    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least), max_added=UNGUARDED)
+
+
 @query(_lateral(10))
 def drift4_mass_change_guard(spark, d, least=LEAST):
     return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least), max_added=10)
@@ -290,7 +299,7 @@ def config_layers(spark, d, least=LEAST):
 GRAPHS = [
     merged_edges, lakos_god_header, added_edges, removed_edges, drift1_shortcut_edge, drift2_cycle_growth,
     scc, scc_distributed, scc_stats, sf9_cycles, include_depths, lakos_chain_length,
-    graph_metrics, reachable, drift3_bidirectional_coupling, module_metrics, drift4_lateral_dependency, drift4_mass_change_guard,
+    graph_metrics, reachable, drift3_bidirectional_coupling, module_metrics, drift4_lateral_dependency, drift4_lateral_dependency_unguarded, drift4_mass_change_guard,
     diff_new_god_headers, diff_cross_area_dependencies, diff_nccd_delta, violation_baseline_filter, config_forbidden, config_independence,
     config_layers,
 ]

@@ -2,10 +2,10 @@
 
 import duckdb
 import pytest
-from compare import assert_same, from_sql
+from compare import SF_DIR, assert_same, from_sql
 
 from codestrata.functions.classify import LICENSE_MARKERS
-from codestrata.queries import GRAPHS, SQL, Q, whole_sql
+from codestrata.queries import CUT_NEW, CUT_OLD, GRAPHS, SQL, Q, whole_sql
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -47,3 +47,11 @@ def test_every_line_item_counts(spark, name):
     assert "l_quantity" not in SQL[name]
     assert_same(Q[name](spark, SMALL), SQL[name], SMALL)
     assert Q[name](spark, SMALL).count() > Q[name.removeprefix("whole_")](spark, SMALL).count()
+
+
+def test_lateral_dependencies_of_a_mass_change(spark, monkeypatch):
+    monkeypatch.setattr("codestrata.queries.CUT_NEW", CUT_OLD)  # 429 edges are new
+    name = "drift4_lateral_dependency_unguarded"
+    assert Q["drift4_lateral_dependency"](spark, SF_DIR).count() == 0
+    assert Q[name](spark, SF_DIR).count() > 0
+    assert_same(Q[name](spark, SF_DIR), SQL[name].replace(CUT_NEW, CUT_OLD))
