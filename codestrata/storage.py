@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,16 +22,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own, if all runs in one process.
+
+    On a cluster a folder of the driver's machine is no shared folder, so there an unset one is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        jsc = spark.sparkContext._jsc.sc()
-        known = jsc.getCheckpointDir()
+        context = spark.sparkContext
+        known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             where = known.get()
-        else:
+        elif context.master == "local" or context.master.startswith("local["):
             where = "file://" + tempfile.mkdtemp(prefix="codestrata-")
-            spark.sparkContext.setCheckpointDir(where)
+            context.setCheckpointDir(where)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return where.rstrip("/")
 
 
@@ -47,16 +52,32 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     while _WRITTEN:
-        _delete(*_WRITTEN.pop())
+        path, spark = _WRITTEN.popitem()
+        _delete(spark, path)
+
 
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None, **options) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: computed once, lineage cut, survives executor loss.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: computed once, lineage cut, survives executor loss."""
+    ``instead_of``: a written table that is needed no more; loops pass that of the round before, so that one round's
+    tables are kept and not all.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codestrata-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if instead_of is not None:
+        forget(instead_of)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a written table."""
+    path = getattr(df, "_written_at", None)
+    if path in _WRITTEN:
+        _delete(_WRITTEN.pop(path), path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
