@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.llm import decontaminate, langid, mixing, near_dedup, quality
-from codestrata.llm.storage import table, written
+from codestrata.storage import table, written
 
 #: Some of these stages cannot be put in SQL (models, min-max hashing), so run() is tested against brute force.
 ORACLE_SQL = None
