@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import decontaminate, exact_topk, langid, licenses, mixing, near_dedup, quality, token_counts, url_filter, warc
-from codestrata.llm.storage import table
+from codestrata.storage import table, written
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), queries=exact_topk.ASKED)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.recount(docs, token_counts.example_edits(F.col("text"), F.col("doc_id")))
+    trees = written(token_counts.build(docs), "trees", compression="zstd")
+    return token_counts.recount(trees, token_counts.example_edits(F.col("text"), F.col("doc_id")))
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Edit-aware token counts.
 
 Byte-pair encoders split a text into pre-tokens and encode each by itself, so a text's token count is a sum over
-its pre-tokens.  A segment tree over blocks of pre-tokens holds that sum for each document (:func:`build`).  An edit
-touches the pre-tokens it overlaps and, through the splitter's look-ahead, at most a few before and after: only
-that region is split and encoded again, from two pre-tokens before the edit to the first new boundary that falls
-on an old one behind it, and the sums on the touched blocks' paths to the root are updated (:func:`recount`).
-
-The splitter is vectorised over code points (it gives the same pre-tokens as the pattern of the tokenizer), and
-every distinct pre-token is encoded once per worker; neither step shuffles.
+its pre-tokens.  :func:`build` splits and encodes each text once and gives a table that is to be kept: beside the text a
+segment tree over blocks of pre-tokens, with the sums of tokens and of characters at every node.  An edit finds its
+block down the sums of characters, touches the pre-tokens it overlaps and, through the splitter's look-ahead, at most a
+few before and after: only that region is split and encoded again, from two pre-tokens before the edit to the first new
+boundary that falls on an old one behind it, and the sums on the touched blocks' paths to the root are updated.
+Blocks hold their own characters and lengths, nothing absolute, so blocks behind an edit stay as they are; they grow
+and shrink, and only when one overflows the sums are laid out anew.
+
+:func:`recount` gives the counts before and after edits from kept trees, :func:`update` the trees after them; of texts
+without edits neither reads more than the kept count.  Nothing is encoded twice and neither step shuffles.  The splitter
+is vectorised over code points (it gives the same pre-tokens as the pattern of the tokenizer), and every distinct
+pre-token is encoded once per worker (a worker's memory of them is emptied at ``KNOWN``; that changes no result).
 
 Vocabulary: a file of byte-pair ranks, read on the driver from ``path`` and broadcast (its size is fixed).
 
@@ -16,8 +21,8 @@ Defined results:
 * null text: no tokens, no tree, edits of it are ignored; empty text: zero tokens, insertions work;
 * edits are applied one after another, each to the result of those before; positions and lengths are clipped to
   the text (in code points), a null position, length or insertion counts as 0, 0, empty; a null edit list is empty;
-* null ``doc_id`` is carried through; repeated rows are counted one by one; texts are read whole, whatever
-  their length; an empty table gives an empty result; extra columns are not read.
+* ``doc_id`` may have any type and is carried through, null too; repeated rows are counted one by one; texts are read
+  whole, whatever their length; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,15 +35,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from codestrata.llm.storage import ship
 from codestrata.llm.textkernel import mix, slices
+from codestrata.storage import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 64
+BLOCK, KNOWN = 64, 2_000_000
 EDITS = "array<struct<at: long, remove: long, insert: string>>"
-SCHEMA = "doc_id long, tokens_before long, tokens_after long, n_edits long, pretokens long, reencoded_pretokens long, updated_nodes long"
+COUNTS = "tokens_before long, tokens_after long, n_edits long, pretokens long, reencoded_pretokens long, updated_nodes long"
+TREE = "text string, tokens long, pretokens long, sizes binary, lengths binary, counts binary, sums binary"
 _SLICE = 512 << 10
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -124,7 +131,7 @@ class Counter:
         end = np.r_[begin[1:], len(code)]
         h = mix((pre[end] - pre[begin]) * inv[begin])
         key, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > 2_000_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         known = self.known
         counts = [known.get(x, -1) for x in key.tolist()]
@@ -142,94 +149,135 @@ def _powers(n: int):
     return textkernel._powers(n)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes as the largest needs; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w))
+    return bytes([width]) + np.ascontiguousarray(x).astype(f"<u{width}").tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
 class Tree:
-    """Segment tree over blocks of ``BLOCK`` pre-tokens of one text: pre-token starts and counts, and sums by level."""
-
-    def __init__(self, code: np.ndarray, begin: np.ndarray, counts: np.ndarray):
-        self.code = code
-        self.blocks = [(begin[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(begin), BLOCK)]
-        self.sizes = [len(b) for b, _ in self.blocks]
-        self.raise_all()
-
-    def raise_all(self) -> int:
-        self.levels = [np.array([int(c.sum()) for _, c in self.blocks] or [0], np.int64)]
-        while len(self.levels[-1]) > 1:
-            x = self.levels[-1]
-            self.levels.append(np.add.reduceat(x, np.arange(0, len(x), 2)))
+    """Segment tree over blocks of about ``BLOCK`` pre-tokens of one text.
+
+    A block is its code points and its pre-tokens' lengths and counts; ``levels[0]`` has a row (tokens, characters) for each
+    block, and every further level the sums of pairs of the level below.
+    """
+
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], levels: list[np.ndarray] | None = None):
+        self.blocks = blocks
+        if levels is None:
+            self._raise()
+        else:
+            self.levels = levels
+
+    @classmethod
+    def of(cls, code: np.ndarray, lengths: np.ndarray, counts: np.ndarray, sizes: np.ndarray | None = None, levels=None) -> Tree:
+        cut = np.r_[0, np.cumsum(sizes)] if sizes is not None else np.r_[np.arange(0, len(lengths), BLOCK), len(lengths)]
+        at = np.r_[0, np.cumsum(lengths)]
+        return cls([(code[at[i] : at[j]], lengths[i:j], counts[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], levels)
+
+    @classmethod
+    def load(cls, code: np.ndarray, sizes: bytes, lengths: bytes, counts: bytes, sums: bytes) -> Tree:
+        size, flat, levels, n, at = unpack(sizes), unpack(sums).reshape(-1, 2), [], 0, 0
+        n = max(1, len(size))
+        while True:
+            levels.append(flat[at : at + n].copy())
+            at += n
+            if n == 1:
+                return cls.of(code, unpack(lengths), unpack(counts), size, levels)
+            n = (n + 1) // 2
+
+    def dump(self) -> tuple[bytes, bytes, bytes, bytes]:
+        join = lambda k: np.concatenate([b[k] for b in self.blocks]) if self.blocks else np.zeros(0, np.int64)
+        return pack(np.array([len(b[1]) for b in self.blocks], np.int64)), pack(join(1)), pack(join(2)), pack(np.concatenate(self.levels).ravel())
+
+    def text(self) -> str:
+        return np.concatenate([b[0] for b in self.blocks]).tobytes().decode("utf-32-le") if self.blocks else ""
+
+    def _raise(self) -> int:
+        level = np.array([(int(n.sum()), len(c)) for c, _, n in self.blocks] or [(0, 0)], np.int64)
+        self.levels = [level]
+        while len(level) > 1:
+            level = np.add.reduceat(level, np.arange(0, len(level), 2), axis=0)
+            self.levels.append(level)
         return sum(map(len, self.levels))
 
     @property
     def total(self) -> int:
-        return int(self.levels[-1][0])
+        return int(self.levels[-1][0, 0])
+
+    @property
+    def pretokens(self) -> int:
+        return sum(len(b[1]) for b in self.blocks)
+
+    def find(self, at: int) -> tuple[int, int]:
+        """Block of the character ``at`` and its place in there; the text's end counts to the last block."""
+        k = 0
+        for level in reversed(self.levels[:-1]):
+            k *= 2
+            if k + 1 < len(level) and at >= level[k, 1]:
+                at -= int(level[k, 1])
+                k += 1
+        return k, at
 
     def edit(self, counter: Counter, at: int, remove: int, insert: np.ndarray) -> tuple[int, int]:
         """Apply one edit; (pre-tokens encoded again, nodes of the tree updated)."""
-        old, n = self.code, len(self.code)
+        n = int(self.levels[-1][0, 1])
         at = min(max(at, 0), n)
         remove = min(max(remove, 0), n - at)
         if not remove and not len(insert):
             return 0, 0
+        if not self.blocks:
+            self.blocks = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        # from two pre-tokens before the one with the character before the edit
+        k, place = self.find(max(at - 1, 0))
+        first = max(at - 1, 0) - place  # of block k
+        i = int(np.searchsorted(np.cumsum(self.blocks[k][1]), place, side="right"))
+        while i < 2 and k > 0:
+            k -= 1
+            i += len(self.blocks[k][1])
+            first -= len(self.blocks[k][0])
+        i = max(0, i - 2)
+        last = max(k, self.find(at + remove)[0])
         shift = len(insert) - remove
-        self.code = code = np.concatenate([old[:at], insert, old[at + remove :]])
-        heads = np.array([b[0] for b, _ in self.blocks], np.int64)
-        k = max(0, int(np.searchsorted(heads, at, side="right")) - 1)
-        if self.blocks:  # two pre-tokens before the one with the character before the edit
-            i = int(np.searchsorted(self.blocks[k][0], max(at - 1, 0), side="right")) - 1
-            while i < 2 and k > 0:
-                k -= 1
-                i += len(self.blocks[k][0])
-            i = max(0, i - 2)
-            start = int(self.blocks[k][0][i])
-        else:
-            k = i = start = 0
-        kept_begin = self.blocks[k][0][:i] if self.blocks else np.zeros(0, np.int64)
-        kept_count = self.blocks[k][1][:i] if self.blocks else np.zeros(0, np.int64)
-        # split ahead in growing stretches until a new boundary behind the edit is an old one
-        behind, last = at + len(insert), k
-        while last < len(self.blocks) and (self.blocks[last][0][-1] + shift < behind):
-            last += 1
-        reach = 64
-        while True:
-            stop = min(len(code), behind + reach)
-            new = starts(code[start:stop]) + start
-            whole = stop == len(code)
-            safe = new if whole else new[new < stop - 8]  # the stretch's end may cut a pre-token
-            meet, b, where = None, last, 0
-            if len(self.blocks):
-                for b in range(last, len(self.blocks)):
-                    cand = self.blocks[b][0] + shift
-                    if cand[0] >= stop:
-                        break
-                    ok = np.flatnonzero((cand >= behind) & np.isin(cand, safe, assume_unique=True))
-                    if len(ok):
-                        meet, where = int(cand[ok[0]]), int(ok[0])
-                        break
-            if meet is not None or whole:
+        while True:  # look ahead, by more blocks each time, until a new boundary behind the edit is an old one
+            own = self.blocks[k : last + 1]
+            old, lengths, counts = (np.concatenate([b[x] for b in own]) for x in range(3))
+            code = np.concatenate([old[: at - first], insert, old[at - first + remove :]])
+            begin = np.cumsum(lengths) - lengths
+            start = int(begin[i]) if i < len(begin) else 0
+            whole = last == len(self.blocks) - 1
+            new = starts(code[start:]) + start
+            safe = new if whole else new[new < len(code) - 8]  # the stretch's end may cut a pre-token
+            behind = np.flatnonzero(begin >= at - first + remove)
+            hit = behind[np.isin(begin[behind] + shift, safe[safe >= at - first + len(insert)], assume_unique=True)]
+            if len(hit) or whole:
                 break
-            reach *= 4
-        if meet is None:
-            b, tail_begin, tail_count, own = len(self.blocks) - 1, np.zeros(0, np.int64), np.zeros(0, np.int64), new
-            stop = len(code)
-        else:
-            tail_begin, tail_count = self.blocks[b][0][where:] + shift, self.blocks[b][1][where:]
-            own, stop = new[new < meet], meet
-        counts = counter.many(code[start:stop], own - start)
-        begin, count = np.r_[kept_begin, own, tail_begin].astype(np.int64), np.r_[kept_count, counts, tail_count].astype(np.int64)
-        fresh = [(begin[j : j + BLOCK], count[j : j + BLOCK]) for j in range(0, len(begin), BLOCK)]
-        same_shape = len(fresh) == max(0, b - k + 1)
-        self.blocks[k : b + 1] = fresh
-        for j in range(k + len(fresh), len(self.blocks)):
-            if shift:
-                self.blocks[j] = (self.blocks[j][0] + shift, self.blocks[j][1])
-        if not same_shape:  # blocks came or went: the sums above are laid out again
-            return len(own), self.raise_all()
-        touched, nodes = np.arange(k, k + len(fresh)), 0
-        self.levels[0][touched] = [int(c.sum()) for _, c in fresh]
+            last = min(len(self.blocks) - 1, 2 * last - k + 1)
+        j = int(hit[0]) if len(hit) else len(lengths)
+        stop = int(begin[j]) + shift if len(hit) else len(code)
+        new = new[new < stop]
+        fresh = counter.many(code[start:stop], new - start)
+        lengths = np.r_[lengths[:i], np.diff(np.r_[new, stop]), lengths[j:]].astype(np.int64)
+        counts = np.r_[counts[:i], fresh, counts[j:]].astype(np.int64)
+        room = last - k + 1
+        each = -(-len(lengths) // room)
+        overflow = each > 2 * BLOCK
+        sizes = np.diff(np.minimum(np.arange(room + 1) * each, len(lengths))) if not overflow else None
+        self.blocks[k : last + 1] = Tree.of(code, lengths, counts, sizes, []).blocks
+        if overflow:
+            return len(new), self._raise()
+        touched, nodes = np.arange(k, last + 1), 0
+        self.levels[0][touched] = [(int(c.sum()), len(x)) for x, _, c in self.blocks[k : last + 1]]
         for low, high in zip(self.levels, self.levels[1:]):
             nodes += len(touched)
             touched = np.unique(touched // 2)
-            high[touched] = low[2 * touched] + np.where(2 * touched + 1 < len(low), low[np.minimum(2 * touched + 1, len(low) - 1)], 0)
-        return len(own), nodes + len(touched)
+            right = 2 * touched + 1
+            high[touched] = low[2 * touched] + np.where((right < len(low))[:, None], low[np.minimum(right, len(low) - 1)], 0)
+        return len(new), nodes + len(touched)
 
 
 def _points(text: str) -> np.ndarray:
@@ -245,57 +293,94 @@ def _split(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return code, off, begin, np.searchsorted(begin, off)
 
 
-def recount(docs: DataFrame, edits: str | Column = "edits", path: str = VOCABULARY) -> DataFrame:
-    """Counts before and after the edits in column ``edits`` (of type :data:`EDITS`) of each row."""
+def _shared(spark, path: str):
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(Counter(f.read()))
+
+
+def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id and :data:`TREE` of each row of ``docs``: the table to keep."""
     spark = docs.sparkSession
     ship(spark)
-    with open(path, "rb") as f:
-        shared = spark.sparkContext.broadcast(Counter(f.read()))
-    edits = F.col(edits) if isinstance(edits, str) else edits
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), edits.cast(EDITS).alias("edits"))
+    shared = _shared(spark, path)
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = StructType([d.schema["doc_id"], *_parse_datatype_string(TREE).fields])
 
     def kernel(batches):
         counter = shared.value
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 code, off, begin, ptr = _split(part.column("text"))
-                counts = counter.many(code, begin)
-                before = np.zeros(part.num_rows, np.int64)
+                counts, lengths = counter.many(code, begin), np.diff(np.r_[begin, len(code)])
                 rows = []
-                null = pc.is_null(part.column("text")).to_pylist()
-                for i, todo in enumerate(part.column("edits").to_pylist()):
-                    b, c = begin[ptr[i] : ptr[i + 1]] - off[i], counts[ptr[i] : ptr[i + 1]]
-                    before[i] = c.sum()
-                    todo = [] if null[i] else [e for e in todo or [] if e]
-                    again = nodes = 0
-                    after = int(before[i])
-                    if todo:
-                        tree = Tree(code[off[i] : off[i + 1]], b, c)
-                        for e in todo:
-                            x, y = tree.edit(counter, e["at"] or 0, e["remove"] or 0, _points(e["insert"] or ""))
-                            again, nodes = again + x, nodes + y
-                        after = tree.total
-                    rows.append((after, len(todo), len(b), again, nodes))
-                cols = [np.array(x, np.int64) for x in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(before), *map(pa.array, cols)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return d.mapInArrow(kernel, SCHEMA)
-
-
-def apply_edits(docs: DataFrame, edits: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """:func:`recount` with a table ``edits(doc_id, seq, at, remove, insert)``, applied in the order of ``seq``.
-
-    Edits of unknown or null documents are ignored.  One shuffle by ``doc_id`` unless the edits are small.
+                for i, null in enumerate(pc.is_null(part.column("text")).to_pylist()):
+                    own = slice(ptr[i], ptr[i + 1])
+                    tree = Tree.of(code[off[i] : off[i + 1]], lengths[own], counts[own])
+                    rows.append((0, 0, None, None, None, None) if null else (tree.total, int(ptr[i + 1] - ptr[i]), *tree.dump()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *(pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows)))], names=schema.names)
+
+    return d.mapInArrow(kernel, schema)
+
+
+def _edited(trees: DataFrame, edits: str | Column, path: str, out: str, row) -> tuple[DataFrame, DataFrame]:
+    """Rows with edits after them, by ``row(tree, before, done, again, nodes)``, and the rows without."""
+    spark = trees.sparkSession
+    ship(spark)
+    edits = F.col(edits) if isinstance(edits, str) else edits
+    todo = F.coalesce(F.filter(edits.cast(EDITS), lambda e: e.isNotNull()), F.array().cast(EDITS))
+    d = trees.select("doc_id", *[x.split()[0] for x in TREE.split(", ")], todo.alias("todo"))
+    has = F.col("text").isNotNull() & (F.size("todo") > 0)
+    shared = _shared(spark, path)
+    schema = StructType([d.schema["doc_id"], *_parse_datatype_string(out).fields])
+
+    def kernel(batches):
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                rows = []
+                for x in part.drop_columns(["doc_id"]).to_pylist():
+                    tree, again, nodes = Tree.load(_points(x["text"]), x["sizes"], x["lengths"], x["counts"], x["sums"]), 0, 0
+                    for e in x["todo"]:
+                        a, b = tree.edit(shared.value, e["at"] or 0, e["remove"] or 0, _points(e["insert"] or ""))
+                        again, nodes = again + a, nodes + b
+                    rows.append(row(tree, x, again, nodes))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))], names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    return d.where(has).mapInArrow(kernel, schema), d.where(~has)
+
+
+def recount(trees: DataFrame, edits: str | Column = "edits", path: str = VOCABULARY) -> DataFrame:
+    """doc_id and :data:`COUNTS` of each row of ``trees``, with the edits (of type :data:`EDITS`) that go with the row."""
+    count = lambda tree, x, again, nodes: (x["tokens"], tree.total, len(x["todo"]), x["pretokens"], again, nodes)
+    busy, idle = _edited(trees, edits, path, COUNTS, count)
+    zero = F.lit(0).cast("long")
+    idle = idle.select("doc_id", F.col("tokens").alias("tokens_before"), F.col("tokens").alias("tokens_after"), zero.alias("n_edits"), "pretokens", zero.alias("reencoded_pretokens"), zero.alias("updated_nodes"))
+    return busy.unionByName(idle)
+
+
+def update(trees: DataFrame, edits: str | Column = "edits", path: str = VOCABULARY) -> DataFrame:
+    """``trees`` after the edits: the table to keep from then on."""
+    new = lambda tree, x, again, nodes: (tree.text(), tree.total, tree.pretokens, *tree.dump())
+    busy, idle = _edited(trees, edits, path, TREE, new)
+    return busy.unionByName(idle.drop("todo"))
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """``trees`` with a column ``edits``, from a table ``edits(doc_id, seq, at, remove, insert)`` in the order of ``seq``.
+
+    Edits of unknown or null documents are ignored.
     """
-    by = edits.groupBy(F.col("doc_id").cast("long").alias("edit_doc")).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("seq", "long"), ("at", "long"), ("remove", "long"), ("insert", "string"))]))).alias("e"))
-    by = by.select("edit_doc", F.transform("e", lambda x: F.struct(x["at"].alias("at"), x["remove"].alias("remove"), x["insert"].alias("insert"))).alias("edit_list"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return recount(d.join(by, F.col("doc_id") == F.col("edit_doc"), "left"), "edit_list", path)
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    by = edits.groupBy(F.col("doc_id").try_cast(kind).alias("edit_doc")).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("seq", "long"), ("at", "long"), ("remove", "long"), ("insert", "string"))]))).alias("e"))
+    by = by.select("edit_doc", F.transform("e", lambda x: F.struct(x["at"].alias("at"), x["remove"].alias("remove"), x["insert"].alias("insert"))).alias("edits"))
+    return trees.select("doc_id", *[x.split()[0] for x in TREE.split(", ")]).join(by, F.col("doc_id") == F.col("edit_doc"), "left").drop("edit_doc")
 
 
 def example_edits(text: Column, doc_id: Column) -> Column:
     """Three edits of every text, placed by a hash: a word replaced, a passage cut out, a line put in."""
     n = F.length(text).cast("long")
-    at = lambda k: F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1).cast("long")), F.lit(k)), n + 1)
+    at = lambda k: F.pmod(F.xxhash64(doc_id, F.lit(k)), n + 1)
     e = lambda a, r, s: F.struct(a.alias("at"), F.lit(r).cast("long").alias("remove"), F.lit(s).alias("insert"))
     return F.array(e(at(1), 7, " revised it's"), e(at(2), 40, ""), e(at(3), 0, "\nSee also  the 2nd note.\n"))
