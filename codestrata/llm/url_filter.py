@@ -4,30 +4,38 @@ A rule is a pattern of the usual filter-list kind: ``*`` any characters, ``^`` a
 host or a parent of it, ``|`` an end of the URL, ``@@`` in front an exception, ``/.../`` a plain regular
 expression.  A literal token is a run of letters and digits that must occur as a whole token in every URL the
 rule matches.  Token frequencies are counted over all URLs; each rule is indexed under its rarest one.  A
-URL's own tokens fetch the candidate rules by an equi-join, and only those run their regular expression.
-Rules without a literal token are candidates for every URL.
+URL's own tokens fetch its candidate rules, and only those run their regular expression, which each worker compiles
+once.  Rules without a literal token are candidates for every URL.
 
-The join's strategy is left to the optimiser, which broadcasts the index by its measured size or shuffles by
-token.  Repeated rows are folded first; that shuffle, by page and URL, is the one that the result is grouped by too, and
-only the URL column is read.
+The rules are a list on the driver; their index is what is broadcast, so it is as large as that list and does not
+grow with the pages.  Repeated rows are folded by the only shuffle, of page ids and URLs.
 
 An exception outweighs any blocking rule; among rules of a kind the smallest ``rule_id`` is reported.
 
 Defined results:
 
+* a rule that is no regular expression, is null or empty, matches nothing; :func:`broken_rules` lists the former, and
+  :func:`classify` warns of them;
 * null URL: action ``none``; empty or very long URLs are handled like any other; case is ignored;
-* repeated rows (the same ``page_id`` and ``url``) give one row; null ``page_id`` is a value like any other;
-* ties in token frequency go to the token first in order; null or empty patterns are ignored;
+* repeated rows (the same ``page_id`` and ``url``) give one row; ``page_id`` may have any type, null is a value like
+  any other;
+* ties in token frequency go to the token first in order; a rule id that occurs twice counts as two rules;
 * no rules: every action is ``none``; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
+from codestrata.storage import ship
+
+FOUND = "action string, rule_id long, n_matched long"
 #: rule_id, pattern: the production rules.
 RULES = [
     (1, "||casino-win.example.com^"), (2, "||free-bets.example.com^"), (3, "||cheap-pills.example.com^"), (4, "||m.ththth.example.net^"),
@@ -65,30 +73,75 @@ def compile_rule(pattern: str) -> tuple[str, str, list[str]]:
     return action, out + ("$" if right else ""), sorted(set(tokens))
 
 
+def broken_rules(rules: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
+    """(rule_id, pattern, error) of rules whose regular expression does not compile."""
+    out = []
+    for i, p in rules:
+        if p:
+            try:
+                re.compile(compile_rule(p)[1])
+            except (re.error, OverflowError, RecursionError) as e:
+                out.append((i, p, str(e)))
+    return out
+
+
+class RuleIndex:
+    """Rules by their rarest token; expressions are compiled where they are used."""
+
+    def __init__(self, compiled: list[tuple[int, str, str, list[str]]], frequency: dict[str, int]):
+        self.rules = [(i, a == "allow", rx) for i, a, rx, _ in compiled]
+        self.by: dict[str, list[int]] = {}
+        for k, (*_, tokens) in enumerate(compiled):
+            self.by.setdefault(min(tokens, key=lambda t: (frequency.get(t, 0), t)) if tokens else "", []).append(k)
+        self.ready: dict[int, re.Pattern] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"ready": {}}
+
+    def match(self, url: str | None) -> tuple[str, int | None, int]:
+        if url is None:
+            return "none", None, 0
+        url = url.lower()
+        allow, block, n = None, None, 0
+        for token in {"", *re.findall("[a-z0-9]+", url)} & self.by.keys():
+            for k in self.by[token]:
+                pattern = self.ready.get(k) or self.ready.setdefault(k, re.compile(self.rules[k][2]))
+                if pattern.search(url):
+                    i, exception, _ = self.rules[k]
+                    n += 1
+                    if exception:
+                        allow = i if allow is None else min(allow, i)
+                    else:
+                        block = i if block is None else min(block, i)
+        return ("allow", allow, n) if allow is not None else ("block", block, n) if block is not None else ("none", None, 0)
+
+
 def classify(pages: DataFrame, rules: list[tuple[int, str]] = RULES) -> DataFrame:
     """page_id, url, action (``block``, ``allow``, ``none``), rule_id, n_matched of each page."""
     spark = pages.sparkSession
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct()
-    tokens = F.array_distinct(F.filter(F.split(F.lower("url"), "[^a-z0-9]+"), lambda t: t != ""))
-    compiled = [(i, *compile_rule(p)) for i, p in rules if p]
+    ship(spark)
+    d = pages.select("page_id", F.col("url").cast("string").alias("url")).distinct()
+    bad = broken_rules(rules)
+    if bad:
+        warnings.warn(f"rules that are no regular expressions and match nothing: {bad}", stacklevel=2)
+    compiled = [(i, *compile_rule(p)) for i, p in rules if p and (i, p) not in {(i, p) for i, p, _ in bad}]
     literals = sorted({t for *_, ts in compiled for t in ts})
     frequency: dict[str, int] = {}
     if literals:
         wanted = spark.createDataFrame([(t,) for t in literals], "token string")
+        tokens = F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))
         counts = d.select(F.explode(tokens).alias("token")).join(wanted, "token").groupBy("token").count()
         frequency = {r.token: r["count"] for r in counts.collect()}  # as many rows as the rules have literals
-    index = [(i, a, min(ts, key=lambda t: (frequency.get(t, 0), t)) if ts else "", rx) for i, a, rx, ts in compiled]
-    rule = spark.createDataFrame(index, "rule_id long, kind string, token string, regex string")
-    # the empty token is added to every URL: it fetches the rules without a literal
-    asked = d.select("page_id", "url", F.explode(F.concat(F.array(F.lit("")), F.coalesce(tokens, F.array().cast("array<string>")))).alias("token"))
-    matched = asked.join(rule, "token", "left").withColumn("hit", F.coalesce(F.expr("lower(url) rlike regex"), F.lit(False)))
-    found = matched.groupBy("page_id", "url").agg(
-        F.min(F.when(F.col("hit") & (F.col("kind") == "allow"), F.col("rule_id"))).alias("allow"),
-        F.min(F.when(F.col("hit") & (F.col("kind") == "block"), F.col("rule_id"))).alias("block"),
-        F.count_if("hit").alias("n_matched"),
-    )
-    action = F.when(F.col("allow").isNotNull(), "allow").when(F.col("block").isNotNull(), "block").otherwise("none")
-    return found.select("page_id", "url", action.alias("action"), F.coalesce("allow", "block").alias("rule_id"), "n_matched")
+    index = spark.sparkContext.broadcast(RuleIndex(compiled, frequency))
+    schema = StructType([*d.schema.fields, *_parse_datatype_string(FOUND).fields])
+
+    def kernel(batches):
+        for batch in batches:
+            found = [index.value.match(u) for u in batch.column("url").to_pylist()]
+            cols = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cols, (pa.string(), pa.int64(), pa.int64()))], names=schema.names)
+
+    return d.mapInArrow(kernel, schema)
 
 
 def _sql() -> str:
