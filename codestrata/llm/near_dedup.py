@@ -6,18 +6,26 @@ of one function are nearly uncorrelated (slightly negatively), the share of agre
 estimate of the Jaccard similarity with no more variance than as many separate minima.  The 128 values are
 banded by four (two minima and two maxima of four functions): texts that agree in a band are candidates.
 
-Candidates are not enumerated pairwise.  Every bucket links its members to its smallest member, distinct links
-are verified by whole signatures, and only buckets of three or more in which a link failed are clustered
-member against member (breadth first, vectorised), so groups of thousands cost a line, not a square, and
-no partner is capped or dropped.  Groups are connected components of verified links, found by alternating
-large-star and small-star rounds; the member with the smallest ``(doc_id, text hash)`` of a group stays.
+Exact copies are one node, the 64-bit hash of their text (two different texts share one with a chance of 2**-64 a
+pair), so they fold before anything is compared.  Candidates are not enumerated pairwise and no bucket is gathered:
 
-Shuffled are bucket keys with row numbers (16 bytes by band and row) and signatures of candidates, never texts;
-the final removal broadcasts the list of dropped keys only up to ``broadcast_rows`` and joins by shuffle beyond.
+* each task links the members of a bucket that it holds to their smallest, and sends on only that one, so a bucket
+  has as many rows in the shuffle as tasks have met it, however many members; those are linked to the smallest again;
+* distinct links are verified by whole signatures.  Members that are linked to their bucket's smallest are one
+  component.  Those that are not, the odd ones, are compared with every member of the bucket, in cells of about
+  ``cell_rows`` odd ones by as many members, so no task holds more of a bucket than a cell and no link is lost.
+
+Groups are connected components of verified links, found by alternating large-star and small-star rounds; the row with
+the smallest ``(doc_id, text hash)`` of a group stays.
+
+Shuffled are bucket keys with node numbers, at most 16 bytes by band and text, and signatures of candidates, never
+texts but for the final removal: it broadcasts the keys of texts in groups only up to ``broadcast_rows`` and joins
+by shuffle beyond.
 
 Defined results:
 
-* null text: in no group, stays; a null ``doc_id`` is a value like any other and sorts first;
+* null text: in no group, stays; ``doc_id`` may have any type that can be ordered; a null is a value like any other
+  and sorts first;
 * texts of fewer than three words: the whole text is one shingle; texts without words are copies of each other
   if they are equal byte for byte (so empty texts are copies of the empty text);
 * repeated rows (the same ``doc_id`` and text) are copies: one row stays, whichever is met first;
@@ -31,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from codestrata.llm.storage import ship, written
-from codestrata.llm.textkernel import Words, gram_mask, grams, slices
+from codestrata.llm.textkernel import Words, gram_mask, grams, mix, slices
+from codestrata.storage import ship, written
 
-PERMUTATIONS, ROWS, SHINGLE, THRESHOLD, BROADCAST_ROWS = 64, 4, 3, 0.5, 1_000_000
+PERMUTATIONS, ROWS, SHINGLE, THRESHOLD, BROADCAST_ROWS, CELL_ROWS = 64, 4, 3, 0.5, 200_000, 1024
 BANDS = 2 * PERMUTATIONS // ROWS
 _MULTIPLIERS = np.random.default_rng(42).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.default_rng(43).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -73,10 +82,11 @@ def signatures(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """node, doc_id, text_hash, n, sig of every row with a text."""
+    """row, doc_id, node (hash of the text), n, sig of every row with a text."""
     ship(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    d = d.select(F.monotonically_increasing_id().alias("node"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("node"), "text")
+    schema = StructType([*d.schema.fields[:3], *_parse_datatype_string("n long, sig binary").fields])
 
     def kernel(batches):
         for batch in batches:
@@ -84,9 +94,18 @@ def sign(docs: DataFrame) -> DataFrame:
                 sig, have = signatures(part.column("text"))
                 data = pa.py_buffer(np.ascontiguousarray(sig).tobytes())
                 off = pa.py_buffer(np.arange(len(have) + 1, dtype=np.int32) * (8 * PERMUTATIONS))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), part.column("text_hash"), pa.array(have), pa.Array.from_buffers(pa.binary(), len(have), [None, off, data])], names=["node", "doc_id", "text_hash", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("node"), pa.array(have), pa.Array.from_buffers(pa.binary(), len(have), [None, off, data])], names=schema.names)
+
+    return d.mapInArrow(kernel, schema)
+
 
-    return d.mapInArrow(kernel, "node long, doc_id long, text_hash long, n long, sig binary")
+def buckets(sig: np.ndarray) -> np.ndarray:
+    """(n, BANDS) keys of bands."""
+    x = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), BANDS, ROWS // 2)
+    key = np.full((len(sig), BANDS), np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
+    for k in range(ROWS // 2):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + x[:, :, k])
+    return key.view(np.int64)
 
 
 def _values(arr: pa.Array) -> np.ndarray:
@@ -122,46 +141,99 @@ def _linked(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return edges
 
 
-def links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _stars(words: DataFrame) -> DataFrame:
+    """bucket, node, pivot of each task's buckets: pivot is the smallest node of the bucket that the task holds.
+
+    A node that is its own pivot stands for its bucket in the other tasks.
+    """
+
+    def kernel(batches):
+        keys, nodes = [], []
+        for batch in batches:
+            if batch.num_rows:
+                keys.append(buckets(_values(batch.column("sig"))))
+                nodes.append(batch.column("node").to_numpy())
+        if not keys:
+            return
+        node = np.concatenate(nodes)
+        node, first = np.unique(node, return_index=True)
+        key = np.concatenate(keys)[first]
+        for j in range(BANDS):
+            order = np.argsort(key[:, j], kind="stable")  # nodes rise within a bucket
+            k, n = key[order, j], node[order]
+            start = np.r_[True, k[1:] != k[:-1]]
+            pivot = n[start][np.cumsum(start) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(pivot)], names=["bucket", "node", "pivot"])
+
+    return words.select("node", "sig").mapInArrow(kernel, "bucket long, node long, pivot long")
+
+
+def _cell_links(node: np.ndarray, odd: np.ndarray, sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links of the odd rows of a cell: one to the others, which are a component, and those that span them."""
+    found, rest, own = [], np.flatnonzero(~odd), np.flatnonzero(odd)
+    for i in own.tolist() if len(rest) else ():
+        hit = (sig[rest] == sig[i]).mean(axis=1) >= threshold
+        if hit.any():
+            found.append((int(node[i]), int(node[rest[hit.argmax()]])))
+    return found + [(int(node[own[a]]), int(node[own[b]])) for a, b in _linked(sig[own], threshold)]
+
+
+def links(signed: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(node, pivot) links between near duplicates: every bucket's members are connected as far as they are alike."""
-    spark = signed.sparkSession
-    words = signed.where("n > 0")
-    bands = F.array(*[F.xxhash64(F.lit(j), F.substring("sig", 4 * ROWS * j + 1, 4 * ROWS)) for j in range(BANDS)])
+    ship(signed.sparkSession)
+    star = written(_stars(signed.where("n > 0")), "stars")
     by = Window.partitionBy("bucket")
-    star = words.select("node", F.explode(bands).alias("bucket")).select("bucket", "node", F.min("node").over(by).alias("pivot"), F.count(F.lit(1)).over(by).alias("members")).where("members > 1")
-    star = written(star, "buckets")
-    sig = signed.select("node", "sig")
-    pairs = star.where("node <> pivot").select("node", "pivot").distinct()
-    pairs = pairs.join(sig.withColumnRenamed("sig", "a"), "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("b")), "pivot")
-    checked = written(_verified(pairs.select("node", "pivot", "a", "b"), threshold), "pairs")
-    failed = star.where("members > 2 AND node <> pivot").join(checked.where("NOT ok").select("node", "pivot"), ["node", "pivot"], "left_semi").select("bucket").distinct()
-    rest = star.where("members > 2").join(failed, "bucket", "left_semi").select("bucket", "node").join(sig, "node")
-    rest = rest.repartition("bucket").sortWithinPartitions("bucket", "node")
+    top = star.where("node = pivot").select("bucket", "node", F.min("node").over(by).alias("pivot"))
+    top = written(top.where("node <> pivot"), "tops")
+    below = star.where("node <> pivot")
+    pairs = written(below.select("node", "pivot").union(top.select("node", "pivot")).distinct(), "links")
+    needed = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
+    sig = written(signed.select("node", "sig").join(needed, "node", "left_semi").dropDuplicates(["node"]), "candidates")
+    both = pairs.join(sig.withColumnRenamed("sig", "a"), "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("b")), "pivot")
+    checked = written(_verified(both.select("node", "pivot", "a", "b"), threshold), "pairs", instead_of=pairs)
+    good = checked.where("ok").select("node", "pivot")
+    bad = checked.where("NOT ok").select("node", "pivot")
+    # of each bucket with a link that failed: its members, and whether they are linked to its smallest node
+    lost_top = top.join(bad, ["node", "pivot"], "left_semi").select("bucket", F.col("node").alias("pivot"))
+    lost_below = below.join(bad, ["node", "pivot"], "left_semi").select("bucket", "node")
+    failed = written(lost_top.select("bucket").union(lost_below.select("bucket")).distinct(), "failed")
+    members = star.join(failed, "bucket", "left_semi").select("bucket", "node", "pivot").distinct()
+    lost = lost_below.union(members.join(lost_top.distinct(), ["bucket", "pivot"], "left_semi").select("bucket", "node"))
+    members = members.groupBy("bucket", "node").agg(F.count(F.lit(1)).alias("c")).join(lost.distinct().withColumn("odd", F.lit(True)), ["bucket", "node"], "left")
+    members = written(members.select("bucket", "node", F.coalesce("odd", F.lit(False)).alias("odd")), "members")
+    size = members.groupBy("bucket").agg(F.ceil(F.count_if("odd") / cell_rows).alias("o"), F.ceil(F.count_if(~F.col("odd")) / cell_rows).alias("p"))
+    m = members.join(size, "bucket")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("o")).otherwise(F.col("p")))
+    # odd chunks are 0 to o - 1, the others o to o + p - 1; a cell is a pair of chunks of which one at least is odd
+    m = m.withColumn("chunk", F.when(F.col("odd"), own).otherwise(own + F.col("o")))
+    partners = F.explode(F.when(F.col("odd"), F.sequence(F.lit(0).cast("long"), F.col("o") + F.col("p") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("o") - 1)))
+    # the smallest node is not odd, so every odd chunk has a partner, and a cell holds what its chunks have alone
+    m = m.select("bucket", "node", "odd", "chunk", partners.alias("partner")).where("chunk <> partner")
+    cell = F.xxhash64("bucket", F.least("chunk", "partner"), F.greatest("chunk", "partner")).alias("cell")
+    m = m.select(cell, "node", "odd").join(sig, "node").repartition("cell").sortWithinPartitions("cell", "node")
 
     def kernel(batches):
-        held_bucket, nodes, sigs = None, [], []
+        held, parts, found = None, [], []
 
         def flush():
-            if sum(map(len, nodes)) > 1:
-                n = np.concatenate(nodes)
-                for a, b in _linked(np.concatenate(sigs), threshold):
-                    yield int(max(n[a], n[b])), int(min(n[a], n[b]))
+            if parts:
+                node, odd, value = (np.concatenate(x) for x in zip(*parts))
+                return _cell_links(node, odd, value, threshold)
+            return []
 
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["node", "pivot"])
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["node", "pivot"])
 
-        found: list[tuple[int, int]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, node, value = batch.column("bucket").to_numpy(), batch.column("node").to_numpy(), _values(batch.column("sig"))
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            cell, node, odd, value = batch.column("cell").to_numpy(), batch.column("node").to_numpy(), batch.column("odd").to_numpy(zero_copy_only=False), _values(batch.column("sig"))
+            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             for a, b in zip(cuts, cuts[1:]):
-                if bucket[a] != held_bucket:
+                if cell[a] != held:
                     found += flush()
-                    held_bucket, nodes, sigs = bucket[a], [], []
-                nodes.append(node[a:b].copy())
-                sigs.append(value[a:b].copy())
+                    held, parts = cell[a], []
+                parts.append((node[a:b].copy(), odd[a:b].copy(), value[a:b].copy()))
             if len(found) > 50_000:
                 yield batch_of(found)
                 found = []
@@ -169,11 +241,8 @@ def links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if found:
             yield batch_of(found)
 
-    inside = rest.select("bucket", "node", "sig").mapInArrow(kernel, "node long, pivot long")
-    bare = signed.where("n = 0").groupBy("text_hash")
-    bare = signed.where("n = 0").join(bare.agg(F.min("node").alias("pivot")), "text_hash").where("node <> pivot").select("node", "pivot")
-    ship(spark)
-    return checked.where("ok").select("node", "pivot").union(inside).union(bare)
+    inside = m.select("cell", "node", "odd", "sig").mapInArrow(kernel, "node long, pivot long")
+    return good.union(inside)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,38 +260,41 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct(), "edges")
+        e = written(small.where("u <> v").distinct(), "edges", instead_of=e)
 
 
 def _groups(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and (node, doc_id, text_hash, keeper, size) of rows in groups."""
+    """The signed rows, and node, root, keeper, rows, size of the texts in groups of more than one row."""
     signed = written(sign(docs), "signatures")
-    found = components(links(signed, threshold)).join(signed.select("node", "doc_id", "text_hash"), "node")
-    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "node")).alias("keeper"), F.count(F.lit(1)).alias("size"))
-    return signed, written(found.join(best, "root"), "groups")
+    found = components(links(signed, threshold))
+    each = signed.groupBy("node", "doc_id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"))
+    each = each.groupBy("node").agg(F.min(F.struct("doc_id", "node", "row", "rows")).alias("least"), F.sum("rows").alias("rows"))
+    each = written(each.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "rows"), "texts")
+    whole = each.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("rows").alias("size")).where("size > 1")
+    return signed, written(each.select("node", "root").join(whole, "root"), "groups", instead_of=each)
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row that would go: its ``doc_id``, the ``doc_id`` that stays for it, and the group's size."""
-    _, groups = _groups(docs, threshold)
-    return groups.where("node <> keeper.node").select("doc_id", F.col("keeper.doc_id").alias("duplicate_of"), F.col("size").alias("group_size"))
+    signed, groups = _groups(docs, threshold)
+    rows = signed.select("row", "doc_id", "node").join(groups, "node").where("row <> keeper.row")
+    return rows.select("doc_id", F.col("keeper.doc_id").alias("duplicate_of"), F.col("size").alias("group_size"))
 
 
 def clean(docs: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates left; the same columns."""
-    signed, groups = _groups(docs, threshold)
-    key = ["doc_id", "text_hash"]
-    kept = groups.where("node = keeper.node").select(*key)
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    gone = groups.where("node <> keeper.node").select(*key).distinct()
-    gone = written(gone.join(kept, same(gone, kept), "left_anti"), "dropped")
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
-    if gone.count() <= broadcast_rows:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_hash")), "left_anti")
-    again = written(groups.groupBy(*key).count().where("count > 1").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")), "repeated")
+    _, groups = _groups(docs, threshold)
+    known = groups.select(F.col("node").alias("__node"), F.when(F.col("node") == F.col("keeper.node"), F.col("keeper")).alias("__keeper"))
+    if groups.count() <= broadcast_rows:
+        known = F.broadcast(known)
+    node = "__" + "_".join(docs.columns)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["text"].cast("string")).alias(node))
+    whole = whole.join(known, F.when(F.col("row.text").isNotNull(), F.col(node)) == F.col("__node"), "left")
+    is_keeper = F.col("row.doc_id").eqNullSafe(F.col("__keeper.doc_id")) & F.col("__keeper").isNotNull()
+    back = lambda d: d.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    left = back(whole.where(F.col("__node").isNull() | (is_keeper & (F.col("__keeper.rows") == 1))))
+    again = groups.where("node = keeper.node AND keeper.rows > 1").select("node")
     if again.isEmpty():
         return left
-    is_again = left["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(left["text"]) == F.col("__gone_hash"))
-    many = F.broadcast(again) if again.count() <= broadcast_rows else again
-    return left.join(many, is_again, "left_anti").unionByName(left.join(many, is_again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # a keeper that occurs several times: one of its rows
+    return left.unionByName(back(whole.where(is_keeper & (F.col("__keeper.rows") > 1)).dropDuplicates(["__node"])))
