@@ -13,8 +13,8 @@ for nothing but the one cut block of each source.
 
 Defined results:
 
-* tokens are maximal runs of non-space characters; null, empty or blank texts have none and are in no mix;
-* null ``source`` is a source of its own; null ``doc_id`` is a value like any other; repeated rows are
+* tokens are maximal runs of non-space characters, counted over the whole text, however long; null, empty or blank texts have none and are in no mix;
+* null ``source`` is a source of its own; ``doc_id`` may have any type that can be ordered, null is a value like any other; repeated rows are
   documents of their own (ties in a permutation are broken by text);
 * a source's realised tokens are its budget rounded up to the end of the document in which it is reached;
 * an empty table gives an empty mix; one source gets weight 1;
@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.storage import written
+from codestrata.storage import written
 
 TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, STEPS, BROADCAST_ROWS = 0.98, 4.0, 1_000_000, 60, 500_000
 ADDED = {"mix_tokens": "long", "mix_epoch": "long", "mix_block": "long", "mix_position": "long", "mix_order": "long", "mix_weight": "double"}
@@ -82,9 +82,11 @@ def mix(docs: DataFrame, budget_tokens: float | None = None, target_entropy: flo
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ADDED]
     base = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"))
-    base = base.select("row", F.coalesce(F.col("row.source").cast("string"), F.lit("(null)")).alias("s"), F.col("row.doc_id").cast("long").alias("i"), F.regexp_count(F.col("row.text").cast("string"), F.lit(r"\S+")).cast("long").alias("n")).where("n > 0")
-    base = base.withColumn("h", _hash(F.coalesce(F.col("i").cast("string"), F.lit("(null)")), F.col("n").cast("string")))
-    sized = written(base.select("s", "n", "h"), "sized")
+    base = base.select("row", F.coalesce(F.col("row.source").cast("string"), F.lit("(null)")).alias("s"), F.col("row.doc_id").cast("string").alias("i"), F.col("row.text").cast("string").alias("t")).where(F.col("t").rlike(r"\S"))
+    base = base.withColumn("h", _hash(F.coalesce("i", F.lit("(null)")), F.md5("t")))
+    # blocks follow from the hash alone, so tokens are counted once here and once where a document is used
+    count = F.regexp_count("t", F.lit(r"\S+")).cast("long")
+    sized = written(base.select("s", count.alias("n"), "h"), "sized")
     totals = [(r.s, r.t) for r in sized.groupBy("s").agg(F.sum("n").alias("t")).orderBy("s").collect()]  # a row by source
     if not totals:
         return docs.select(*kept, *[F.lit(None).cast(k).alias(c) for c, k in ADDED.items()]).limit(0)
@@ -102,10 +104,10 @@ def mix(docs: DataFrame, budget_tokens: float | None = None, target_entropy: flo
     near = F.broadcast if walk.count() <= broadcast_rows else lambda x: x
     d = base.join(per.select("s", "blocks"), "s").withColumn("block", F.pmod("h", "blocks")).drop("blocks")
     order_in_block = _hash(F.col("epoch").cast("string"), F.col("h").cast("string"))
-    whole = d.join(near(walk.where("NOT cut")), ["s", "block"]).withColumn("o", order_in_block)
-    part = d.join(near(walk.where("cut")), ["s", "block"]).withColumn("o", order_in_block)
-    inside = Window.partitionBy("s", "block", "epoch").orderBy("o", "h", "i", F.col("row.text")).rowsBetween(Window.unboundedPreceding, -1)
-    part = part.where(F.col("quota") > F.col("at")).withColumn("b", F.coalesce(F.sum("n").over(inside), F.lit(0))).where(F.col("at") + F.col("b") < F.col("quota")).drop("b")
+    use = lambda w: d.join(near(w), ["s", "block"]).withColumns({"o": order_in_block, "n": count})
+    whole, part = use(walk.where("NOT cut")), use(walk.where("cut AND quota > at"))
+    inside = Window.partitionBy("s", "block", "epoch").orderBy("o", "h", "row.doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("b", F.coalesce(F.sum("n").over(inside), F.lit(0))).where(F.col("at") + F.col("b") < F.col("quota")).drop("b")
     used = whole.unionByName(part)
     return used.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("n").alias("mix_tokens"), F.col("epoch").cast("long").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("at").alias("mix_position"), F.col("o").alias("mix_order"), F.col("weight").alias("mix_weight"))
 
@@ -125,7 +127,7 @@ _MD5 = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 #: :func:`mix` of ``documents(doc_id, text, source)``, without ``text``.
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, text, coalesce(source, '(null)') AS s, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n FROM documents),
-t AS (SELECT *, {_MD5.format("coalesce(CAST(doc_id AS VARCHAR), '(null)') || '|' || n")} AS h FROM d WHERE n > 0),
+t AS (SELECT *, {_MD5.format("coalesce(CAST(doc_id AS VARCHAR), '(null)') || '|' || md5(text)")} AS h FROM d WHERE n > 0),
 tot AS (SELECT s, CAST(sum(n) AS BIGINT) AS total FROM t GROUP BY s),
 f AS (SELECT list(total / budget ORDER BY s) AS p, max(budget) AS budget, count(*) AS k FROM (SELECT s, total, (SELECT sum(total) FROM tot) AS budget FROM tot) q),
 e AS (SELECT p, budget, greatest({_REPEATS}, CASE WHEN k > 1 THEN {_ENTROPY} ELSE 0.0 END) AS a FROM f),
