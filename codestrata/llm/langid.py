@@ -5,15 +5,16 @@ positions' probabilities into one distribution for a document.  Texts are cut in
 that are run side by side, both directions, with every byte in exactly one window, so a long text costs no
 more a byte than a short one and is read whole.
 
-The network is fitted on the driver on at most ``sample`` documents that carry a label; that bound is a
-parameter and the only one.  Scoring is a single pass without a shuffle.
+The network is fitted on the driver on at most ``sample`` documents that carry a label and ``SAMPLE_BYTES`` of each;
+that bound is a parameter and the only one.  Scoring is a single pass without a shuffle.
 
 A document is rejected if its best probability is under ``min_probability`` or if it has no byte to label.
 
 Defined results:
 
 * null, empty or blank text: no language, probability 0, rejected;
-* null ``lang`` or ``doc_id``: not used for fitting (null ``lang``), scored as any other row;
+* null ``lang``: not used for fitting, scored as any other row; ``doc_id`` may have any type, null is a value like any
+  other; more than ``MAX_LANGUAGES`` labels are an error;
 * repeated rows: scored alike, each by itself; ties between languages go to the first in sorted order;
 * no labelled row at all: there is nothing to reject by, so every document is kept with a null language;
 * extra columns: :func:`identify` returns its own columns only, :func:`clean` those of its input.
@@ -23,14 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from codestrata.llm.storage import ship
+from codestrata.storage import ship
 from codestrata.llm.textkernel import raw, slices
 
-HIDDEN, WINDOW, SAMPLE, STEPS, MIN_PROBABILITY = 8, 64, 1200, 260, 0.5
-SCHEMA = "doc_id long, language string, probability double, n_positions long, labels array<string>, position_counts array<long>, probabilities array<double>, keep boolean"
+HIDDEN, WINDOW, SAMPLE, SAMPLE_BYTES, STEPS, MIN_PROBABILITY, MAX_LANGUAGES = 8, 64, 1200, 16384, 260, 0.5, 1000
+SCHEMA = "language string, probability double, n_positions long, labels array<string>, position_counts array<long>, probabilities array<double>, keep boolean"
 _BLOCK = 1024
 
 
@@ -180,28 +183,39 @@ class Network:
         return probability / np.maximum(size, 1)[:, None], counts, size
 
 
+def sampled(docs: DataFrame, sample: int, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
+    """(language, bytes) of at most ``sample`` labelled documents, in equal parts by language, and of each at most ``sample_bytes``.
+
+    Chosen are the smallest hashes of id and text, by a limit that each task applies before anything is moved; of a longer
+    text sixteen stretches, evenly spread.  So what reaches the driver is bounded whatever ids and texts are.
+    """
+    d = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"), F.col("lang").cast("string").alias("l"), F.col("text").cast("string").alias("t")).where("l IS NOT NULL AND t RLIKE '\\\\S'")
+    counts = {r.l: (r.n, r.least) for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages: the label is none")
+    if not counts:
+        return []
+    each = max(1, sample // len(counts))
+    # most rows go by a threshold that leaves about twice as many as are needed; the rank makes it exact.  Of a language
+    # whose rows repeat a few, those of the smallest hash stay
+    share = F.create_map(*[x for k, (n, _) in counts.items() for x in (F.lit(k), F.lit(min(1.0, (2 * each + 20) / n)))])
+    least = F.create_map(*[x for k, (_, h) in counts.items() for x in (F.lit(k), F.lit(h))])
+    d = d.where((F.shiftrightunsigned("h", 33) <= share[F.col("l")] * float(1 << 31)) | (F.col("h") == least[F.col("l")]))
+    piece, b = sample_bytes // 16, F.encode("t", "utf-8")
+    spread = F.concat(*[F.substr(b, F.floor((F.octet_length("t") - piece) * k / 15).cast("int") + 1, F.lit(piece)) for k in range(16)])
+    d = d.select("l", "h", F.when(F.octet_length("t") > sample_bytes, spread).otherwise(b).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "b"))
+    return sorted((r.l, bytes(r.b)) for r in d.withColumn("r", rank).where(F.col("r") <= each).collect())
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN, window: int = WINDOW, steps: int = STEPS) -> Network | None:
-    """Fit on at most ``sample`` labelled documents, in equal parts by language, chosen by the hash of ``doc_id``."""
-    d = docs.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("text").alias("t")).where("l IS NOT NULL")
-    counts = {r.l: r["count"] for r in d.select("l").groupBy("l").count().collect()}
-    labels = sorted(counts)
-    if not labels:
-        return None
-    each = max(1, sample // len(labels))
-    share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, 1.5 * each / counts[k])))])
-    chosen = d.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20)).where("length(trim(t)) > 0")
-    rows, texts, y = {}, [], []
-    for r in chosen.select("l", F.encode("t", "utf-8").alias("b"), F.xxhash64("i").alias("h")).toLocalIterator():
-        rows.setdefault(r.l, []).append((r.h, bytes(r.b)))
-    labels = sorted(rows)
-    for k, name in enumerate(labels):
-        for _, b in sorted(rows[name])[:each]:
-            texts.append(b)
-            y.append(k)
-    if not texts:
+    """Fit on :func:`sampled` documents."""
+    rows = sampled(docs, sample)
+    if not rows:
         return None
+    labels = sorted({k for k, _ in rows})
     net = Network(labels, hidden)
-    net.fit(texts, y, window, steps)
+    net.fit([b for _, b in rows], [labels.index(k) for k, _ in rows], window, steps)
     return net
 
 
@@ -209,17 +223,18 @@ def _decide(net: Network, arr: pa.Array, window: int, min_probability: float):
     probability, counts, size = net.score(arr, window)
     best = probability.argmax(axis=1)
     top = probability[np.arange(len(best)), best] if len(best) else np.zeros(0)
-    blank = np.array([not (s and s.strip()) for s in arr.to_pylist()], bool)
+    blank = pc.fill_null(pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(arr)), 0), True).to_numpy(zero_copy_only=False)
     top = np.where(blank, 0.0, top)
     return probability, counts, size, best, top, blank, ~blank & (top >= min_probability)
 
 
 def identify(docs: DataFrame, train_on: DataFrame | None = None, min_probability: float = MIN_PROBABILITY, window: int = WINDOW, **fit) -> DataFrame:
-    """One row for each document: language, pooled probabilities, positions by label, verdict."""
+    """One row for each document: ``doc_id``, language, pooled probabilities, positions by label, verdict."""
     spark = docs.sparkSession
     ship(spark)
     net = train(docs if train_on is None else train_on, window=window, **fit)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = StructType([d.schema["doc_id"], *_parse_datatype_string(SCHEMA).fields])
     if net is None:
         return d.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_positions"), F.array().cast("array<string>").alias("labels"), F.array().cast("array<long>").alias("position_counts"), F.array().cast("array<double>").alias("probabilities"), F.lit(True).alias("keep"))
     model = spark.sparkContext.broadcast(net)
@@ -234,10 +249,10 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, min_probability
                 name = [None if b else net.labels[k] for b, k in zip(blank, best)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(name, pa.string()), pa.array(top), pa.array(size), pa.ListArray.from_arrays(off, pa.array(net.labels * n, pa.string())), pa.ListArray.from_arrays(off, pa.array(counts.ravel())), pa.ListArray.from_arrays(off, pa.array(probability.ravel())), pa.array(keep)],
-                    names=[x.split()[0] for x in SCHEMA.split(", ")],
+                    names=schema.names,
                 )
 
-    return d.mapInArrow(kernel, SCHEMA)
+    return d.mapInArrow(kernel, schema)
 
 
 def clean(docs: DataFrame, train_on: DataFrame | None = None, min_probability: float = MIN_PROBABILITY, window: int = WINDOW, **fit) -> DataFrame:
