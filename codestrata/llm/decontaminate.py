@@ -6,15 +6,16 @@ against the benchmark item.  Verified windows are merged into spans; a text of w
 ``drop_share`` of the words are covered is dropped, otherwise the covered words go, each with the separators
 that follow it.  No shuffle and no sort: one pass over the text.
 
-What is broadcast is bounded by ``part_bytes`` of benchmark text.  A larger benchmark is split by item into
-parts of that size and the texts are scanned once per part, so memory never grows with the benchmark.  Each part
+What is broadcast is the index of at most about ``part_bytes`` of benchmark text (one item more where an item is
+longer), some ten times that size.  A larger benchmark is split by item into parts and the texts are scanned once
+per part, so memory does not grow with the number of items.  Each part
 but the last only notes the words it covers beside the text, which is written to the shared folder between parts;
 the last unites them and decides, so the result is that of one part.
 
 Defined results:
 
-* null or wordless text: no window, kept as it is; null ``doc_id`` is carried through; repeated rows are
-  treated one by one, alike;
+* words are runs of letters and digits of any script; null or wordless text: no window, kept as it is;
+* ``doc_id`` may have any type and is carried through, null too; repeated rows are treated one by one, alike;
 * a benchmark item shorter than ``n`` words is matched whole if it has ``min_words`` words, else ignored;
   null and repeated items are harmless; an empty benchmark hits nothing;
 * a text of any length is read whole; ties cannot arise (spans are a union);
@@ -32,81 +33,86 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
-from codestrata.llm.storage import ship, written
+from codestrata.storage import ship, written
 from codestrata.llm.textkernel import Words, gram_mask, grams, slices
 
-N, MIN_WORDS, DROP_SHARE, PART_BYTES = 8, 4, 0.5, 64 << 20
-HITS = "doc_id long, action string, n_tokens long, covered_tokens long, n_spans long, item_ids string, clean_text string"
+N, MIN_WORDS, DROP_SHARE, PART_BYTES = 8, 4, 0.5, 16 << 20
+HITS = "action string, n_tokens long, covered_tokens long, n_spans long, item_ids string, clean_text string"
 _BITS = 1 << 22
 
 
 class Index:
-    """Hash set of one part of the benchmark, with the words to verify by."""
+    """Sorted n-gram hashes of one part of the benchmark, with the words to verify by.
+
+    Arrays only: about 50 bytes for each word of the benchmark and the bit tables, on the driver and in each worker.
+    """
 
     def __init__(self, rows: list[tuple], n: int, min_words: int):
         rows = [r for r in rows if r[1]]
         w = Words(pa.array([r[1] for r in rows], pa.large_string()))
-        text = w.buf.tobytes()
-        self.refs: dict[int, dict[int, list[tuple[tuple, int]]]] = {}
-        self.tables: dict[int, np.ndarray] = {}
-        for i, (item, _) in enumerate(rows):
-            a, b = w.ptr[i], w.ptr[i + 1]
-            size = min(n, b - a)
-            if size < min(n, min_words):
-                continue
-            words = tuple(text[s:e] for s, e in zip(w.start[a:b], w.end[a:b]))
-            of = self.refs.setdefault(int(size), {})
-            for k, g in enumerate(grams(w.h[a:b], size).tolist()):
-                known = of.setdefault(g, [])
-                entry = (words[k : k + size], item)
-                if entry not in known:
-                    known.append(entry)
-        for size, of in self.refs.items():
-            table = np.zeros(_BITS, bool)
-            table[(np.fromiter(of, np.uint64, len(of)) % np.uint64(_BITS)).astype(np.int64)] = True
-            self.tables[size] = np.packbits(table)
-
-    def scan(self, arr: pa.Array) -> list[tuple[int, np.ndarray, set, Words]]:
-        """(row, covered mask over its words, items, words of the slice) of each text that verifiably hits."""
+        self.items, self.text, self.start, self.end = [r[0] for r in rows], w.buf.tobytes(), w.start, w.end
+        size = np.minimum(w.counts, n)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in sorted(set(size[size >= min(n, min_words)].tolist())):
+            own = np.zeros(len(w.h), bool)
+            for i in np.flatnonzero(size == k):
+                own[w.ptr[i] : w.ptr[i + 1] - k + 1] = True
+            at = np.flatnonzero(own)
+            item = np.searchsorted(w.ptr, at, side="right") - 1
+            h = grams(w.h, k)[at]
+            order = np.lexsort((at, item, h))
+            h, at, item = h[order], at[order], item[order]
+            fresh = np.r_[True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])]
+            self.grams[k] = h[fresh], at[fresh], item[fresh]
+        self._open: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
+
+    def table(self, k: int) -> np.ndarray:
+        """Bit table of the grams of ``k`` words, made once in each worker."""
+        if k not in self._open:
+            h = self.grams[k][0]
+            bits = np.zeros(max(_BITS, 1 << int(16 * len(h)).bit_length()), bool)
+            bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+            self._open[k] = bits
+        return self._open[k]
+
+    def _words(self, p: int, k: int) -> bytes:
+        return b" ".join([self.text[s:e] for s, e in zip(self.start[p : p + k].tolist(), self.end[p : p + k].tolist())])
+
+    def scan(self, arr: pa.Array) -> list[tuple[int, np.ndarray, set]]:
+        """(row, covered mask over its words, items) of each text that verifiably hits."""
         w = Words(arr)
         covered: dict[int, np.ndarray] = {}
         items: dict[int, set] = {}
         text = None
-        for size, of in self.refs.items():
-            bits = np.unpackbits(self.tables[size]).view(bool) if not hasattr(self, "_open") else self._open[size]
-            g = grams(w.h, size)
-            at = np.flatnonzero(bits[(g & np.uint64(_BITS - 1)).astype(np.int64)] & gram_mask(w.ptr, len(w.h), size))
+        for k, (known, place, item) in self.grams.items():
+            bits, g = self.table(k), grams(w.h, k)
+            at = np.flatnonzero(bits[(g & np.uint64(len(bits) - 1)).astype(np.int64)] & gram_mask(w.ptr, len(w.h), k))
+            lo, hi = np.searchsorted(known, g[at]), np.searchsorted(known, g[at], side="right")
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
             rows = np.searchsorted(w.ptr, at, side="right") - 1
-            for p, row, h in zip(at.tolist(), rows.tolist(), g[at].tolist()):
-                known = of.get(h)
-                if known is None:
-                    continue
+            for p, row, a, b in zip(at.tolist(), rows.tolist(), lo.tolist(), hi.tolist()):
                 text = text or w.buf.tobytes()
-                words = tuple(text[s:e] for s, e in zip(w.start[p : p + size], w.end[p : p + size]))
-                for entry, item in known:
-                    if entry == words:
-                        if row not in covered:
-                            covered[row] = np.zeros(w.ptr[row + 1] - w.ptr[row], bool)
-                            items[row] = set()
-                        covered[row][p - w.ptr[row] : p - w.ptr[row] + size] = True
-                        items[row].add(item)
-        return [(r, covered[r], items[r], w) for r in sorted(covered)]
-
-    def opened(self) -> Index:
-        if not hasattr(self, "_open"):
-            self._open = {k: np.unpackbits(t).view(bool) for k, t in self.tables.items()}
-        return self
+                words = b" ".join([text[s:e] for s, e in zip(w.start[p : p + k].tolist(), w.end[p : p + k].tolist())])
+                for q in range(a, b):
+                    if self._words(place[q], k) != words:
+                        continue
+                    if row not in covered:
+                        covered[row] = np.zeros(w.ptr[row + 1] - w.ptr[row], bool)
+                        items[row] = set()
+                    covered[row][p - w.ptr[row] : p - w.ptr[row] + k] = True
+                    items[row].add(self.items[item[q]])
+        return [(r, covered[r], items[r]) for r in sorted(covered)]
 
 
 def _cut(text: str, covered: np.ndarray) -> str:
     """``text`` without the covered words, each removed with the separators after it."""
     own = Words(pa.array([text], pa.large_string()), lower=False, hashes=False)
     data = own.buf.tobytes()
-    if len(own.start) != len(covered):  # lower-casing never changes what is a letter here; be safe if it ever does
-        own = Words(pc.utf8_lower(pa.array([text], pa.large_string())), lower=False, hashes=False)
-        data = own.buf.tobytes()
     bounds = [*own.start.tolist(), len(data)]
     kept = [data[: bounds[0]]] + [data[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~covered).tolist()]
     return b"".join(kept).decode("utf-8", "replace")
@@ -122,13 +128,13 @@ def _parts(benchmark: DataFrame, n: int, min_words: int, part_bytes: int):
     for k in range(parts):
         own = b.where(F.pmod(F.xxhash64("passage"), F.lit(parts)) == k) if parts > 1 else b
         index = Index([tuple(r) for r in own.toLocalIterator()], n, min_words)
-        if index.refs:
+        if index.grams:
             yield spark.sparkContext.broadcast(index)
 
 
 def _covered(index: Index, part: pa.RecordBatch, noted: str | None) -> list[tuple[int, np.ndarray, set]]:
     """(row, covered mask, items) of each text that this part of the benchmark or one before it hits."""
-    found = {row: (covered, items) for row, covered, items, _ in index.scan(part.column("text"))}
+    found = {row: (covered, items) for row, covered, items in index.scan(part.column("text"))}
     for row, x in enumerate(part.column(noted).to_pylist() if noted else ()):
         if x is not None:
             bits, n, items = pickle.loads(x)
@@ -148,7 +154,7 @@ def _noted(d: DataFrame, benchmark: DataFrame, n: int, min_words: int, part_byte
             before, name = name, name or "_" * (1 + max(map(len, columns))) + "covered"
 
             def kernel(batches, index=index, before=before, name=name):
-                ix = index.value.opened()
+                ix = index.value
                 for batch in batches:
                     for part in slices(batch, "text"):
                         notes: list[bytes | None] = [None] * part.num_rows
@@ -165,13 +171,14 @@ def _noted(d: DataFrame, benchmark: DataFrame, n: int, min_words: int, part_byte
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each contaminated document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = StructType([d.schema["doc_id"], *_parse_datatype_string(HITS).fields])
     d, noted, index = _noted(d, benchmark, n, min_words, part_bytes)
     if index is None:
-        return docs.sparkSession.createDataFrame([], HITS)
+        return docs.sparkSession.createDataFrame([], schema)
 
     def kernel(batches):
-        ix = index.value.opened()
+        ix = index.value
         for batch in batches:
             for part in slices(batch, "text"):
                 found = []
@@ -179,14 +186,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN
                     share = covered.mean()
                     spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                     drop = share >= drop_share
-                    found.append((part.column("doc_id")[row].as_py(), "drop" if drop else "cut", len(covered), int(covered.sum()), spans, ",".join(str(i) for i in sorted(i for i in items if i is not None)), None if drop else _cut(part.column("text")[row].as_py(), covered)))
+                    found.append((row, "drop" if drop else "cut", len(covered), int(covered.sum()), spans, ",".join(str(i) for i in sorted(i for i in items if i is not None)), None if drop else _cut(part.column("text")[row].as_py(), covered)))
                 if found:
-                    cols = list(zip(*found))
-                    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                    names = [x.split()[0] for x in HITS.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                    rows, *cols = zip(*found)
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), *map(pa.array, cols, kinds)], names=schema.names)
 
-    return d.mapInArrow(kernel, HITS)
+    return d.mapInArrow(kernel, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -199,7 +205,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
         return docs
 
     def kernel(batches):
-        ix = index.value.opened()
+        ix = index.value
         for batch in batches:
             for part in slices(batch, "text"):
                 found = _covered(ix, part, noted)

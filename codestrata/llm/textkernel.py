@@ -1,6 +1,7 @@
 """Whole-batch text kernels on Arrow buffers.
 
-Words are maximal runs of letters and digits; the text is lower-cased first (one code point at a time).
+Words are maximal runs of letters and digits of any script; the text is lower-cased first (one code point at a
+time, which never makes a letter of what is none, or the other way round).
 Everything is vectorised over a slice of a record batch, so no Python object is made per word.  Words get
 64-bit hashes from prefix sums of a polynomial in an odd base, which has an inverse modulo 2**64.
 """
@@ -8,6 +9,7 @@ Everything is vectorised over a slice of a record batch, so no Python object is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,17 @@ _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-def _word_bytes() -> np.ndarray:
-    t = np.zeros(256, bool)
-    for a, b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-        t[a:b] = True
+ASCII_WORD = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter or a digit, for all of them."""
+    t = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    t[[0xA7CB, 0xA7DC]] = True  # capitals that Arrow's tables know already and Python's do not
     return t
 
 
-WORD_BYTE = _word_bytes()
 _POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -75,16 +80,22 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_mask(buf: np.ndarray) -> np.ndarray:
-    """Bytes that belong to words: ASCII letters and digits, and non-ASCII bytes outside the common punctuation blocks."""
-    w = WORD_BYTE[buf]
-    for lead, seconds, width in ((0xC2, (0x80, 0xC0), 2), (0xE2, (0x80, 0x82), 3), (0xE3, (0x80, 0x81), 3)):
-        p = np.flatnonzero(buf[: max(0, len(buf) - 1)] == lead)
-        if len(p):
-            p = p[(buf[p + 1] >= seconds[0]) & (buf[p + 1] < seconds[1])]
-            if lead == 0xC2:
-                p = p[~np.isin(buf[p + 1], (0xAA, 0xB5, 0xBA))]
-            for k in range(width):
-                w[np.minimum(p + k, len(buf) - 1)] = False
+    """Bytes that belong to letters and digits of any script; marks, symbols and punctuation are none."""
+    w = ASCII_WORD[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if not len(lead):
+        return w
+    first, last = buf[lead], len(buf) - 1
+    for width, low, high, bits in ((2, 0xC0, 0xE0, 31), (3, 0xE0, 0xF0, 15), (4, 0xF0, 0x100, 7)):
+        at = lead[(first >= low) & (first < high)]
+        if not len(at):
+            continue
+        point = buf[at].astype(np.int32) & bits
+        for k in range(1, width):
+            point = (point << 6) | (buf[np.minimum(at + k, last)] & 63)
+        at = at[letters()[np.minimum(point, 0x10FFFF)]]
+        for k in range(width):
+            w[np.minimum(at + k, last)] = True
     return w
 
 
