@@ -14,7 +14,7 @@ of the template list and independent of the data.
 Defined results:
 
 * null, empty and wordless texts have no licence; a text is read whole, and every occurrence is reported;
-* null ``doc_id`` is carried through; repeated rows are reported one by one, alike;
+* ``doc_id`` may have any type and is carried through, null too; repeated rows are reported one by one, alike;
 * several templates at the same place are all reported; of two candidates of one template that overlap the one
   with the better coverage stands, the earlier on ties; words of equal frequency are indexed in alphabetical order;
 * an empty table gives an empty result; extra columns are not read.
@@ -29,34 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from codestrata.llm.storage import ship
+from codestrata.storage import ship
+from codestrata.llm.license_texts import NOTICES, TEXTS
 from codestrata.llm.sums import partition_sum
 from codestrata.llm.textkernel import Words, slices
 
 INDEX_WORDS, SLACK, MIN_COVERAGE = 5, 3, 0.7
-SCHEMA = "doc_id long, license string, first_word long, n_words long, start_byte long, end_byte long, votes long, coverage double"
-
-#: name, template text, mandatory key phrases; "..." in a text stands for any number of other words
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ["apache license version 2 0"]),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', ["apache license version 2 0", "in compliance with the license"]),
-    ("MIT", "Released under the MIT License.", ["mit license"]),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license version 3"]),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu general public license", "either version 3 of the license or at your option any later version"]),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["gnu general public license", "either version 2 of the license or at your option any later version"]),
-    ("LGPL-2.1-or-later", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", ["gnu lesser general public license", "either version 2 1 of the license"]),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: ... Neither the name of ... nor the names of its contributors may be used", ["redistribution and use in source and binary forms", "neither the name of", "nor the names of"]),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license v 2 0"]),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ["cc by nc 4 0"]),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution 4 0 international"]),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ["waived all copyright and related or neighboring rights"]),
-    ("Unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software released into the public domain"]),
-    ("proprietary", "All rights reserved.", ["all rights reserved"]),
-]
+SCHEMA = "license string, first_word long, n_words long, start_byte long, end_byte long, votes long, coverage double"
+
+TEMPLATES = [*NOTICES, *TEXTS]
 
 
 def tokens(text: str) -> list[str]:
@@ -199,10 +182,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, index_words: int = INDEX_WORDS, m
     """One row for each licence that stands in a file."""
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = StructType([d.schema["doc_id"], *_parse_datatype_string(SCHEMA).fields])
     vocabulary = sorted({w for _, t, _ in templates for w in tokens(t)})
     if not vocabulary:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(RareIndex(templates, *_frequencies(d, vocabulary), index_words, min_coverage))
 
     def kernel(batches):
@@ -213,9 +197,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, index_words: int = INDEX_WORDS, m
                 found = index.scan(w)
                 if not found:
                     continue
-                ids = part.column("doc_id")
-                rows = [(ids[r].as_py(), index.templates[t].name, first, n, int(w.start[w.ptr[r] + first] - w.off[r]), int(w.end[w.ptr[r] + first + n - 1] - w.off[r]), votes, coverage) for r, t, first, n, votes, coverage in found]
-                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                rows = [(index.templates[t].name, first, n, int(w.start[w.ptr[r] + first] - w.off[r]), int(w.end[w.ptr[r] + first + n - 1] - w.off[r]), votes, coverage) for r, t, first, n, votes, coverage in found]
+                kinds = [pa.string(), *[pa.int64()] * 5, pa.float64()]
+                ids = part.column("doc_id").take(pa.array([f[0] for f in found]))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=schema.names)
 
-    return d.mapInArrow(kernel, SCHEMA)
+    return d.mapInArrow(kernel, schema)
