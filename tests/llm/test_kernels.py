@@ -3,13 +3,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codestrata.llm import exact_topk, langid, near_dedup, quality, token_counts
-from codestrata.llm.textkernel import Words, gram_mask, grams, slices
+from codestrata.llm.textkernel import Words, gram_mask, grams, letters, slices
 
-TEXT = st.lists(st.text(alphabet=st.sampled_from(list("ab Zé1_.,«ß\n\t—x９")), max_size=40), min_size=1, max_size=8)
+TEXT = st.lists(st.text(alphabet=st.sampled_from(list("ab Zé1_.,«ß\n\t—x９😀甲，乙→ह\u0301Ⅳ𝒜")), max_size=40), min_size=1, max_size=8)
 
 
 @settings(max_examples=150, deadline=None)
@@ -21,6 +23,12 @@ def test_words_are_runs_of_letters_and_digits(texts):
     assert got == [re.findall(r"[^\W_]+", t.lower()) for t in texts]
 
 
+def test_lower_case_keeps_letters_letters():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    low = pc.utf8_lower(pa.array([chr(c) for c in points])).to_pylist()
+    assert all(len(x) == 1 and letters()[c] == letters()[ord(x)] for c, x in zip(points, low))
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXT)
 def test_hashes_tell_words_and_grams_apart(texts):
@@ -62,19 +70,29 @@ def test_linkage_connects_chains():
     assert near_dedup._linked(a[[0, 2]], 0.5) == []
 
 
-def test_vector_blocks_equal_brute_force():
-    rng = np.random.default_rng(0)
-    for n, dim, k, cells in ((50, 3, 4, 4), (300, 8, 10, 256), (40, 5, 50, 16)):
-        x = np.round(rng.normal(size=(n, dim)), 1 if dim == 3 else 7).astype(np.float32)  # coarse values: many ties
-        ids = np.arange(n)
-        low, step = x.min(0).astype(float), (x.max(0) - x.min(0)).astype(float) / cells
-        code = np.clip(np.floor((x - low) / step), 0, cells - 1).astype(np.uint8)
-        radius = np.nextafter(np.sqrt(((x - (low + (code + 0.5) * step).astype(np.float32)) ** 2).sum(1)).astype(np.float32), np.float32(np.inf))
-        r, c, d = exact_topk.search_block(x, ids, x, ids, code, radius, low, step, k)
-        d2 = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
-        for i in range(n):
-            want = sorted((d2[i, j], j) for j in range(n) if j != i)[:k]
-            assert [(v, j) for v, j in zip(d[r == i], c[r == i])] == want
+@pytest.mark.parametrize("offset, spread, dim, n", [(0, 1, 8, 300), (100, 0.01, 64, 900), (1e3, 0.1, 64, 900), (1e4, 1, 128, 900), (0, 1e20, 32, 600), (1e20, 1e15, 16, 600), (0, 1e-20, 16, 600), (5, 0, 4, 60), (0, 1, 3, 60)])
+def test_two_scans_equal_brute_force_wherever_the_vectors_lie(offset, spread, dim, n):
+    rng, k, step = np.random.default_rng(0), 5, 250
+    x = (offset + spread * rng.normal(size=(n, dim))).astype(np.float32)
+    if dim == 3:
+        x = np.round(x, 1)  # many ties
+    x[7] = x[3]
+    ids = np.arange(n)
+    grid = exact_topk.Grid(x.astype(float).min(0), x.astype(float).max(0))
+    code, radius = grid.encode(x)
+    q, best, found, read = exact_topk.Queries(grid, x[:200], ids[:200]), np.full((min(n, 200), k), np.inf), {}, 0
+    for a in range(0, n, step):
+        exact_topk.upper_bounds(q, code[a : a + step], radius[a : a + step], ids[a : a + step], best)
+    for a in range(0, n, step):
+        r, c, d, m = exact_topk.nearest(q, code[a : a + step], radius[a : a + step], ids[a : a + step], x[a : a + step], best[:, k - 1], k)
+        read += m
+        for i, j, v in zip(r.tolist(), ids[a : a + step][c].tolist(), d.tolist()):
+            found.setdefault(i, []).append((v, j))
+    for i in range(len(q)):
+        d2 = ((x[i].astype(float) - x.astype(float)) ** 2).sum(1)
+        assert sorted(found[i])[:k] == sorted((d2[j], j) for j in range(n) if j != i)[:k]
+    if dim > 8:
+        assert read < 40 * len(q)  # exact vectors of few are read
 
 
 def test_gradients_match_finite_differences():
@@ -97,6 +115,35 @@ def test_gradients_match_finite_differences():
             assert abs((up - down) / (2 * e) - g[k].ravel()[i]) < 2e-3, k
 
 
+def test_score_equals_a_network_run_byte_by_byte():
+    net = langid.Network(["a", "b", "c"], hidden=5, seed=3)
+    texts, window = ["hello world, é", "x", "", "y" * 21], 7
+    p, votes, n = net.score(pa.array(texts), window)
+
+    def states(data, d):
+        x, u, bias, h = net.p["x" + d].astype(float), net.p["u" + d].astype(float), net.p["b" + d][:, 0].astype(float), np.zeros(net.h)
+        out = [None] * len(data)
+        for t in range(len(data)) if d == "f" else reversed(range(len(data))):
+            g, q = x[:, data[t]], u @ h
+            z, r = (1 / (1 + np.exp(-(g[a : a + net.h] + q[a : a + net.h]))) for a in (0, net.h))
+            new = np.tanh(g[2 * net.h :] + r * (q[2 * net.h :] + bias))
+            h = new + z * (h - new)
+            out[t] = h
+        return out
+
+    for i, text in enumerate(texts):
+        data, total, count = text.encode(), np.zeros(3), np.zeros(3, int)
+        for a in range(0, len(data), window):
+            own = data[a : a + window]
+            for f, b in zip(states(own, "f"), states(own, "b")):
+                z = net.p["of"] @ f + net.p["ob"] @ b + net.p["c"][:, 0]
+                e = np.exp(z - z.max())
+                total += e / e.sum()
+                count[z.argmax()] += 1
+        assert n[i] == len(data) and votes[i].tolist() == count.tolist()
+        assert np.allclose(p[i], total / max(1, len(data)), atol=1e-5)
+
+
 def test_every_position_is_labelled_once():
     net = langid.Network(["a", "b"])
     p, c, n = net.score(pa.array(["x" * 200, "", None, "é" * 40, "yz"]))
@@ -134,14 +181,19 @@ def test_edits_equal_a_full_recount():
         s = "".join(rng.choice(ALPHABET) for _ in range(rng.choice([0, 5, 300, 1500])))
         code = token_counts._points(s)
         begin = token_counts.starts(code)
-        tree = token_counts.Tree(code, begin, counter.many(code, begin))
+        lengths = np.diff(np.r_[begin, len(code)])
+        tree = token_counts.Tree.of(code, lengths, counter.many(code, begin))
         for _ in range(5):
+            tree = token_counts.Tree.load(token_counts._points(s), *tree.dump())
             at, cut = rng.randint(0, len(s)), rng.choice([0, 1, 3, 200])
             put = "".join(rng.choice(ALPHABET) for _ in range(rng.choice([0, 1, 4, 300])))
             tree.edit(counter, at, cut, token_counts._points(put))
             s = s[:at] + put + s[at + cut :]
-            got = np.concatenate([b for b, _ in tree.blocks]).tolist() if tree.blocks else []
-            assert got == [m.start() for m in regex.finditer(token_counts.PATTERN, s)]
+            got = np.concatenate([b for _, b, _ in tree.blocks]).tolist() if tree.blocks else []
+            assert got == [m.end() - m.start() for m in regex.finditer(token_counts.PATTERN, s)]
+            assert tree.text() == s and tree.levels[-1][0, 1] == len(s) and tree.pretokens == len(got)
+            for low, high in zip(tree.levels, tree.levels[1:]):
+                assert (np.add.reduceat(low, np.arange(0, len(low), 2), axis=0) == high).all()
             assert tree.total == len(counter.tokenizer().encode_ordinary(s))
 
 
@@ -149,6 +201,6 @@ def test_small_edits_encode_little_again():
     counter = token_counts.Counter(open(token_counts.VOCABULARY, "rb").read())
     code = token_counts._points("some words of a long text " * 4000)
     begin = token_counts.starts(code)
-    tree = token_counts.Tree(code, begin, counter.many(code, begin))
+    tree = token_counts.Tree.of(code, np.diff(np.r_[begin, len(code)]), counter.many(code, begin))
     again, nodes = tree.edit(counter, 50_000, 3, token_counts._points("new"))
     assert again < 30 and nodes < 60

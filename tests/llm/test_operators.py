@@ -108,10 +108,28 @@ def test_decontaminate_odd_input(spark, corpus):
     assert decontaminate.hits(d.limit(0), b).count() == decontaminate.clean(d.limit(0), b).count() == 0
 
 
+def test_decontaminate_any_script_and_string_ids(spark):
+    item = "甲，乙 a😀b c→d ह é nine ten"
+    d = spark.createDataFrame([("x", f"vorn {item.upper()}! hinten " + "und so weiter " * 20), ("y", "甲乙 ab cd ह é nine ten " + "und so weiter " * 20), (None, None)], "doc_id string, text string")
+    b = spark.createDataFrame([("i1", item)], "item_id string, text string")
+    (r,) = decontaminate.hits(d, b).collect()
+    assert (r.doc_id, r.action, r.n_tokens, r.covered_tokens, r.item_ids) == ("x", "cut", 72, 10, "i1")
+    assert r.clean_text.startswith("vorn hinten und")
+    assert decontaminate.hits(d, b).schema["doc_id"].dataType == d.schema["doc_id"].dataType
+
+
+def test_decontaminate_index_is_small():
+    import pickle
+
+    rng = random.Random(3)
+    rows = [(i, words(rng, 200)) for i in range(500)]
+    assert len(pickle.dumps(decontaminate.Index(rows, 8, 4))) < 12 * sum(len(t) for _, t in rows)
+
+
 # -- 2: exact top-k -------------------------------------------------------------------------------------------------
 
 
-def test_topk_equals_brute_force_over_several_shards(spark):
+def test_topk_equals_brute_force_in_blocks_of_queries(spark):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=(120, 6)), 1).astype(np.float32)
     x[7] = x[3]
@@ -119,12 +137,16 @@ def test_topk_equals_brute_force_over_several_shards(spark):
     odd = [(500, None, 0), (None, x[0].tolist(), 0), (501, [1.0], 0), (502, [float("nan")] * 6, 0), (503, [None] * 6, 0), rows[5]]
     v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumns({k: F.lit(1) for k in ("node", "shard", "x", "rank")})
     got = {}
-    for r in exact_topk.top_k(v, k=5, shard_rows=32).orderBy("vec_id", "rank").collect():
+    for r in exact_topk.top_k(v, k=5, query_rows=32).orderBy("vec_id", "rank").collect():
         got.setdefault(r.vec_id, []).append((r.neighbor_id, r.distance))
     d2 = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
     assert got == {i: [(j, round(float(np.sqrt(d)), 6)) for d, j in sorted((d2[i, j], j) for j in range(120) if j != i)[:5]] for i in range(120)}
     assert exact_topk.top_k(v.limit(0)).count() == 0
     assert exact_topk.top_k(v.where("vec_id < 3"), k=5).count() == 6
+    named = v.withColumn("vec_id", F.format_string("v%03d", "vec_id")).withColumn("vec_id", F.when(F.col("vec_id") != "vnull", F.col("vec_id")))
+    some = exact_topk.top_k(named, k=5, queries="vec_id < 'v010'").collect()
+    assert {(int(r.vec_id[1:]), r["rank"]): (int(r.neighbor_id[1:]), r.distance) for r in some} == {(i, k + 1): x for i in range(10) for k, x in enumerate(got[i])}
+    assert exact_topk.top_k(v, queries="false").count() == 0
 
 
 # -- 3: quality -----------------------------------------------------------------------------------------------------
@@ -162,17 +184,42 @@ def test_quality_held_out_accuracy_and_odd_input(spark):
     assert quality.clean(d, one).count() >= len(rows)
 
 
-def test_normal_equations_equal_a_direct_fit(spark):
-    rows, labels = quality_corpus(spark, 120)
-    d = frame(spark, rows)
+def test_quality_equals_a_direct_computation(spark):
+    rows, labels = quality_corpus(spark, 160)
+    rows[5] = (5, rows[4][1], "en", "s")  # equal scores, unlike labels
+    d, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     stats = quality._stats(d).cache()
-    m = quality.fit(stats, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    fold = {r.doc_id: (r.k, np.array(r.f, float)) for r in stats.select("doc_id", "f", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("k")).collect()}
-    use = [i for i in fold if fold[i][0] != 0]
-    z = m.features(np.array([fold[i][1] for i in use]))
-    y = np.array([labels[i][1] for i in use], float)
-    beta = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    m = quality.fit(stats, lab)
+    fold = {r.doc_id: (r.k, np.array(r.f, float)) for r in stats.select("doc_id", "f", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("k")).collect()}
+    x, y, k = np.array([fold[i][1] for i, *_ in rows]), np.array([q for _, q, _ in labels], float), np.array([fold[i][0] for i, *_ in rows])
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, np.where(x.std(0) < 1e-9, 1, x.std(0)))
+    z = np.column_stack([np.sqrt(2 / len(m.b)) * np.cos(((x - m.mean) / m.scale).clip(-8, 8) @ m.w + m.b), np.ones(len(x))])
+    solve = lambda use: np.linalg.solve(z[use].T @ z[use] + quality.RIDGE * np.eye(z.shape[1]), z[use].T @ y[use])
+    beta = solve(np.ones(len(x), bool))
     assert np.allclose(beta, m.beta, atol=1e-6)
+    held = np.array([z[i] @ solve(k != k[i]) for i in range(len(x))])
+    cell = np.searchsorted(m.edges, np.round(held, 9), side="right")
+    pools = [[float(y[cell == c].sum()), float((cell == c).sum()), c] for c in sorted(set(cell))]
+    at = 0
+    while at + 1 < len(pools):  # pool what falls, from the start again each time
+        if pools[at][0] / pools[at][1] >= pools[at + 1][0] / pools[at + 1][1]:
+            pools[at : at + 2] = [[pools[at][0] + pools[at + 1][0], pools[at][1] + pools[at + 1][1], pools[at][2]]]
+            at = 0
+        else:
+            at += 1
+    for r in quality.classify(d, lab).collect():
+        score = float(z[r.doc_id] @ beta)
+        own = np.searchsorted(m.edges, np.round(score, 9), side="right")
+        want = next((g / t for g, t, c in reversed(pools) if c <= own), pools[0][0] / pools[0][1])
+        assert abs(r.score - score) < 1e-6 and abs(r.probability - want) < 1e-9 and r.keep == (want >= quality.MIN_PROBABILITY)
+
+
+def test_quality_with_few_labels_and_string_ids(spark):
+    rows, labels = quality_corpus(spark, 60)
+    d = frame(spark, rows).withColumn("doc_id", F.format_string("d%d", "doc_id"))
+    few = spark.createDataFrame([(f"d{i}", q) for i, q, _ in labels[:3]], "doc_id string, quality int")
+    assert quality.classify(d, few).count() == 60 and quality.clean(d, few.limit(1)).count() in (0, 60)
+    assert quality.clean(frame(spark, rows), few).count() == 60  # ids that fit none: no labelled row
 
 
 # -- 4: licences ----------------------------------------------------------------------------------------------------
@@ -192,11 +239,15 @@ def test_licenses_equal_a_plain_search(spark, corpus):
     got = licenses.scan(frame(spark, rows, clash=True)).collect()
     assert want <= {(r.doc_id, r.license) for r in got}
     exact = {(r.doc_id, r.license) for r in got if r.coverage == 1.0}
-    assert {x for x in exact if x not in want} <= {x for x in exact if x[1] in ("BSD", "GPL-2.0-or-later", "GPL-3.0-or-later")}
+    assert {x for x in exact if x not in want} <= {x for x in exact if x[1].split()[0] in ("BSD", "BSD-2-Clause", "BSD-3-Clause", "MIT", "GPL-2.0-or-later", "GPL-3.0-or-later")}
     assert licenses.scan(frame(spark, corpus, clash=True)).count() == 0
     assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
     edited = [(1, "Permission is hereby granted, free of charge, to any individual obtaining one copy of this software and associated documentation files, to deal in the Software without restriction", "en", "s"), (2, "license version public the of under all without", "en", "s")]
     assert [(r.doc_id, r.license) for r in licenses.scan(frame(spark, edited)).collect()] == [(1, "MIT")]
+    whole = [(i, "Copyright (c) 2020 Someone\n\n" + t.replace("...", ["THE HOLDERS", "some more words of a holder", ""][i % 3]), "en", "s") for i, (_, t, _) in enumerate(licenses.TEXTS)]
+    named = licenses.scan(frame(spark, whole).withColumn("doc_id", F.format_string("f%d", "doc_id"))).collect()
+    assert {(f"f{i}", n) for i, (n, _, _) in enumerate(licenses.TEXTS)} <= {(r.doc_id, r.license) for r in named}
+    assert not {r.license for r in named if r.doc_id == "f1"} & {"BSD-3-Clause (text)", "MIT (text)"}
     text = rows[4][1].encode()
     for r in got:
         if r.doc_id == 4 and r.coverage == 1.0:
@@ -261,6 +312,46 @@ def test_near_duplicates_recall_and_precision(spark):
     left = near_dedup.clean(d)
     assert left.columns == d.columns and left.count() == len(rows) - len(got)
     assert near_dedup.clean(d, broadcast_rows=0).count() == len(rows) - len(got)
+    named = d.withColumn("doc_id", F.format_string("%05d", "doc_id"))
+    assert {(int(r.doc_id), int(r.duplicate_of)) for r in near_dedup.duplicates(named).collect()} == {(r.doc_id, r.duplicate_of) for r in got}
+
+
+def test_near_duplicate_links_are_those_of_all_pairs(spark):
+    rng = random.Random(15)
+    rows, base = [], words(rng, 80).split()
+    for i in range(300):  # chains of edits: many members of a bucket are unlike its smallest
+        base = [f"e{i}x{j}" if rng.random() < 0.06 else w for j, w in enumerate(base)]
+        rows.append((i, " ".join(base), "en", "s"))
+    rows += [(1000 + i, rows[i][1], "en", "s") for i in range(0, 300, 7)]
+    signed = near_dedup.sign(frame(spark, rows).repartition(7)).cache()
+    table = {r.node: np.frombuffer(bytes(r.sig), np.uint32) for r in signed.collect()}
+    node = sorted(table)
+    sig = np.array([table[n] for n in node])
+    keys = near_dedup.buckets(sig)
+    want = {x: x for x in node}
+
+    def root(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i in range(len(node)):
+        for j in np.flatnonzero((keys[i + 1 :] == keys[i]).any(1) & ((sig[i + 1 :] == sig[i]).mean(1) >= near_dedup.THRESHOLD)) + i + 1:
+            a, b = sorted((root(node[i]), root(node[j])))
+            want[b] = a
+    for cell_rows in (3, 1024):
+        found = {r.node: r.root for r in near_dedup.components(near_dedup.links(signed, cell_rows=cell_rows)).collect()}
+        assert {n: found.get(n, n) for n in node} == {n: root(n) for n in node}
+
+
+def test_thousands_of_equal_texts_are_one_node(spark):
+    t = "the same error page for everyone who asks for it here and there"
+    d = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(t).alias("text")).union(spark.createDataFrame([(10**6, t + " today")], "doc_id long, text string"))
+    signed = near_dedup.sign(d)
+    assert near_dedup._stars(signed).count() <= 2 * near_dedup.BANDS * signed.rdd.getNumPartitions()
+    got = near_dedup.duplicates(d)
+    assert got.agg(F.count("*").alias("n"), F.min("duplicate_of").alias("a"), F.max("duplicate_of").alias("b"), F.max("group_size").alias("g")).first()[:] == (60_000, 0, 0, 60_001)
+    assert [r.doc_id for r in near_dedup.clean(d).collect()] == [0]
 
 
 def test_near_duplicates_odd_input(spark, corpus):
@@ -345,7 +436,8 @@ def test_token_counts_with_an_edit_table(spark, corpus):
     edits = [(2, 2, 5, 0, "late "), (2, 1, 0, 3, None), (3, 1, 10**9, 5, " end's"), (100, 1, 0, 9, "now text"), (102, 1, 0, 0, "x"), (None, 1, 0, 1, "y"), (7777, 1, 0, 0, "z"), (4, 1, None, None, None)]
     e = spark.createDataFrame(edits, "doc_id long, seq int, at long, remove long, insert string")
     d = frame(spark, corpus, clash=True)
-    got = token_counts.apply_edits(d, e).collect()
+    trees = token_counts.build(d).cache()
+    got = token_counts.recount(token_counts.with_edits(trees, e)).collect()
     assert len(got) == len(corpus)
     text = {i: t for i, t, *_ in corpus}
     after = {2: text[2][3:][:5] + "late " + text[2][3:][5:], 3: text[3] + " end's", 100: "now text"}
@@ -353,8 +445,25 @@ def test_token_counts_with_an_edit_table(spark, corpus):
         t = text[r.doc_id] or ""
         if r.doc_id is not None:
             assert r.tokens_before == count(t) and r.tokens_after == count(after.get(r.doc_id, t))
-        assert r.reencoded_pretokens <= max(40, r.pretokens)
-    assert token_counts.apply_edits(d.limit(0), e).count() == 0
+        assert r.reencoded_pretokens <= 40
+        assert r.doc_id in (2, 3, 100) or r.reencoded_pretokens == r.updated_nodes == 0
+    later = token_counts.update(token_counts.with_edits(trees, e))
+    assert later.columns == trees.columns and later.count() == len(corpus)
+    assert {r.doc_id: r.text for r in later.where("doc_id IN (2, 3, 100, 4)").collect()} == after | {4: text[4]}
+    again = token_counts.recount(token_counts.with_edits(later, e.where("doc_id = 3"))).where("doc_id IN (2, 3)").collect()
+    assert {r.doc_id: r.tokens_after for r in again} == {2: count(after[2]), 3: count(after[3] + " end's")}
+    assert token_counts.recount(token_counts.with_edits(trees.limit(0), e)).count() == 0
+    named = trees.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r.doc_id: r.tokens_after for r in token_counts.recount(token_counts.with_edits(named, e)).collect()}["3"] == count(after[3])
+
+
+def test_texts_without_edits_are_not_read_again(spark, corpus, monkeypatch):
+    trees = token_counts.build(frame(spark, corpus)).cache()
+    trees.count()
+    broken = trees.withColumns({c: F.lit(b"?") for c in ("sizes", "lengths", "counts", "sums")})  # no tree can be loaded from it
+    e = spark.createDataFrame([(7777, 1, 0, 0, "z")], "doc_id long, seq int, at long, remove long, insert string")
+    got = token_counts.recount(token_counts.with_edits(broken, e))
+    assert sorted(map(repr, got.select("doc_id", "tokens_after").collect())) == sorted(map(repr, trees.select("doc_id", F.col("tokens").alias("tokens_after")).collect()))
 
 
 def test_token_counts_of_example_edits(spark, corpus):
@@ -362,9 +471,10 @@ def test_token_counts_of_example_edits(spark, corpus):
     d = frame(spark, corpus)
     e = token_counts.example_edits(F.col("text"), F.col("doc_id"))
     rows = d.select("doc_id", "text", e.alias("e")).collect()
-    got = token_counts.recount(d, e).collect()
-    for x, r in zip(rows, got):
-        t = x.text
+    got = {(r.doc_id, r.pretokens): r for r in token_counts.recount(token_counts.build(d), e).collect()}
+    size = {x.text: p for x, p in zip(rows, [r.pretokens for r in token_counts.build(d).collect()])}
+    for x in rows:
+        t, r = x.text, got[x.doc_id, size[x.text]]
         if t is None:
             assert r.tokens_before == r.tokens_after == 0
             continue
@@ -398,6 +508,37 @@ def test_revisits(spark):
     assert warc.resolve(d.limit(0)).count() == 0
 
 
+def test_revisits_header_names_and_canonical_urls(spark):
+    rows = [
+        ("a", "http://x.example/p", 1, 200, {"ETag": '"1"', "Last-Modified": "m", "Content-Type": "t", "content-type": "t"}),
+        ("b", "http://x.example:80/p#f", 2, 304, {"ETAG": '"1"', "DATE": "d", "Vary": "a", "vary": "b"}),
+        ("c", "https://x.example:80/p", 3, 304, {"etag": '"1"'}),
+        ("d", "https://x.example:443/p", 3, 304, {"eTag": '"1"'}),
+        ("e", "example.com/a", 1, 200, {"etag": '"1"'}), ("f", "other.org/b", 2, 304, {"etag": '"1"'}), ("g", "mailto:x", 2, 304, {"etag": '"1"'}), ("h", "", 2, 304, {"etag": '"1"'}), ("i", "http://", 9, 304, {}),
+        ("j", "http://x.example/p", 4, 304, {"": "x", "etag": None, "last-modified": "m"}),
+        ("k", "http://x.example/" + "q" * 100_000, 1, 200, {"etag": "1", "x": "y" * 100_000}), ("l", "http://x.example/" + "q" * 100_000, 2, 304, {"etag": "1"}),
+    ]
+    d = spark.createDataFrame(rows, "record_id string, url string, ts long, status int, headers map<string,string>")
+    by = {r.record_id: r for r in warc.resolve(d).collect()}
+    assert {k: (by[k].resolution, by[k].refers_to) for k in "bdjl"} == {"b": ("resolved", "a"), "d": ("resolved", "a"), "j": ("resolved", "a"), "l": ("resolved", "k")}
+    assert by["b"].headers == 'content-type: t\ndate: d\netag: "1"\nlast-modified: m\nvary: a, b'
+    assert {by[k].resolution for k in "cfghi"} == {"no_earlier_response"} and {by[k].canonical_url for k in "fghi"} == {None}
+    assert len(by["l"].headers) > 100_000
+
+
+def test_revisits_of_one_hot_url_equal_a_plain_search(spark):
+    rng = random.Random(16)
+    rows = [(i, "http://h.example/" + ("" if i % 3 else str(i % 7)), rng.choice([rng.randrange(60), 30]), rng.choice([200, 304, 304, 404]), {"etag": str(rng.randrange(2))}) for i in range(900)]
+    d = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>")
+    got = {r.record_id: (r.resolution, r.refers_to) for r in warc.resolve(d, spans=8).collect()}
+    for i, u, t, status, h in rows:
+        if status == 304:
+            best = max(((t2, i2, h2["etag"]) for i2, u2, t2, s2, h2 in rows if s2 == 200 and u2 == u and t2 < t), default=None)
+            want = ("no_earlier_response", None) if best is None else ("resolved", best[1]) if best[2] == h["etag"] else ("validator_mismatch", None)
+            assert got[i] == want
+    assert len(got) == sum(r[3] == 304 for r in rows)
+
+
 # -- 9: URL filters -------------------------------------------------------------------------------------------------
 
 
@@ -420,6 +561,18 @@ def test_url_rules_equal_all_rules_on_all_urls(spark):
     assert {r.action for r in url_filter.classify(d, [(1, "")]).collect()} == {"none"}
 
 
+def test_broken_rules_are_reported_and_the_rest_holds(spark):
+    rules = [(1, "/[abc(/"), (2, "ads"), (3, None), (4, "/a{2,1}/"), (5, "/(?P<n>x/")]
+    assert [i for i, *_ in url_filter.broken_rules(rules)] == [1, 4, 5]
+    d = spark.createDataFrame([("p", "http://x/ads"), (None, "http://x/[abc(")], "page_id string, url string")
+    with pytest.warns(UserWarning, match="no regular expressions"):
+        got = url_filter.classify(d, rules)
+    assert sorted(((r.page_id or "", r.action, r.rule_id) for r in got.collect())) == [("", "none", None), ("p", "block", 2)]
+    many = [(i, f"||h{i}.example^") for i in range(5000)]
+    hot = spark.range(300).select(F.col("id").alias("page_id"), F.format_string("http://h%d.example/x", F.col("id") * 7).alias("url"))
+    assert {r.page_id: r.rule_id for r in url_filter.classify(hot, many).collect()} == {i: 7 * i for i in range(300)}
+
+
 def test_tokens_of_rules():
     assert url_filter.compile_rule("||ads.example.com^")[2] == ["ads", "com", "example"]
     assert url_filter.compile_rule("banner*")[2] == [] and url_filter.compile_rule("/banner/*x")[2] == ["banner"]
@@ -451,6 +604,15 @@ def test_language_held_out_accuracy_and_odd_input(spark):
     assert langid.identify(d.limit(0)).count() == langid.clean(d.limit(0)).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [(None, f"ba be bi {i}", "xx", "s") for i in range(3000)] + [(1, "the same", "yy", "s")] * 2000 + [(2, "long " * 30_000, "zz", "s")]
+    got = langid.sampled(frame(spark, rows), 90)
+    assert {k: sum(x == k for x, _ in got) for k in ("xx", "yy", "zz")} == {"xx": 30, "yy": 30, "zz": 1}
+    assert max(len(b) for _, b in got) <= langid.SAMPLE_BYTES and len({b for k, b in got if k == "xx"}) == 30
+    named = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert langid.identify(named, sample=30, steps=5).count() == len(rows)
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
