@@ -40,7 +40,7 @@ def diversity(seq: Column) -> Column:
 def token_stats(fragments: DataFrame) -> DataFrame:
     """token, df, idf."""
     n = fragments.agg(F.count(F.lit(1)).alias("n"))
-    df = fragments.select(F.explode(F.map_keys("bag")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = fragments.select(F.explode(F.array_distinct("seq")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(n)).select("token", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
@@ -51,10 +51,11 @@ def _pairs(postings: DataFrame, key: str) -> DataFrame:
 
 def rare_pairs(fragments: DataFrame, options: CloneOptions = CloneOptions()) -> DataFrame:
     """(a, b, shared): pairs with at least ``min_shared_rare`` tokens that at most ``rare_df`` fragments have."""
-    d = fragments.select("frag_id", F.explode(F.map_keys("bag")).alias("token"))
-    rare = d.groupBy("token").agg(F.collect_list("frag_id").alias("f")).where(F.size("f").between(2, options.rare_df))
-    posts = rare.select("token", F.explode("f").alias("frag_id"))
-    return _pairs(posts, "token").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= options.min_shared_rare)
+    d = fragments.select("frag_id", F.explode(F.array_distinct("seq")).alias("token"))
+    most = options.rare_df if options.rare_df_percent is None else F.greatest(F.lit(options.rare_df), F.floor(F.lit(fragments.count()) * options.rare_df_percent / 100))
+    # counted before any fragment is listed: a token that all have is one row
+    rare = d.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("token")
+    return _pairs(d.join(rare, "token"), "token").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= options.min_shared_rare)
 
 
 def fingerprint_pairs(fragments: DataFrame, options: CloneOptions = CloneOptions()) -> DataFrame:
@@ -109,15 +110,22 @@ def scored(fragments: DataFrame, options: CloneOptions = CloneOptions()) -> Data
     """
     ship(fragments.sparkSession)
     found = written(candidates(fragments, options), "candidates")
-    t = written(fragments.select("frag_id", F.explode("bag").alias("token", "n")).join(token_stats(fragments).select("token", "idf"), "token"), "tokens")
+    t = fragments.select("frag_id", F.explode("seq").alias("token")).groupBy("frag_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    t = written(t.join(token_stats(fragments).select("token", "idf"), "token"), "tokens")
     own = t.groupBy("frag_id").agg(F.sum(F.col("idf") * F.col("n")).alias("w"), F.sum("n").alias("k"))
     common = found.select("a", "b").join(t.withColumnRenamed("frag_id", "a"), "a").join(t.select(F.col("frag_id").alias("b"), "token", F.col("n").alias("m")), ["b", "token"])
     common = common.groupBy("a", "b").agg(F.sum(F.col("idf") * F.least("n", "m")).alias("iw"), F.sum(F.least("n", "m")).alias("ik"))
     p = found.join(common, ["a", "b"]).join(own.toDF("a", "wa", "ka"), "a").join(own.toDF("b", "wb", "kb"), "b")
-    p = p.withColumn("weighted", F.coalesce(F.try_divide(F.col("iw"), F.col("wa") + F.col("wb") - F.col("iw")), F.lit(0.0))).where(F.col("weighted") >= options.min_weighted)
-    p = written(p.select("a", "b", "shared", "weighted", (F.col("ik") / (F.col("ka") + F.col("kb") - F.col("ik"))).alias("plain")), "scored")
+    p = p.withColumn("weighted", F.coalesce(F.try_divide(F.col("iw"), F.col("wa") + F.col("wb") - F.col("iw")), F.lit(0.0))).withColumn("plain", F.col("ik") / (F.col("ka") + F.col("kb") - F.col("ik")))
+    if not options.precise:
+        p = p.where(F.col(options.metric) >= options.min_weighted)
+    p = written(p.select("a", "b", "shared", "weighted", "plain"), "scored")
     side = lambda name: fragments.select(F.col("frag_id").alias("a" if name == "x" else "b"), F.struct(*fragments.columns).alias(name))
     p = p.join(side("x"), "a").join(side("y"), "b")
+    if options.min_diversity > 0:
+        p = p.where(F.least("x.diversity", "y.diversity") >= options.min_diversity)
+    if options.precise:  # the order of tokens is the gate instead
+        p = p.where(lcs_ratio(F.col("x.seq"), F.col("y.seq")) >= options.min_weighted)
     both = F.size(F.array_intersect("x.norm_lines", "y.norm_lines"))
     p = p.withColumn("line", F.when((F.size("x.norm_lines") > 0) & (F.size("y.norm_lines") > 0), both / F.size(F.array_union("x.norm_lines", "y.norm_lines"))).otherwise(0.0))
     return p.withColumn("shared_lines", line_run(F.col("x.norm_line_seq"), F.col("y.norm_line_seq")))
@@ -144,9 +152,9 @@ def clone_pairs(fragments: DataFrame, options: CloneOptions = CloneOptions(), ex
     p = p.withColumn("type", clone_type(F.col("x.seq"), F.col("y.seq"), F.col("x.raw_seq"), F.col("y.raw_seq")))
     p = p.where(~((F.col("x.diversity") < o.table_diversity) & (F.col("y.diversity") < o.table_diversity) & F.col("type").isin("LITERAL", "MIXED")))
     p = p.where("NOT (x.token_count < 20 AND y.token_count < 20) OR weighted >= 0.90")
-    frequent = fragments.select("file", F.explode("bag").alias("token", "n")).groupBy("file", "token").agg(F.sum("n").alias("t")).where("t > 10").groupBy("file").agg(F.collect_set("token").alias("hot"))
+    frequent = fragments.select("file", F.explode("seq").alias("token")).groupBy("file", "token").agg(F.count(F.lit(1)).alias("t")).where("t > 10").groupBy("file").agg(F.collect_set("token").alias("hot"))
     p = p.join(frequent.withColumnRenamed("file", "__file"), (F.col("x.file") == F.col("__file")) & (F.col("x.file") == F.col("y.file")), "left")
-    local = F.aggregate(F.filter(F.map_entries("x.bag"), lambda e: F.array_contains("hot", e["key"])), F.lit(0), lambda acc, e: acc + e["value"].cast("int"))
+    local = F.size(F.filter("x.seq", lambda t: F.array_contains("hot", t)))
     idiom = F.col("hot").isNotNull() & (local > F.floor(F.col("x.token_count") / 2))
     return p.withColumn("weighted", F.when(idiom, F.col("weighted") * 0.80).otherwise(F.col("weighted"))).drop("hot", "__file")
 

@@ -141,8 +141,8 @@ def lateral_dependencies(base: DataFrame, cur: DataFrame, extras: Extras = Extra
     new = written(added_edges(base, cur).select(*EDGE), "added")
     if new.limit(max_added + 1).count() > max_added:
         return no_violations(base)
-    measured = written(graph.module_metrics(base, extras), "modules")
     pairs = graph.module_pairs(base, extras)
+    measured = written(graph.module_metrics(pairs), "measured")
     d = graph.with_modules(new, extras)
     d = d.join(measured.select(F.col("module").alias("b"), F.col("instability").alias("ib")), "b").join(graph.shared_modules(measured).toDF("b"), "b", "left_anti")
     d = d.join(pairs, ["a", "b"], "left_anti")

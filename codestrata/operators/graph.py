@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.classify import module_of, normalise_path
 from codestrata.options import Extras
-from codestrata.storage import ship, written
+from codestrata.storage import forget, ship, written
 
 KERNEL_EDGES = 2_000_000
 KERNEL_REACH_NODES = 20_000
@@ -89,7 +89,7 @@ def _analyse(pdf: pd.DataFrame, reach: bool) -> pd.DataFrame:
         for v in members:
             comp_of[v] = c
     size = [len(m) for m in comps]
-    depth, closure, total = [0] * len(comps), [0] * len(comps), [0] * len(comps)
+    depth, closure, total, large = [0] * len(comps), [0] * len(comps), [0] * len(comps), 0
     for c, members in enumerate(comps):  # children come before parents
         below = {comp_of[w] for v in members for w in out[v]} - {c}
         depth[c] = max((depth[b] + 1 for b in below), default=0)
@@ -98,12 +98,13 @@ def _analyse(pdf: pd.DataFrame, reach: bool) -> pd.DataFrame:
             for b in below:
                 bits |= closure[b]
             closure[c] = bits
-            x, k = bits, 0
-            while x:
+            if size[c] > 1:
+                large |= 1 << c
+            total[c], x = (bits & ~large).bit_count(), bits & large
+            while x:  # components of several members, each once
                 low = x & -x
-                k += size[low.bit_length() - 1]
+                total[c] += size[low.bit_length() - 1]
                 x ^= low
-            total[c] = k
         rows += [(paths[v], paths[min(members)], size[c], depth[c], total[c]) for v in members]
     return pd.DataFrame(rows, columns=["path", "scc", "scc_size", "depth", "reach"])
 
@@ -121,31 +122,81 @@ def small(edges: DataFrame, limit: int = KERNEL_EDGES) -> bool:
     return edges.limit(limit + 1).count() <= limit
 
 
+def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:
+    """Without edges that lie on no cycle because an end has no edge in or none out, round after round."""
+    n = e.count()
+    while n:
+        ends, begins = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
+        e = written(e.join(ends, "src", "left_semi").join(begins, "dst", "left_semi").select("src", "dst"), "trimmed", instead_of=e)
+        m = e.count()
+        if m == n:
+            break
+        n = m
+    return e, n
+
+
+def bypassed(edges: DataFrame, rounds: int = 60) -> tuple[DataFrame, list[DataFrame]]:
+    """``edges`` after nodes in the middle of chains were taken out, and what was taken, round by round.
+
+    A node with one edge in and one out lies on a cycle exactly if the edge that bypasses it does, so it is taken out and
+    comes back with that edge (:func:`restored`).  Of such nodes in a row those whose hash is smaller than both neighbours'
+    go together, a third a round on average, so a chain of n nodes is gone after some log n rounds.
+    """
+    taken: list[DataFrame] = []
+    e = edges
+    for _ in range(rounds):
+        into = e.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("a"))
+        out = e.groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("b"))
+        thin = into.join(out, "path").where("i = 1 AND o = 1 AND a <> path AND b <> path").select("path", "a", "b")
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(len(taken)))
+        names = thin.select("path")
+        # a neighbour that is thin too has to have a larger hash
+        go = thin.join(names.toDF("a").withColumn("ta", F.lit(True)), "a", "left").join(names.toDF("b").withColumn("tb", F.lit(True)), "b", "left")
+        go = go.where((F.col("ta").isNull() | (rank("path") < rank("a"))) & (F.col("tb").isNull() | (rank("path") < rank("b")))).select("path", "a", "b")
+        go = written(go, "bypassed")
+        if go.isEmpty():
+            break
+        taken.append(go)
+        kept = e.join(go.select(F.col("path").alias("src")), "src", "left_anti").join(go.select(F.col("path").alias("dst")), "dst", "left_anti").select("src", "dst")
+        e = written(kept.union(go.select("a", "b")).distinct(), "edges", instead_of=e)
+    return e, taken
+
+
+def restored(found: DataFrame, taken: list[DataFrame]) -> DataFrame:
+    """(path, c) of nodes on cycles by any name ``c`` of their component, with the nodes that were taken out."""
+    for go in reversed(taken):
+        both = go.join(found.toDF("a", "c"), "a").join(found.toDF("b", "c2"), "b").where("c = c2 OR a = b").select("path", "c")
+        # a cycle of two, a and the node, has become an edge from a to itself
+        own = go.where("a = b").join(found.select(F.col("path").alias("a")), "a", "left_anti")
+        own = own.select(F.col("path").alias("path"), F.col("a").alias("c")).union(own.select("a", "a")).distinct()
+        found = written(found.union(both).union(own).distinct(), "found", instead_of=found)
+    return found
+
+
 def scc_loop(edges: DataFrame) -> DataFrame:
-    """(path, scc) of nodes on cycles, by trimming and colouring; scc is the smallest member.
+    """(path, scc) of nodes on cycles, by bypassing, trimming and colouring; scc is the smallest member.
 
-    A node without an edge in or out lies on no cycle, so such nodes are trimmed first.  Then every node takes the
-    smallest name that reaches it; a node that keeps its own is the root of the component of all nodes of its colour
-    that reach it back.  Those components leave and the rest is coloured again.
+    Chains are shortened first (:func:`bypassed`), in a number of rounds that is logarithmic in their length, then nodes
+    without an edge in or out are trimmed, as they lie on no cycle.  Then every node takes the smallest name that reaches
+    it; a node that keeps its own is the root of the component of all nodes of its colour that reach it back.  Those
+    components leave and the rest is coloured again.
     """
-    e = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    found = None
+    e, found = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges"), None
+    e, taken = bypassed(e)
+    loops = written(e.where("src = dst").select(F.col("src").alias("path"), F.col("src").alias("c")), "loops")
+    e = written(e.where("src <> dst"), "edges", instead_of=e)
     while True:
-        while True:
-            n = e.count()
-            ends, begins = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
-            e = written(e.join(ends, "src", "left_semi").join(begins, "dst", "left_semi").select("src", "dst"), "trimmed")
-            if e.count() == n:
-                break
+        e, n = _trimmed(e)
         if not n:
             break
         colour = written(nodes_of(e).select("path", F.col("path").alias("c")), "colour")
         while True:
             offer = e.join(colour, e.src == colour.path).select(F.col("dst").alias("path"), "c")
             new = written(colour.union(offer).groupBy("path").agg(F.min("c").alias("c")), "colour")
-            changed = new.join(colour, ["path", "c"], "left_anti").isEmpty()
+            same = new.join(colour, ["path", "c"], "left_anti").isEmpty()
+            forget(colour)
             colour = new
-            if changed:
+            if same:
                 break
         inside = e.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "c2"), "dst").where("c = c2").select("src", "dst", "c")
         inside = written(inside, "inside")
@@ -153,14 +204,20 @@ def scc_loop(edges: DataFrame) -> DataFrame:
         while True:
             step = inside.join(back.toDF("dst", "c"), ["dst", "c"]).select(F.col("src").alias("path"), "c")
             new = written(back.union(step).distinct(), "back")
-            if new.count() == back.count():
-                break
+            done = new.count() == back.count()
+            forget(back)
             back = new
-        own = back.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("scc")).where("n > 1").join(back, "c").select("path", "scc")
-        found = own if found is None else found.union(own)
+            if done:
+                break
+        found = back if found is None else written(found.union(back), "found")
         gone = back.select("path")
-        e = written(e.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"), "left")
-    return edges.sparkSession.createDataFrame([], "path string, scc string") if found is None else written(found, "scc")
+        e = written(e.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"), "left", instead_of=e)
+    # a bypass may have closed on a node of its own, which is a component then
+    alone = loops if found is None else loops.join(found.select("path"), "path", "left_anti")
+    found = written(alone if found is None else found.union(alone), "found")
+    found = restored(found, taken)
+    size = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("scc")).where("n > 1")
+    return written(found.join(size, "c").select("path", "scc"), "scc")
 
 
 def scc(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
@@ -184,39 +241,65 @@ def depths(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int =
     if small(edges, kernel_edges):
         return _kernel(edges, nodes, False).select("path", "depth")
     comp = written(scc(edges, nodes, kernel_edges), "components")
-    dag = written(condense(edges, comp), "dag")
+    return comp.join(_levels(comp, written(condense(edges, comp), "dag")), "scc").select("path", "depth")
+
+
+def _levels(comp: DataFrame, dag: DataFrame) -> DataFrame:
+    """(scc, depth) by one round a level; a round reads the edges into its front only."""
     level, depth = written(comp.select("scc", F.lit(0).alias("depth")).distinct(), "depth"), 0
     front = level.select("scc")
     while True:  # the nodes with a path of one edge more
-        front = written(dag.join(front.toDF("dst"), "dst").select(F.col("src").alias("scc")).distinct(), "front")
+        front = written(dag.join(front.toDF("dst"), "dst").select(F.col("src").alias("scc")).distinct(), "front", instead_of=front)
         if front.isEmpty():
-            return comp.join(level, "scc").select("path", "depth")
+            return level
         depth += 1
-        level = written(level.join(front.withColumn("d", F.lit(depth)), "scc", "left").select("scc", F.coalesce("d", "depth").alias("depth")), "depth")
-
-
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): dst is reached from src by one edge or more; paths double each round."""
-    c = written(edges.select("src", "dst").distinct(), "closure")
-    n = c.count()
-    while True:
-        new = written(c.union(c.toDF("src", "via").join(c.toDF("via", "dst"), "via").select("src", "dst")).distinct(), "closure")
-        m = new.count()
-        if m == n:
-            return new
-        c, n = new, m
+        level = written(level.join(front.withColumn("d", F.lit(depth)), "scc", "left").select("scc", F.coalesce("d", "depth").alias("depth")), "depth", instead_of=level)
 
 
 def reachable_from(edges: DataFrame, start: str) -> DataFrame:
     """Nodes reached from ``start``, itself included, by frontiers."""
     e = edges.select("src", "dst").distinct()
-    seen = written(edges.sparkSession.createDataFrame([(start,)], "path string"), "seen")
-    front = seen
+    front = edges.sparkSession.createDataFrame([(start,)], "path string")
+    seen = written(front, "seen")
     while True:
-        front = written(e.join(front.toDF("src"), "src").select(F.col("dst").alias("path")).distinct().join(seen, "path", "left_anti"), "front")
+        front = written(e.join(front.toDF("src"), "src").select(F.col("dst").alias("path")).distinct().join(seen, "path", "left_anti"), "front", instead_of=front)
         if front.isEmpty():
             return seen
-        seen = written(seen.union(front), "seen")
+        seen = written(seen.union(front), "seen", instead_of=seen)
+
+
+def reach_by_blocks(edges: DataFrame, nodes: DataFrame | None, kernel_edges: int, block_buckets: int = 8) -> DataFrame:
+    """(path, reach) by bitmaps: each component's bitmap of the members that it reaches, a block of members at a time.
+
+    A bitmap holds 32,768 members in 4 KB and a block ``block_buckets`` of them, so a round's state is that many bitmaps a
+    component, whatever is reached; pairs are never listed.  Components are worked level by level from the leaves.
+    """
+    comp = written(scc(edges, nodes, kernel_edges), "components")
+    dag = condense(edges, comp)
+    deep = written(_levels(comp, written(dag, "dag")), "levels")
+    dag = written(dag.join(deep.toDF("src", "level"), "src"), "dag")
+    most = deep.agg(F.max("depth")).first()[0]
+    if most is None:
+        return comp.select("path", F.lit(1).cast("long").alias("reach")).limit(0)
+    number = written(comp.orderBy("path").select("scc", F.monotonically_increasing_id().alias("id")), "numbers")
+    per = {r.p: r["count"] for r in number.groupBy(F.shiftright("id", 33).alias("p")).count().collect()}  # a row by partition
+    first, n = {}, 0
+    for p in sorted(per):
+        first[p], n = n, n + per[p]
+    at = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])])[F.shiftright("id", 33)] + F.col("id").bitwiseAND((1 << 33) - 1)
+    number = number.select("scc", at.alias("k"))
+    total, size = None, 32768 * block_buckets
+    for low in range(0, n, size):
+        own = number.where((F.col("k") >= low) & (F.col("k") < low + size)).groupBy("scc", F.floor(F.col("k") / 32768).alias("bucket"))
+        own = written(own.agg(F.bitmap_construct_agg((F.col("k") % 32768).cast("int")).alias("bits")), "bits")
+        known = own.join(deep.where("depth = 0"), "scc").select("scc", "bucket", "bits")
+        for level in range(1, most + 1):
+            below = dag.where(F.col("level") == level).join(known.select(F.col("scc").alias("dst"), "bucket", "bits"), "dst").select(F.col("src").alias("scc"), "bucket", "bits")
+            above = own.join(deep.where(F.col("depth") == level), "scc").select("scc", "bucket", "bits").union(below)
+            known = written(known.union(above.groupBy("scc", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))), "reached")
+        part = written(known.select("scc", F.bitmap_count("bits").alias("n")).groupBy("scc").agg(F.sum("n").alias("n")), "reach")
+        total = part if total is None else written(total.union(part).groupBy("scc").agg(F.sum("n").alias("n")), "reach")
+    return comp.join(total, "scc").select("path", F.col("n").alias("reach"))
 
 
 def reach_counts(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, kernel_nodes: int = KERNEL_REACH_NODES) -> DataFrame:
@@ -224,19 +307,16 @@ def reach_counts(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges:
     all_nodes = nodes_of(edges) if nodes is None else nodes.select("path").union(nodes_of(edges)).distinct()
     if small(edges, kernel_edges) and all_nodes.limit(kernel_nodes + 1).count() <= kernel_nodes:
         return _kernel(edges, nodes, True).select("path", "reach")
-    comp = written(scc(edges, nodes, kernel_edges), "components")
-    size = comp.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
-    over = closure(condense(edges, comp)).join(size.withColumnRenamed("scc", "dst"), "dst").groupBy(F.col("src").alias("scc")).agg(F.sum("n").alias("below"))
-    return comp.join(size, "scc").join(over, "scc", "left").select("path", (F.col("n") + F.coalesce("below", F.lit(0))).alias("reach"))
+    return reach_by_blocks(edges, nodes, kernel_edges)
 
 
-def metrics(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def metrics(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, kernel_nodes: int = KERNEL_REACH_NODES) -> DataFrame:
     """One row: node_count, max_chain_length, max_fan_in, ccd, acd, nccd."""
     all_nodes = nodes_of(edges) if nodes is None else nodes.select("path").union(nodes_of(edges)).distinct()
-    if small(edges) and all_nodes.limit(KERNEL_REACH_NODES + 1).count() <= KERNEL_REACH_NODES:
+    if small(edges, kernel_edges) and all_nodes.limit(kernel_nodes + 1).count() <= kernel_nodes:
         d = _kernel(edges, nodes, True).select("path", "depth", "reach")
     else:
-        d = depths(edges, nodes).join(reach_counts(edges, nodes), "path")
+        d = depths(edges, nodes, kernel_edges).join(reach_counts(edges, nodes, kernel_edges, kernel_nodes), "path")
     d = d.join(fan_in(edges), "path", "left")
     one = d.agg(F.count(F.lit(1)).alias("node_count"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_chain_length"), F.coalesce(F.max("fan_in"), F.lit(0)).alias("max_fan_in"), F.coalesce(F.sum("reach"), F.lit(0)).alias("ccd"))
     acd = F.when(F.col("node_count") > 0, F.col("ccd") / F.col("node_count")).otherwise(0.0)
@@ -253,22 +333,30 @@ def scc_stats(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def with_modules(edges: DataFrame, extras: Extras = Extras()) -> DataFrame:
-    return edges.withColumns({"a": module_of(F.col("src"), extras), "b": module_of(F.col("dst"), extras)}).where("a <> '' AND b <> '' AND a <> b")
+    """Edges between modules, with those of both ends as ``a`` and ``b``.
+
+    A module is worked out once a path, not once an edge; a written table keeps it from being worked out again in filters.
+    """
+    m = written(nodes_of(edges).select("path", module_of(F.col("path"), extras).alias("m")).where("m <> ''"), "modules")
+    return edges.join(m.toDF("src", "a"), "src").join(m.toDF("dst", "b"), "dst").where("a <> b")
 
 
 def module_pairs(edges: DataFrame, extras: Extras = Extras()) -> DataFrame:
-    return with_modules(edges, extras).select("a", "b").distinct()
+    return written(with_modules(edges, extras).select("a", "b").distinct(), "pairs")
 
 
-def module_metrics(edges: DataFrame, extras: Extras = Extras()) -> DataFrame:
-    """module, fid, fod, instability: how many modules include it, how many it includes."""
-    p = module_pairs(edges, extras)
+def module_metrics(pairs: DataFrame) -> DataFrame:
+    """module, fid, fod, instability of ``pairs(a, b)``: how many modules include it, how many it includes."""
+    p = pairs
     p = p.select(F.col("a").alias("module"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(p.select(F.col("b"), F.lit(1), F.lit(0)))
     m = p.groupBy("module").agg(F.sum("i").alias("fid"), F.sum("o").alias("fod"))
     return m.withColumn("instability", F.when(F.col("fid") + F.col("fod") > 0, F.col("fod") / (F.col("fid") + F.col("fod"))).otherwise(0.5))
 
 
 def shared_modules(measured: DataFrame) -> DataFrame:
-    """Modules that many include and that include few: over half the largest fan-in, at most the upper median fan-out."""
+    """Modules that many include and that include few: over half the largest fan-in, at most the upper median fan-out.
+
+    The median's list has a number a module; ``measured`` is read twice, so write it before.
+    """
     limits = measured.agg(F.max("fid").alias("most"), F.element_at(F.sort_array(F.collect_list("fod")), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("median"))
     return measured.crossJoin(F.broadcast(limits)).where("most > 0 AND fid > floor(0.5 * most) AND fod <= median").select("module")

@@ -29,6 +29,7 @@ class CloneOptions:
     min_tokens: int = 30
     max_tokens: int = 600
     rare_df: int = 4
+    rare_df_percent: float | None = None
     min_shared_rare: int = 2
     kgram: int = 5
     window: int = 8
@@ -40,6 +41,9 @@ class CloneOptions:
     floor_lcs_lines: int = 6
     floor_diversity: float = 0.30
     table_diversity: float = 0.30
+    metric: str = "weighted"
+    precise: bool = False
+    min_diversity: float = 0.0
     whole_file: bool = True
     whole_file_share: float = 0.80
 

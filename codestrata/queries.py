@@ -7,7 +7,6 @@ commits, lines of documents are code fragments.  Text kernels run on inline sour
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import classify as c
 from codestrata.operators import clones, code, drift, graph, history, lines, resolve
 from codestrata.options import CloneOptions
-from codestrata.storage import written
+from codestrata.storage import table, written
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,144 +31,176 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # -- relations ------------------------------------------------------------------------------------------------------
 
 CUT_OLD, CUT_NEW = "2000-01-01", "2001-06-01"
-LEAST = 49
 
 
-def edge_table(spark: SparkSession, d: str, least: int | None = LEAST) -> DataFrame:
-    """Edges of quantities of ``least`` and more; of all if it is None."""
+def edge_table(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive parts of an order, as an include of the one by the other; all of them."""
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    e = li.select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_linenumber", F.lead("l_partkey").over(w).alias("next")).where("next IS NOT NULL AND next <> l_partkey" + ("" if least is None else f" AND l_quantity >= {least}"))
-    e = e.join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = li.select("l_orderkey", "l_partkey", "l_discount", "l_linenumber", F.lead("l_partkey").over(w).alias("next"))
+    e = e.where("next IS NOT NULL AND next <> l_partkey").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     path = F.format_string("s%d/%s/part_%d.h", "p_size", "p_brand", "p_partkey")
     names = part.select("p_partkey", path.alias("path"))
     e = e.join(names.toDF("l_partkey", "src"), "l_partkey").join(names.toDF("next", "dst"), "next")
-    return e.groupBy("src", "dst").agg(F.min("o_orderdate").alias("first_seen"), F.bool_and(F.col("l_discount") >= 0.05).alias("conditional"), F.min("l_linenumber").alias("ordinal"))
+    e = e.select("src", "dst", "o_orderdate", (F.col("l_discount") >= 0.05).alias("conditional"), F.col("l_linenumber").alias("ordinal"))
+    seen = e.groupBy("src", "dst").agg(F.min("o_orderdate").alias("first_seen"))
+    return graph.merge_edges(e).join(seen, ["src", "dst"])
 
 
-def base_cur(spark: SparkSession, d: str, cut: str = CUT_OLD, least: int | None = LEAST) -> tuple[DataFrame, DataFrame]:
-    e = edge_table(spark, d, least)
+def base_cur(spark: SparkSession, d: str, cut: str = CUT_OLD) -> tuple[DataFrame, DataFrame]:
+    e = written(edge_table(spark, d), "edges")
     return e.where(F.col("first_seen") < F.lit(cut).cast("timestamp")).drop("first_seen"), e.drop("first_seen")
 
 
 _EDGES = """
-li AS (SELECT l_orderkey, l_partkey, l_quantity, l_discount, l_linenumber, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM lineitem),
+li AS (SELECT l_orderkey, l_partkey, l_discount, l_linenumber, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM lineitem),
 nm AS (SELECT p_partkey, 's' || p_size || '/' || p_brand || '/part_' || p_partkey || '.h' AS path, 's' || p_size AS module FROM part),
-cur AS (SELECT a.path AS src, b.path AS dst, a.module AS ma, b.module AS mb, min(o_orderdate) AS first_seen, bool_and(l_discount >= 0.05) AS conditional, min(l_linenumber) AS ordinal
-  FROM li JOIN orders ON o_orderkey = l_orderkey JOIN nm a ON a.p_partkey = l_partkey JOIN nm b ON b.p_partkey = nxt WHERE nxt IS NOT NULL AND nxt <> l_partkey AND l_quantity >= 49 GROUP BY 1, 2, 3, 4)"""
+cur AS MATERIALIZED (SELECT a.path AS src, b.path AS dst, a.module AS ma, b.module AS mb, min(o_orderdate) AS first_seen, bool_and(l_discount >= 0.05) AS conditional, min(l_linenumber) AS ordinal
+  FROM li JOIN orders ON o_orderkey = l_orderkey JOIN nm a ON a.p_partkey = l_partkey JOIN nm b ON b.p_partkey = nxt WHERE nxt IS NOT NULL AND nxt <> l_partkey GROUP BY 1, 2, 3, 4)"""
 
 
 def _with(cut: str = CUT_OLD, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE' if recursive else ''} {_EDGES}, base AS (SELECT * FROM cur WHERE first_seen < TIMESTAMP '{cut}')"
 
 
-_REACH = """,
-r AS (SELECT src, dst FROM cur UNION SELECT r.src, cur.dst FROM r JOIN cur ON r.dst = cur.src),
-rb AS (SELECT src, dst FROM base UNION SELECT rb.src, base.dst FROM rb JOIN base ON rb.dst = base.src),
-nodes AS (SELECT src AS path FROM cur UNION SELECT dst FROM cur),
-sc AS (SELECT n.path, coalesce(min(CASE WHEN m.dst < n.path THEN m.dst END), n.path) AS scc FROM nodes n LEFT JOIN (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src) m ON m.src = n.path GROUP BY n.path),
-scb AS (SELECT a.src AS path, least(a.src, min(a.dst)) AS scc FROM rb a JOIN rb b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"""
+def _closed(edges: str, name: str) -> str:
+    """Table ``name(k, bits)``: of every node the nodes that it reaches, itself included, a bit for each; for any graph."""
+    return f""",
+{name}e AS MATERIALIZED (SELECT DISTINCT a.k AS s, b.k AS d FROM {edges} JOIN nd a ON a.path = src JOIN nd b ON b.path = dst),
+{name}r AS (SELECT 0 AS i, k, set_bit(bitstring('0', (SELECT count(*) FROM nd)::INTEGER), k::INTEGER, 1) AS bits, true AS more FROM nd
+  UNION ALL SELECT i + 1, k, b, bool_or(b <> bits) OVER () FROM (SELECT r.i, r.k, any_value(r.bits) AS bits, any_value(r.bits) | coalesce(bit_or(c.bits), any_value(r.bits)) AS b
+    FROM {name}r r LEFT JOIN {name}e e ON e.s = r.k LEFT JOIN {name}r c ON c.k = e.d WHERE r.more GROUP BY r.i, r.k)),
+{name} AS MATERIALIZED (SELECT k, bits FROM {name}r WHERE i = (SELECT max(i) FROM {name}r))"""
+
+
+def _components(edges: str, name: str) -> str:
+    """Table ``name(k, path, scc, scc_size)`` of all nodes: the bits that both directions have in common."""
+    return _closed(edges, f"{name}f") + _closed(f"(SELECT dst AS src, src AS dst FROM {edges})", f"{name}b") + f""",
+{name} AS MATERIALIZED (SELECT x.k, n.path, m.path AS scc, bit_count(own) AS scc_size FROM (SELECT f.k, f.bits & b.bits AS own FROM {name}f f JOIN {name}b b ON f.k = b.k) x JOIN nd n ON n.k = x.k JOIN nd m ON m.k = bit_position('1'::BIT, own) - 1)"""
+
+
+_NODES = """,
+nd AS MATERIALIZED (SELECT path, row_number() OVER (ORDER BY path) - 1 AS k FROM (SELECT src AS path FROM cur UNION SELECT dst FROM cur))"""
+_REACH = _NODES + _components("cur", "sc")
 
 
 @query(_with() + " SELECT src, dst, conditional, CAST(ordinal AS BIGINT) AS ordinal FROM cur")
-def merged_edges(spark, d, least=LEAST):
+def merged_edges(spark, d):
     """J2, G1: parallel edges merged, unconditional wins."""
-    e = edge_table(spark, d, least)
+    e = edge_table(spark, d)
     return e.select("src", "dst", "conditional", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query(_with() + " SELECT 'Lakos.GodHeader' AS rule, dst AS file, CAST(0 AS INTEGER) AS line, 'fan-in ' || count(*) || ' exceeds threshold 3' AS message FROM cur GROUP BY dst HAVING count(*) > 3")
-def lakos_god_header(spark, d, least=LEAST):
-    return drift.god_headers(base_cur(spark, d, least=least)[1], 3)
+def lakos_god_header(spark, d):
+    return drift.god_headers(base_cur(spark, d)[1], 3)
 
 
 @query(_with() + " SELECT c.src, c.dst FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst")
-def added_edges(spark, d, least=LEAST):
-    return drift.added_edges(*base_cur(spark, d, least=least)).select("src", "dst")
+def added_edges(spark, d):
+    return drift.added_edges(*base_cur(spark, d)).select("src", "dst")
 
 
 @query(_with() + ", n AS (SELECT src AS p FROM base UNION SELECT dst FROM base) SELECT c.src, c.dst FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst WHERE c.src IN (SELECT p FROM n) AND c.dst IN (SELECT p FROM n)")
-def removed_edges(spark, d, least=LEAST):
+def removed_edges(spark, d):
     """J4 with the snapshots swapped, so that edges do go."""
-    base, cur = base_cur(spark, d, least=least)
+    base, cur = base_cur(spark, d)
     return drift.removed_edges(cur, base).select("src", "dst")
 
 
 @query(_with() + ", n AS (SELECT src AS p FROM base UNION SELECT dst FROM base) SELECT 'DRIFT.1' AS rule, c.src AS file, 0 AS line, 'shortcut edge: ' || c.src || ' -> ' || c.dst AS message FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst WHERE c.src IN (SELECT p FROM n) AND c.dst IN (SELECT p FROM n)")
-def drift1_shortcut_edge(spark, d, least=LEAST):
-    return drift.shortcut_edges(*base_cur(spark, d, least=least))
+def drift1_shortcut_edge(spark, d):
+    return drift.shortcut_edges(*base_cur(spark, d))
 
 
-@query(_with(recursive=True) + _REACH + """,
-o AS (SELECT s.scc, b.scc AS old, count(*) AS n, (SELECT count(*) FROM scb x WHERE x.scc = b.scc) AS old_size FROM sc s JOIN scb b ON s.path = b.path GROUP BY s.scc, b.scc),
+@query(_with(recursive=True) + _REACH + _components("base", "old") + """,
+o AS (SELECT s.scc, b.scc AS old, count(*) AS n, any_value(b.scc_size) AS old_size FROM sc s JOIN old b ON s.k = b.k WHERE b.scc_size > 1 GROUP BY s.scc, b.scc),
 best AS (SELECT scc, old_size FROM (SELECT *, row_number() OVER (PARTITION BY scc ORDER BY n DESC, old) AS k FROM o) WHERE k = 1),
-g AS (SELECT sc.scc, count(*) AS size, string_agg(path, ' ' ORDER BY path) AS members FROM sc GROUP BY sc.scc HAVING count(*) > 1)
+g AS (SELECT scc, count(*) AS size, string_agg(path, ' ' ORDER BY path) AS members FROM sc GROUP BY scc HAVING count(*) > 1)
 SELECT 'DRIFT.2' AS rule, g.scc AS file, 0 AS line, CASE WHEN old_size IS NULL THEN 'new cycle (' || size || ' members): ' ELSE 'cycle grew from ' || old_size || ' to ' || size || ' members: ' END || members AS message
 FROM g LEFT JOIN best ON best.scc = g.scc WHERE coalesce(old_size, 0) < size""")
-def drift2_cycle_growth(spark, d, least=LEAST):
-    return drift.cycle_growth(*base_cur(spark, d, least=least))
+def drift2_cycle_growth(spark, d):
+    return drift.cycle_growth(*base_cur(spark, d))
 
 
-@query(_with(recursive=True) + _REACH + " SELECT path, scc, CAST(count(*) OVER (PARTITION BY scc) AS INTEGER) AS scc_size FROM sc")
-def scc(spark, d, least=LEAST):
-    return graph.scc(base_cur(spark, d, least=least)[1])
+@query(_with(recursive=True) + _REACH + " SELECT path, scc, CAST(scc_size AS INTEGER) AS scc_size FROM sc")
+def scc(spark, d):
+    return graph.scc(base_cur(spark, d)[1])
 
 
 @query(SQL["scc"])
-def scc_distributed(spark, d, least=LEAST):
+def scc_distributed(spark, d):
     """The same by the loop that scales out."""
-    return graph.scc(base_cur(spark, d, least=least)[1], kernel_edges=0)
+    return graph.scc(base_cur(spark, d)[1], kernel_edges=0)
 
 
-@query(_with(recursive=True) + _REACH + """ SELECT count(DISTINCT scc) AS total, CAST((SELECT count(*) FROM (SELECT scc FROM sc GROUP BY scc HAVING count(*) > 1)) AS BIGINT) AS cyclic,
-CAST((SELECT max(k) FROM (SELECT count(*) AS k FROM sc GROUP BY scc)) AS BIGINT) AS largest FROM sc""")
-def scc_stats(spark, d, least=LEAST):
-    return graph.scc_stats(base_cur(spark, d, least=least)[1])
+@query(_with(recursive=True) + _REACH + " SELECT count(DISTINCT scc) AS total, count(DISTINCT scc) FILTER (scc_size > 1) AS cyclic, CAST(max(scc_size) AS BIGINT) AS largest FROM sc")
+def scc_stats(spark, d):
+    return graph.scc_stats(base_cur(spark, d)[1])
 
 
 @query(_with(recursive=True) + _REACH + """,
 q AS (SELECT scc, bool_and(conditional) AS quiet FROM cur JOIN sc ON sc.path = cur.src JOIN (SELECT path AS p2, scc AS s2 FROM sc) t ON t.p2 = cur.dst AND t.s2 = sc.scc GROUP BY scc)
 SELECT 'SF.9' AS rule, sc.scc AS file FROM sc JOIN q ON q.scc = sc.scc WHERE NOT quiet GROUP BY sc.scc HAVING count(*) > 1""")
-def sf9_cycles(spark, d, least=LEAST):
-    return drift.cycles(base_cur(spark, d, least=least)[1]).select("rule", "file")
+def sf9_cycles(spark, d):
+    return drift.cycles(base_cur(spark, d)[1]).select("rule", "file")
 
 
 def _depth_sql() -> str:
     return _with(recursive=True) + _REACH + """,
 dag AS (SELECT DISTINCT a.scc AS u, b.scc AS v FROM cur JOIN sc a ON a.path = cur.src JOIN sc b ON b.path = cur.dst WHERE a.scc <> b.scc),
-p AS (SELECT scc AS u, 0 AS n FROM (SELECT DISTINCT scc FROM sc) UNION SELECT dag.u, p.n + 1 FROM p JOIN dag ON dag.v = p.u),
+p AS (SELECT DISTINCT scc AS u, 0 AS n FROM sc UNION SELECT dag.u, p.n + 1 FROM p JOIN dag ON dag.v = p.u),
 depth AS (SELECT u, max(n) AS n FROM p GROUP BY u)"""
 
 
 @query(_depth_sql() + " SELECT path, CAST(n AS INTEGER) AS depth FROM sc JOIN depth ON u = scc")
-def include_depths(spark, d, least=LEAST):
-    return graph.depths(base_cur(spark, d, least=least)[1])
+def include_depths(spark, d):
+    return graph.depths(base_cur(spark, d)[1])
+
+
+@query(SQL["include_depths"])
+def include_depths_distributed(spark, d):
+    return graph.depths(base_cur(spark, d)[1], kernel_edges=0)
+
+
+@query(_with(recursive=True) + _NODES + _closed("cur", "f") + " SELECT path, CAST(bit_count(bits) AS BIGINT) AS reach FROM f JOIN nd ON nd.k = f.k")
+def reach_counts(spark, d):
+    return graph.reach_counts(base_cur(spark, d)[1])
+
+
+@query(SQL["reach_counts"])
+def reach_counts_distributed(spark, d):
+    return graph.reach_counts(base_cur(spark, d)[1], kernel_edges=0)
 
 
 @query(_depth_sql() + " SELECT 'Lakos.ChainLength' AS rule, path AS file, 0 AS line, 'include depth ' || n || ' exceeds threshold 10' AS message FROM sc JOIN depth ON u = scc WHERE n > 10")
-def lakos_chain_length(spark, d, least=LEAST):
-    return drift.chain_length(base_cur(spark, d, least=least)[1])
+def lakos_chain_length(spark, d):
+    return drift.chain_length(base_cur(spark, d)[1])
 
 
 @query(_depth_sql() + """,
-f AS (SELECT dst, count(*) AS k FROM cur GROUP BY dst), x AS (SELECT n.path, count(r.dst) + CASE WHEN bool_or(r.dst = n.path) THEN 0 ELSE 1 END AS reach FROM nodes n LEFT JOIN r ON r.src = n.path GROUP BY n.path),
-t AS (SELECT count(*) AS node_count, CAST(sum(reach) AS BIGINT) AS ccd FROM x)
+f AS (SELECT dst, count(*) AS k FROM cur GROUP BY dst), t AS (SELECT count(*) AS node_count, CAST(sum(bit_count(bits)) AS BIGINT) AS ccd FROM scf)
 SELECT node_count, CAST((SELECT max(n) FROM depth) AS BIGINT) AS max_chain_length, (SELECT max(k) FROM f) AS max_fan_in, ccd, round(ccd / node_count, 6) AS acd, round(ccd / node_count / log2(node_count + 1), 6) AS nccd FROM t""")
-def graph_metrics(spark, d, least=LEAST):
-    m = graph.metrics(base_cur(spark, d, least=least)[1])
+def graph_metrics(spark, d):
+    return _rounded(graph.metrics(base_cur(spark, d)[1]))
+
+
+@query(SQL["graph_metrics"])
+def graph_metrics_distributed(spark, d):
+    """The same by the loops that scale out: levels, and reach by bitmaps."""
+    return _rounded(graph.metrics(base_cur(spark, d)[1], kernel_edges=0))
+
+
+def _rounded(m):
     return m.withColumns({"acd": F.round("acd", 6), "nccd": F.round("nccd", 6)})
 
 
-@query(_with(recursive=True) + _REACH + " SELECT dst AS path FROM r WHERE src = (SELECT min(src) FROM cur) UNION SELECT min(src) FROM cur")
-def reachable(spark, d, least=LEAST):
-    e = written(base_cur(spark, d, least=least)[1], "edges")
+@query(_with(recursive=True) + _NODES + _closed("cur", "f") + " SELECT n.path FROM f JOIN nd n ON get_bit(f.bits, n.k::INTEGER) = 1 WHERE f.k = (SELECT k FROM nd WHERE path = (SELECT min(src) FROM cur))")
+def reachable(spark, d):
+    e = base_cur(spark, d)[1]
     return graph.reachable_from(e, e.agg(F.min("src")).first()[0])
 
 
@@ -182,8 +213,8 @@ ad AS (SELECT c.* FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst
 k AS (SELECT least(ma, mb) AS x, greatest(ma, mb) AS y, src, dst, ma, mb, row_number() OVER (PARTITION BY least(ma, mb), greatest(ma, mb) ORDER BY src, dst) AS n FROM ad
   WHERE (mb, ma) IN (SELECT (a, b) FROM cp) AND NOT ((ma, mb) IN (SELECT (a, b) FROM bp) AND (mb, ma) IN (SELECT (a, b) FROM bp)) AND (dst, src) NOT IN (SELECT (src, dst) FROM cur))
 SELECT 'DRIFT.3' AS rule, src AS file, 0 AS line, 'bidirectional module coupling: ''' || ma || ''' <-> ''' || mb || ''' (modules now depend on each other; was not mutual in baseline)' AS message FROM k WHERE n = 1""")
-def drift3_bidirectional_coupling(spark, d, least=LEAST):
-    return drift.bidirectional_coupling(*base_cur(spark, d, CUT_NEW, least))
+def drift3_bidirectional_coupling(spark, d):
+    return drift.bidirectional_coupling(*base_cur(spark, d, CUT_NEW))
 
 
 _MODULES = """,
@@ -193,8 +224,8 @@ sh AS (SELECT module FROM mm, lim WHERE most > 0 AND fid > floor(0.5 * most) AND
 
 
 @query(_with(CUT_NEW) + _PAIRS + _MODULES + " SELECT module, fid, fod, round(fod / (fid + fod), 6) AS instability, module IN (SELECT module FROM sh) AS shared FROM mm")
-def module_metrics(spark, d, least=LEAST):
-    m = graph.module_metrics(base_cur(spark, d, CUT_NEW, least)[0])
+def module_metrics(spark, d):
+    m = written(graph.module_metrics(graph.module_pairs(base_cur(spark, d, CUT_NEW)[0])), "modules")
     s = graph.shared_modules(m).withColumn("shared", F.lit(True))
     return m.join(s, "module", "left").select("module", "fid", "fod", F.round("instability", 6).alias("instability"), F.coalesce("shared", F.lit(False)).alias("shared"))
 
@@ -208,66 +239,63 @@ SELECT CASE WHEN back THEN 'DRIFT.4.CYCLE' WHEN ib > ia + 0.10 THEN 'DRIFT.4.SDP
  || ' (via ' || src || ' -> ' || dst || ')' AS message FROM w WHERE (SELECT count(*) FROM cur c ANTI JOIN base b ON c.src = b.src AND c.dst = b.dst) <= {limit}"""
 
 
-@query(_lateral(150))
-def drift4_lateral_dependency(spark, d, least=LEAST):
-    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least))
-
-
 UNGUARDED = 2_000_000_000
 
 
 @query(_lateral(UNGUARDED))
-def drift4_lateral_dependency_unguarded(spark, d, least=LEAST):
-    """The rule itself on tables of any size; the guard is the other two queries' matter."""
-    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least), max_added=UNGUARDED)
+def drift4_lateral_dependency(spark, d):
+    """The rule itself on tables of any size; the guard is the next query's matter."""
+    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW), max_added=UNGUARDED)
 
 
-@query(_lateral(10))
-def drift4_mass_change_guard(spark, d, least=LEAST):
-    return drift.lateral_dependencies(*base_cur(spark, d, CUT_NEW, least), max_added=10)
+@query(f"SELECT * FROM (SELECT 'guarded' AS mode, count(*) AS n FROM ({_lateral(150)}) UNION ALL SELECT 'unguarded', count(*) FROM ({_lateral(UNGUARDED)}))")
+def drift4_mass_change_guard(spark, d):
+    """How many findings the guard of 150 added edges leaves, and how many there are."""
+    base, cur = base_cur(spark, d, CUT_NEW)
+    count = lambda mode, limit: drift.lateral_dependencies(base, cur, max_added=limit).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n")
+    return count("guarded", 150).union(count("unguarded", UNGUARDED))
 
 
 @query(_with() + " SELECT dst AS path, count(*) AS fan_in FROM cur GROUP BY dst HAVING count(*) > 3 AND dst NOT IN (SELECT dst FROM base GROUP BY dst HAVING count(*) > 3)")
-def diff_new_god_headers(spark, d, least=LEAST):
-    return drift.new_god_headers(*base_cur(spark, d, least=least), threshold=3)
+def diff_new_god_headers(spark, d):
+    return drift.new_god_headers(*base_cur(spark, d), threshold=3)
 
 
 @query(_with() + """,
 a AS (SELECT ma, mb, count(*) AS n, min((src, ordinal, dst)) AS s FROM cur WHERE ma <> mb GROUP BY ma, mb)
 SELECT ma AS from_area, mb AS to_area, n AS edge_count, s[1] AS sample_from, s[3] AS sample_to FROM a WHERE (ma, mb) NOT IN (SELECT (ma, mb) FROM base)""")
-def diff_cross_area_dependencies(spark, d, least=LEAST):
-    return drift.cross_area_dependencies(*base_cur(spark, d, least=least))
+def diff_cross_area_dependencies(spark, d):
+    return drift.cross_area_dependencies(*base_cur(spark, d))
 
 
-@query("""WITH RECURSIVE """ + _EDGES + f""", e0 AS (SELECT src, dst FROM cur WHERE first_seen < TIMESTAMP '{CUT_OLD}'), e1 AS (SELECT src, dst FROM cur),
-r0 AS (SELECT src, dst FROM e0 UNION SELECT r0.src, e0.dst FROM r0 JOIN e0 ON r0.dst = e0.src), r1 AS (SELECT src, dst FROM e1 UNION SELECT r1.src, e1.dst FROM r1 JOIN e1 ON r1.dst = e1.src),
-n0 AS (SELECT src AS p FROM e0 UNION SELECT dst FROM e0), n1 AS (SELECT src AS p FROM e1 UNION SELECT dst FROM e1),
-c0 AS (SELECT (SELECT count(*) FROM r0 WHERE src <> dst) + (SELECT count(*) FROM n0) AS ccd, (SELECT count(*) FROM n0) AS n), c1 AS (SELECT (SELECT count(*) FROM r1 WHERE src <> dst) + (SELECT count(*) FROM n1) AS ccd, (SELECT count(*) FROM n1) AS n)
-SELECT round(c0.ccd / c0.n / log2(c0.n + 1), 6) AS nccd_before, round(c1.ccd / c1.n / log2(c1.n + 1), 6) AS nccd_after FROM c0, c1 WHERE c1.ccd / c1.n / log2(c1.n + 1) > c0.ccd / c0.n / log2(c0.n + 1)""")
-def diff_nccd_delta(spark, d, least=LEAST):
-    g = drift.metric_growth(*base_cur(spark, d, least=least)).where("nccd_after IS NOT NULL")
+@query(_with(recursive=True) + _NODES + _closed("cur", "f") + _closed("base", "g") + """,
+n0 AS (SELECT k FROM nd WHERE path IN (SELECT src FROM base UNION SELECT dst FROM base)),
+c AS (SELECT (SELECT sum(bit_count(bits)) / count(*) / log2(count(*) + 1) FROM g WHERE k IN (SELECT k FROM n0)) AS a, (SELECT sum(bit_count(bits)) / count(*) / log2(count(*) + 1) FROM f) AS b)
+SELECT round(a, 6) AS nccd_before, round(b, 6) AS nccd_after FROM c WHERE b > a""")
+def diff_nccd_delta(spark, d):
+    g = drift.metric_growth(*base_cur(spark, d)).where("nccd_after IS NOT NULL")
     return g.select(F.round("nccd_before", 6).alias("nccd_before"), F.round("nccd_after", 6).alias("nccd_after"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey AS cyc, l_partkey AS p FROM lineitem WHERE l_quantity >= 40), ren AS (SELECT p_partkey AS p FROM part WHERE p_size <= 25)
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS cyc, l_partkey AS p FROM lineitem), ren AS (SELECT p_partkey AS p FROM part WHERE p_size <= 25)
 SELECT cyc FROM s LEFT JOIN ren ON ren.p = s.p GROUP BY cyc HAVING NOT bool_and(ren.p IS NOT NULL)""")
-def rename_guard(spark, d, rows="l_quantity >= 40"):
+def rename_guard(spark, d):
     """J21: a cycle is dropped only if every member was renamed."""
-    s = table(spark, d, "lineitem").where(rows).select(F.col("l_orderkey").alias("scc"), F.col("l_partkey").alias("p")).distinct()
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scc"), F.col("l_partkey").alias("p")).distinct()
     grown = s.groupBy("scc").agg(F.collect_set("p").alias("members"))
     return drift.drop_renamed(grown, table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("path"))).select(F.col("scc").alias("cyc"))
 
 
 @query(_with() + " SELECT 'DRIFT.1' AS rule, src AS file, 0 AS line, dst AS message FROM cur WHERE src NOT IN (SELECT src FROM base)")
-def violation_baseline_filter(spark, d, least=LEAST):
+def violation_baseline_filter(spark, d):
     """J6: findings that a baseline does not know, by rule, file and line."""
-    base, cur = base_cur(spark, d, least=least)
+    base, cur = base_cur(spark, d)
     rows = lambda e: drift.violation(e, "DRIFT.1", "src", F.col("dst"))
     return drift.new_violations(rows(cur), rows(base))
 
 
-def members_of(spark, d, least=LEAST):
-    e = base_cur(spark, d, least=least)[1]
+def members_of(spark, d):
+    e = base_cur(spark, d)[1]
     mods = spark.createDataFrame([("low", "s[0-9]/**"), ("mid", "s1*/**"), ("high", "s4*/**")], "name string, glob string")
     return e, drift.membership(graph.nodes_of(e), mods.withColumn("glob", F.when(F.col("name") == "low", "s1/**").otherwise(F.col("glob"))))
 
@@ -277,42 +305,19 @@ mem AS (SELECT path, 'low' AS m FROM n WHERE regexp_matches(path, '^s1/.*$') UNI
 me AS (SELECT src, dst, a.m AS x, b.m AS y FROM cur JOIN mem a ON a.path = src JOIN mem b ON b.path = dst WHERE a.m <> b.m)"""
 
 
-@query(_with() + _MEMBER + " SELECT src, dst, x AS frm, y AS to_module FROM me WHERE x = 'high' AND y IN ('low', 'mid')")
-def config_forbidden(spark, d, least=LEAST):
-    e, m = members_of(spark, d, least)
-    return drift.module_edges(e, m).where("ma = 'high' AND mb IN ('low', 'mid')").select("src", "dst", F.col("ma").alias("frm"), F.col("mb").alias("to_module"))
+@query(_with() + _MEMBER + " SELECT 'MODULE.FORBIDDEN' AS rule, src AS file, 0 AS line, 'forbidden: ' || x || ' must not depend on ' || y || ' (via ' || dst || ')' AS message FROM me WHERE x = 'high' AND y IN ('low', 'mid')")
+def config_forbidden(spark, d):
+    return drift.forbidden(*members_of(spark, d), ["high"], ["low", "mid"])
 
 
 @query(_with() + _MEMBER + " SELECT 'MODULE.INDEPENDENCE' AS rule, src AS file, 0 AS line, 'independence: ' || x || ' and ' || y || ' must be independent (via ' || dst || ')' AS message FROM me WHERE x IN ('mid', 'high') AND y IN ('mid', 'high')")
-def config_independence(spark, d, least=LEAST):
-    return drift.independence(*members_of(spark, d, least), ["mid", "high"])
+def config_independence(spark, d):
+    return drift.independence(*members_of(spark, d), ["mid", "high"])
 
 
 @query(_with() + _MEMBER + " SELECT 'MODULE.LAYERS' AS rule, src AS file, 0 AS line, 'layers: ' || x || ' must not depend on ' || y || ' above it (via ' || dst || ')' AS message FROM me WHERE (x = 'low' AND y IN ('high', 'mid')) OR (x = 'mid' AND y = 'high')")
-def config_layers(spark, d, least=LEAST):
-    return drift.layers(*members_of(spark, d, least), ["high", "mid", "low"])
-
-
-# The graph queries above keep the edges of large quantities, as their SQL does.  These run over every edge; where the SQL
-# would list all pairs of nodes that reach each other, there is none, and tests/test_whole.py has it on the smallest tables.
-
-GRAPHS = [
-    merged_edges, lakos_god_header, added_edges, removed_edges, drift1_shortcut_edge, drift2_cycle_growth,
-    scc, scc_distributed, scc_stats, sf9_cycles, include_depths, lakos_chain_length,
-    graph_metrics, reachable, drift3_bidirectional_coupling, module_metrics, drift4_lateral_dependency, drift4_lateral_dependency_unguarded, drift4_mass_change_guard,
-    diff_new_god_headers, diff_cross_area_dependencies, diff_nccd_delta, violation_baseline_filter, config_forbidden, config_independence,
-    config_layers,
-]
-
-
-def whole_sql(sql: str) -> str:
-    return sql.replace(f" AND l_quantity >= {LEAST}", "")
-
-
-for _f in GRAPHS:
-    Q[f"whole_{_f.__name__}"] = partial(_f, least=None)
-    if "RECURSIVE" not in SQL[_f.__name__]:
-        SQL[f"whole_{_f.__name__}"] = whole_sql(SQL[_f.__name__])
+def config_layers(spark, d):
+    return drift.layers(*members_of(spark, d), ["high", "mid", "low"])
 
 
 # -- history --------------------------------------------------------------------------------------------------------
@@ -430,40 +435,30 @@ def test1_co_evolution(spark, d):
     return lines.test_co_evolution(lines.parse_numstat(spark.createDataFrame([(x,) for x in NUMSTAT], "line string")))
 
 
-@query("""SELECT l.l_orderkey AS span, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) o JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 49) l ON l.l_orderkey BETWEEN o.o_orderkey - 2 AND o.o_orderkey + 2 AND o.o_custkey % 50 = l.l_orderkey % 50 GROUP BY 1""")
-def interval_join(spark, d, rows="l_quantity >= 49"):
-    """J12 as an inner join: an interval condition besides an equality."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey").distinct().select((F.col("o_custkey") % 50).alias("path"), (F.col("o_orderkey") - 2).alias("lo"), (F.col("o_orderkey") + 2).alias("hi"))
-    x = table(spark, d, "lineitem").where(rows).select(F.col("l_orderkey").alias("span"), (F.col("l_orderkey") % 50).alias("path")).distinct()
-    return x.join(o, "path").where("span BETWEEN lo AND hi").groupBy("span").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(SQL["rename_guard"].replace(" WHERE l_quantity >= 40", ""))
-def whole_rename_guard(spark, d):
-    return rename_guard(spark, d, "true")
-
-
-@query(SQL["interval_join"].replace(" WHERE l_quantity >= 49", ""))
-def whole_interval_join(spark, d):
-    return interval_join(spark, d, "true")
+@query("""SELECT DISTINCT o_custkey % 50 AS path, o_orderkey - 2 AS start_line, o_orderkey + 2 AS end_line FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey BETWEEN o.o_orderkey - 2 AND o.o_orderkey + 2 AND o.o_custkey % 50 = l.l_orderkey % 50)""")
+def interval_join(spark, d):
+    """J12: spans that a line falls into, an interval condition besides an equality."""
+    spans = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("path"), (F.col("o_orderkey") - 2).alias("start_line"), (F.col("o_orderkey") + 2).alias("end_line")).distinct()
+    x = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("path"), F.col("l_orderkey").alias("line"))
+    return lines.touching(spans, x)
 
 
 # -- clones ---------------------------------------------------------------------------------------------------------
 
 
 def text_fragments(spark, d):
-    """Lines of documents as fragments: words are tokens, the line's words in order its sequence."""
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where("length(l) > 60")
+    """Lines of documents as fragments: words are tokens, the line's words in order its sequence; a line without a word is none.
+
+    What the candidates need is two columns, so nothing is computed for the others before they are read.
+    """
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where("l RLIKE '[^ ]'")
     seq = F.split(F.lower("l"), " ")
     f = t.select((F.col("doc_id") * 100000 + F.col("i")).alias("frag_id"), F.format_string("doc_%d.cpp", "doc_id").alias("file"), (F.col("i") + 1).cast("int").alias("start_line"), (F.col("i") + 1).cast("int").alias("end_line"), seq.alias("seq"), F.split("l", " ").alias("raw_seq"))
-    bag = f.select("frag_id", F.explode("seq").alias("token")).groupBy("frag_id", "token").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    bag = bag.groupBy("frag_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("bag"))
-    f = f.join(bag, "frag_id")
-    return written(f.select("frag_id", "file", "start_line", "end_line", F.size("seq").alias("token_count"), F.lit(2).alias("stmts"), "bag", "seq", "raw_seq", F.array_distinct("seq").alias("norm_lines"), F.col("seq").alias("norm_line_seq"), clones.diversity(F.col("seq")).alias("diversity")), "fragments")
+    return f.select("frag_id", "file", "start_line", "end_line", F.size("seq").alias("token_count"), F.lit(2).alias("stmts"), "seq", "raw_seq", F.array_distinct("seq").alias("norm_lines"), F.col("seq").alias("norm_line_seq"), clones.diversity(F.col("seq")).alias("diversity"))
 
 
 _FRAG = """WITH RECURSIVE ln AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-fr AS (SELECT doc_id * 100000 + i - 1 AS frag_id, 'doc_' || doc_id || '.cpp' AS file, string_split(lower(ls[i]), ' ') AS seq FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ln) WHERE length(ls[i]) > 60),
+fr AS (SELECT doc_id * 100000 + i - 1 AS frag_id, 'doc_' || doc_id || '.cpp' AS file, string_split(lower(ls[i]), ' ') AS seq FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ln) WHERE regexp_matches(ls[i], '[^ ]')),
 tk AS (SELECT frag_id, token, count(*) AS n FROM (SELECT frag_id, unnest(seq) AS token FROM fr) GROUP BY frag_id, token),
 st AS (SELECT token, count(*) AS df, ln((SELECT count(*) FROM fr) / count(*)) AS idf FROM tk GROUP BY token),
 rp AS (SELECT x.frag_id AS a, y.frag_id AS b, count(*) AS shared FROM tk x JOIN tk y ON x.token = y.token AND x.frag_id < y.frag_id JOIN st ON st.token = x.token AND df BETWEEN 2 AND 4 GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -492,33 +487,30 @@ mx AS (SELECT c.a, c.b, t.token, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb
 s AS (SELECT a, b, sum(idf * least(na, nb)) / sum(idf * greatest(na, nb)) AS w, sum(least(na, nb)) / sum(greatest(na, nb)) AS p FROM mx JOIN st ON st.token = mx.token GROUP BY a, b)
 SELECT a, b, round(w, 6) AS weighted, round(p, 6) AS plain FROM s WHERE w >= 0.6""")
 def clone_scores(spark, d):
-    s = clones.scored(text_fragments(spark, d))
+    s = clones.scored(written(text_fragments(spark, d), "fragments"))
     return s.select("a", "b", F.round("weighted", 6).alias("weighted"), F.round("plain", 6).alias("plain"))
 
 
 @query()
 def clone_report(spark, d):
     """The whole clone pipeline (its ordered line run has no SQL)."""
-    return clones.report(clones.clone_pairs(text_fragments(spark, d), CloneOptions()))
+    return clones.report(clones.clone_pairs(written(text_fragments(spark, d), "fragments"), CloneOptions()))
 
 
 # -- classification -------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, regexp_matches(lower(substr(text, 1, 2000)), 'licensed under the apache|permission is hereby granted|zlib license|boost software license|redistribution and use in source|released into the public domain') AS license,
-strlen(text) >= 4096 AND floor(least(strlen(text), 65536) / (1 + length(substr(text, 1, 65536)) - length(replace(substr(text, 1, 65536), chr(10), '')))) > 110 AS minified FROM documents WHERE strlen(text) = length(text)""")
+# Heads are cut by bytes.  A marker is ASCII, so it ends within the head if the bytes before its first place do; newlines
+# are counted by the bytes up to each.
+@query("""WITH d AS (SELECT doc_id, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, row_number() OVER () AS rid FROM documents),
+l AS (SELECT rid, i, sum(strlen(line) + 1) OVER (PARTITION BY rid ORDER BY i) AS pos, n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, len(string_split(text, chr(10))) AS n FROM d)),
+c AS (SELECT rid, count(*) FILTER (i < n AND pos <= 65536) AS newlines FROM l GROUP BY rid)
+SELECT doc_id, list_bool_or(list_transform(['licensed under the apache', 'permission is hereby granted', 'zlib license', 'boost software license', 'redistribution and use in source', 'released into the public domain'],
+    lambda m: strpos(low, m) > 0 AND strlen(substr(low, 1, strpos(low, m) - 1)) + strlen(m) <= 2000)) AS license,
+  strlen(text) >= 4096 AND floor(least(strlen(text), 65536) / (1 + newlines)) > 110 AS minified FROM d LEFT JOIN c ON c.rid = d.rid""")
 def content_classes(spark, d):
-    return _content_classes(table(spark, d, "documents").where("octet_length(text) = length(text)"))
-
-
-@query()
-def whole_content_classes(spark, d):
-    """Of every document; its heads are cut by bytes, so it has no SQL."""
-    return _content_classes(table(spark, d, "documents"))
-
-
-def _content_classes(t: DataFrame) -> DataFrame:
-    return t.select("doc_id", c.has_license_banner(F.col("text")).alias("license"), c.is_minified(F.col("text")).alias("minified"))
+    """P12, P14 of every document."""
+    return table(spark, d, "documents").select("doc_id", c.has_license_banner(F.col("text")).alias("license"), c.is_minified(F.col("text")).alias("minified"))
 
 
 @query("""SELECT url, regexp_extract(path, '([^/]*)$', 1) AS base, regexp_matches(path, '\\.html$') AS html, len(string_split(path, '/')) AS depth FROM (SELECT url, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages)""")
