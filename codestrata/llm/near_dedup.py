@@ -188,8 +188,9 @@ def links(signed: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL
     below = star.where("node <> pivot")
     pairs = written(below.select("node", "pivot").union(top.select("node", "pivot")).distinct(), "links")
     needed = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
-    sig = written(signed.select("node", "sig").join(needed, "node", "left_semi").dropDuplicates(["node"]), "candidates")
-    both = pairs.join(sig.withColumnRenamed("sig", "a"), "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("b")), "pivot")
+    sig = written(signed.select("node", "sig").join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "candidates")
+    # these tables grow with the texts, so neither is broadcast, however small it is
+    both = pairs.join(sig.withColumnRenamed("sig", "a").hint("merge"), "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("b")).hint("merge"), "pivot")
     checked = written(_verified(both.select("node", "pivot", "a", "b"), threshold), "pairs", instead_of=pairs)
     good = checked.where("ok").select("node", "pivot")
     bad = checked.where("NOT ok").select("node", "pivot")
