@@ -18,9 +18,9 @@ def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     header = F.col("line").contains("\x1f")
     d = lines.withColumn("pos", F.sum(F.when(header, 1).otherwise(0)).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    commits = d.where(header).select(F.col("pos").cast("int").alias("pos"), F.split("line", "\x1f")[0].alias("sha"), F.split("line", "\x1f", 2)[1].alias("subject"))
+    commits = d.where(header).select(F.col("pos").cast("int").alias("pos"), F.get(F.split("line", "\x1f"), F.lit(0)).alias("sha"), F.get(F.split("line", "\x1f", 2), F.lit(1)).alias("subject"))
     part = F.split("line", "\t", 3)
-    rows = d.where(~header & (F.size(part) == 3)).select(F.col("pos").cast("int").alias("pos"), part[2].alias("path"), F.expr("try_cast(split(line, '\t', 3)[0] AS int)").alias("added"), F.expr("try_cast(split(line, '\t', 3)[1] AS int)").alias("deleted"))
+    rows = d.where(~header & (F.size(part) == 3)).select(F.col("pos").cast("int").alias("pos"), F.get(part, F.lit(2)).alias("path"), F.expr("try_cast(get(split(line, '\t', 3), 0) AS int)").alias("added"), F.expr("try_cast(get(split(line, '\t', 3), 1) AS int)").alias("deleted"))
     return commits, rows.where("added IS NOT NULL AND deleted IS NOT NULL AND NOT contains(path, ' => ')")
 
 

@@ -35,7 +35,7 @@ def parse_diff(lines: DataFrame) -> DataFrame:
 def parse_numstat(lines: DataFrame) -> DataFrame:
     """``numstat(path, added, removed)``; binary rows (``-``) are skipped."""
     part = F.split("line", "\t", 3)
-    d = lines.where(F.size(part) == 3).select(part[2].alias("path"), F.expr("try_cast(split(line, '\t', 3)[0] AS int)").alias("added"), F.expr("try_cast(split(line, '\t', 3)[1] AS int)").alias("removed"))
+    d = lines.where(F.size(part) == 3).select(F.get(part, F.lit(2)).alias("path"), F.expr("try_cast(get(split(line, '\t', 3), 0) AS int)").alias("added"), F.expr("try_cast(get(split(line, '\t', 3), 1) AS int)").alias("removed"))
     return d.where("added IS NOT NULL AND removed IS NOT NULL")
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata import schema
+from codestrata import config, schema
 from codestrata.functions.classify import EXCLUDED_DIRS, is_project_file
 from codestrata.operators.code import READ_LIMIT
 from codestrata.storage import ship
@@ -35,6 +34,16 @@ def tree(spark: SparkSession, root: str, snapshot: str = "cur", read_limit: int
     paths = spark.createDataFrame([(p,) for p in discover(root)], "path string").where(is_project_file(F.col("path")))
 
     def kernel(batches):
+        names, contents, held = [], [], 0
+
+        def batch_of():
+            nonlocal held
+            out = pa.RecordBatch.from_arrays([pa.array([snapshot] * len(names)), pa.array(names), pa.array(contents, pa.binary())], names=["snapshot", "path", "content"])
+            names.clear()
+            contents.clear()
+            held = 0
+            return out
+
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 full = os.path.join(root, path)
@@ -42,7 +51,13 @@ def tree(spark: SparkSession, root: str, snapshot: str = "cur", read_limit: int
                 if os.path.isfile(full) and os.path.getsize(full) <= read_limit:
                     with open(full, "rb") as f:
                         content = f.read()
-                yield pa.RecordBatch.from_arrays([pa.array([snapshot]), pa.array([path]), pa.array([content], pa.binary())], names=["snapshot", "path", "content"])
+                names.append(path)
+                contents.append(content)
+                held += len(content)
+                if held > 4 << 20 or len(names) >= 1000:
+                    yield batch_of()
+        if names:
+            yield batch_of()
 
     return paths.mapInArrow(kernel, schema.FILES)
 
@@ -56,28 +71,37 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         f.write('format_version: "1"\nnodes:\n' + "".join(f"  - {json.dumps(p, ensure_ascii=False)}\n" for p in names) + "edges:\n" + "".join(f"  - [{a}, {b}]\n" for a, b in pairs))
 
 
+class BaselineError(ValueError):
+    """``kind``: parse_error, unknown_version, missing_field or malformed_schema."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
+
+
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes and (unconditional) edges of a graph baseline; ValueError if it is malformed."""
-    version, part, names, pairs = None, None, [], []
+    """nodes and (unconditional) edges of a graph baseline."""
     with open(path, encoding="utf-8") as f:
-        for number, line in enumerate(f, 1):
-            line = line.rstrip()
-            if not line or line.lstrip().startswith("#"):
-                continue
-            if m := re.fullmatch(r"format_version:\s*\"?([^\"]*)\"?", line):
-                version = m[1]
-            elif m := re.fullmatch(r"(nodes|edges):\s*(\[\])?", line):
-                part = m[1]
-            elif part == "nodes" and (m := re.fullmatch(r"\s*-\s*(.+)", line)):
-                names.append(json.loads(m[1]) if m[1].startswith('"') else m[1].strip("'"))
-            elif part == "edges" and (m := re.fullmatch(r"\s*-\s*\[\s*(\d+)\s*,\s*(\d+)\s*\]", line)):
-                pairs.append((int(m[1]), int(m[2])))
-            else:
-                raise ValueError(f"{path}:{number}: not understood: {line}")
-    if version != "1":
-        raise ValueError(f"{path}: format_version {version} is not supported")
-    if len(set(names)) != len(names) or any(max(p) >= len(names) for p in pairs):
-        raise ValueError(f"{path}: repeated node or edge out of range")
+        try:
+            root = config.parse(f.read(), path)
+        except config.ConfigError as e:
+            raise BaselineError("parse_error", str(e)) from None
+    if not root.is_map:
+        raise BaselineError("malformed_schema", f"{path}: the top level must be a map")
+    for key in ("format_version", "nodes", "edges"):
+        if root.get(key) is None:
+            raise BaselineError("missing_field", f"{path}: the key '{key}' is required")
+    if root.get("format_version").value != "1":
+        raise BaselineError("unknown_version", f"{path}: format_version {root.get('format_version').value} is not supported")
+    bad = lambda what: BaselineError("malformed_schema", f"{path}: {what}")
+    names, pairs = [n.value for n in root.get("nodes").value or ()], []
+    if not all(isinstance(n, str) for n in names) or len(set(names)) != len(names):
+        raise bad("nodes must be a list of names, each once")
+    for e in root.get("edges").value or ():
+        pair = [x.value for x in e.value] if isinstance(e, config.Node) and e.is_list else []
+        if len(pair) != 2 or not all(isinstance(x, str) and x.isdigit() and int(x) < len(names) for x in pair):
+            raise bad("edges must be pairs of node numbers")
+        pairs.append((int(pair[0]), int(pair[1])))
     rows = [(names[a], names[b], False, i) for i, (a, b) in enumerate(pairs)]
     return spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(rows, "src string, dst string, conditional boolean, ordinal int")
 
@@ -87,3 +111,9 @@ def load_violations(spark: SparkSession, path: str) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         rows = json.load(f)["violations"]
     return spark.createDataFrame([(r["rule"], r["file"], int(r.get("line", 0)), r.get("message", "")) for r in rows], schema.VIOLATIONS)
+
+
+def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, sha, label, fp_class, class) of a labelled corpus: fields between blanks, ``#`` in front a comment; short rows go."""
+    t = spark.read.text(path).where("value <> '' AND NOT startswith(value, '#')").select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("f")).where(F.size("f") >= 5)
+    return t.select(*[F.col("f")[i].alias(n) for i, n in enumerate(("repo", "sha", "label", "fp_class", "class"))])
