@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.classify import churn_bucket, path_excluded, satd_rule
 from codestrata.operators.drift import violation
 from codestrata.options import Extras
+from codestrata.storage import written
 
 
 def parse_diff(lines: DataFrame) -> DataFrame:
@@ -74,13 +75,25 @@ def test_co_evolution(numstat: DataFrame, extras: Extras = Extras()) -> DataFram
     return violation(d, "TEST.1.prod_changed_tests_silent", F.lit("<diff>"), F.format_string("prod +%d/-%d across %d file(s), tests +%d/-%d", "prod_added", "prod_removed", "prod_files", "test_added", "test_removed"))
 
 
-def touching(spans: DataFrame, lines: DataFrame) -> DataFrame:
+def touching(spans: DataFrame, lines: DataFrame, width: int = 4096) -> DataFrame:
     """Spans ``(path, start_line, end_line, ...)`` that a line ``(path, line)`` falls into: an interval semi-join.
 
-    Equal paths make it an equi-join first; the interval is a residual condition of it.
+    A span is touched exactly if the first line at or after its start is no later than its end.  That line is looked for
+    among the ``width`` lines around the start, then in the next block of the path that has any, so no pair of a span and a
+    line is formed and a path with many lines is spread.
     """
-    touched = lines.select(F.col("path").alias("__path"), F.col("line").alias("__line")).distinct()
-    return spans.join(touched, (F.col("path") == F.col("__path")) & F.col("__line").between(F.col("start_line"), F.col("end_line")), "left_semi")
+    block = F.floor(F.col("__at") / width).alias("__block")
+    points = lines.select("path", F.col("line").cast("long").alias("__at"), F.col("line").cast("long").alias("__line")).distinct()
+    points = points.union(spans.select("path", F.col("start_line").cast("long"), F.lit(None).cast("long")).distinct()).where("path IS NOT NULL AND __at IS NOT NULL")
+    points = written(points.select("*", block), "points")
+    near = F.min("__line").over(Window.partitionBy("path", "__block").orderBy(F.desc("__at")))  # peers count
+    after = Window.partitionBy("path").orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    later = points.groupBy("path", "__block").agg(F.min("__line").alias("__first")).select("path", "__block", F.min("__first").over(after).alias("__later"))
+    found = points.withColumn("__near", near).where("__line IS NULL").join(later, ["path", "__block"])
+    found = found.select("path", F.col("__at").alias("__start"), F.coalesce("__near", "__later").alias("__next")).where("__next IS NOT NULL")
+    found = found.withColumnRenamed("path", "__path")
+    hit = (F.col("path") == F.col("__path")) & (F.col("start_line").cast("long") == F.col("__start")) & (F.col("__next") <= F.col("end_line"))
+    return spans.join(found, hit, "left_semi")
 
 
 def on_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
