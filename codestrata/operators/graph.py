@@ -21,10 +21,11 @@ GRAPH = "path string, scc string, scc_size int, depth int, reach long"
 
 
 def merge_edges(raw: DataFrame) -> DataFrame:
-    """Parallel edges become one: conditional only if all are, first ordinal; self edges go, paths are normalised."""
+    """Parallel edges become one: conditional only if all are, first ordinal and ``first_seen``; self edges go, paths are normalised."""
     d = raw.withColumns({"src": normalise_path(F.col("src")), "dst": normalise_path(F.col("dst"))}).where("src <> dst")
     keys = [c for c in ("snapshot", "src", "dst") if c in raw.columns]
-    return d.groupBy(*keys).agg(F.bool_and("conditional").alias("conditional"), F.min("ordinal").alias("ordinal"))
+    first = [F.min(c).alias(c) for c in ("ordinal", "first_seen") if c in raw.columns]
+    return d.groupBy(*keys).agg(F.bool_and("conditional").alias("conditional"), *first)
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
