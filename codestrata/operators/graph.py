@@ -2,7 +2,8 @@
 
 Strongly connected components, depths and reach have two implementations that must agree: DataFrame loops that cut
 their lineage in the shared folder, for any size, and a grouped kernel for graphs of at most ``KERNEL_EDGES`` edges
-(the count is checked), where a loop's fixed cost would dominate.
+(the count is checked), where a loop's fixed cost would dominate.  Loops run on hashes of paths (checked to be distinct)
+and begin by contracting what a few rounds show to be connected both ways; depths and reach need the condensation only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.classify import module_of, normalise_path
 from codestrata.options import Extras
-from codestrata.storage import forget, ship, written
+from codestrata.storage import forget, numbered, ship, written
 
 KERNEL_EDGES = 2_000_000
 KERNEL_REACH_NODES = 20_000
@@ -90,6 +91,9 @@ def _analyse(pdf: pd.DataFrame, reach: bool) -> pd.DataFrame:
         for v in members:
             comp_of[v] = c
     size = [len(m) for m in comps]
+    if "w" in pdf:  # nodes that stand for several, each a component of its own
+        weight = {at[p]: w for p, w in zip(pdf.src, pdf.w) if w == w and w is not None}
+        size = [sum(int(weight[v]) for v in m) for m in comps]
     depth, closure, total, large = [0] * len(comps), [0] * len(comps), [0] * len(comps), 0
     for c, members in enumerate(comps):  # children come before parents
         below = {comp_of[w] for v in members for w in out[v]} - {c}
@@ -221,33 +225,98 @@ def scc_loop(edges: DataFrame) -> DataFrame:
     return written(found.join(size, "c").select("path", "scc"), "scc")
 
 
+def hashed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges as pairs of longs, and ``names(id, path)``; the hash is another one where two paths would share a number."""
+    for seed in range(8):
+        number = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: E731, B023
+        e = edges.where("src <> dst").select(F.struct(number("src").alias("id"), F.col("src").alias("path")).alias("s"), F.struct(number("dst").alias("id"), F.col("dst").alias("path")).alias("d"))
+        names = e.select(F.inline(F.array("s", "d"))).groupBy("id").agg(F.min("path").alias("path"), F.max("path").alias("last"))
+        names = written(names, "names")
+        if names.where("path <> last").isEmpty():
+            return written(e.select(F.col("s.id").alias("src"), F.col("d.id").alias("dst")), "hashed"), names.drop("last")
+        forget(names)
+    raise RuntimeError("no hash keeps the paths apart")
+
+
+def contracted(e: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Edges of the graph in which nodes connected both ways are one, and ``(path, c)`` of nodes by what stands for them.
+
+    Every node takes the smallest name that reaches it, as in :func:`scc_loop`, and those of a name that reach it back
+    are one with it.  Both hold of whatever a bounded number of rounds has found, so what is left is smaller and has the
+    same components; a component of small diameter is whole after it.
+    """
+    colour = front = written(nodes_of(e).select("path", F.col("path").alias("c")), "colour")
+    for _ in range(rounds):
+        offer = e.join(front.select(F.col("path").alias("src"), "c"), "src").groupBy(F.col("dst").alias("path")).agg(F.min("c").alias("c"))
+        both = colour.select("path", "c", F.col("c").alias("was")).union(offer.select("path", "c", F.lit(None).cast("long")))
+        colour = written(both.groupBy("path").agg(F.min("c").alias("c"), F.max("was").alias("was")), "colour", instead_of=colour)
+        front = colour.where("c < was")
+        if front.isEmpty():
+            break
+    colour = colour.select("path", "c")
+    front = written(colour.where("path = c"), "back")
+    seen, fronts = front, [front]
+    for _ in range(rounds):
+        step = e.join(front.select(F.col("path").alias("dst"), "c"), "dst").select(F.col("src").alias("path"), "c").distinct()
+        front = written(step.join(colour, ["path", "c"], "left_semi").join(seen, "path", "left_anti"), "back")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+        fronts.append(front)
+    member = written(seen, "member")
+    for f in fronts:
+        forget(f)
+    at = lambda c: member.select(F.col("path").alias(c), F.col("c").alias(f"{c}_c"))
+    left = e.join(at("src"), "src", "left").withColumn("src", F.coalesce("src_c", "src")).select("src", "dst")
+    left = left.join(at("dst"), "dst", "left").withColumn("dst", F.coalesce("dst_c", "dst")).select("src", "dst")
+    return written(left.where("src <> dst").distinct(), "contracted"), member
+
+
+def condensed(edges: DataFrame, nodes: DataFrame | None, kernel_edges: int) -> tuple[DataFrame, DataFrame]:
+    """``(path, scc, scc_size)`` of all nodes, and the edges between components."""
+    e, names = hashed(edges)
+    left, member = contracted(e)
+    forget(e)
+    if small(left, kernel_edges):
+        text = left.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+        loop = _kernel(text, None, False).select(F.col("path").cast("long").alias("path"), F.col("scc").cast("long").alias("scc"))
+        loop = written(loop.where("path <> scc"), "scc")
+    else:
+        loop = scc_loop(left)
+    final = lambda d, c: d.join(loop.select(F.col("path").alias(c), "scc"), c, "left").withColumn(c, F.coalesce("scc", c)).drop("scc")
+    known = names.join(member.select(F.col("path").alias("id"), "c"), "id", "left").select("path", F.coalesce("c", "id").alias("c"))
+    known = written(final(known, "c"), "known")
+    # a component of one is named by its only path, so only the larger ones are brought together
+    label = written(known.groupBy("c").agg(F.min("path").alias("scc"), F.count(F.lit(1)).cast("int").alias("scc_size")), "labels")
+    large = written(label.where("scc_size > 1"), "large")
+    comp = known.join(large, "c", "left").select("path", F.coalesce("scc", "path").alias("scc"), F.coalesce("scc_size", F.lit(1)).alias("scc_size"))
+    if nodes is not None:
+        comp = comp.union(nodes.select("path").distinct().join(names, "path", "left_anti").select("path", "path", F.lit(1)))
+    dag = final(final(left, "src"), "dst").where("src <> dst").distinct()
+    called = label.select("c", "scc")
+    dag = dag.join(called.toDF("src", "a"), "src").join(called.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return written(comp, "components"), written(dag, "dag")
+
+
 def scc(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """(path, scc, scc_size) of all nodes; scc is the smallest member."""
     if small(edges, kernel_edges):
         return _kernel(edges, nodes, False).select("path", "scc", "scc_size")
-    all_nodes = nodes_of(edges) if nodes is None else nodes.select("path").union(nodes_of(edges)).distinct()
-    loop = scc_loop(edges)
-    sized = loop.join(loop.groupBy("scc").agg(F.count(F.lit(1)).cast("int").alias("scc_size")), "scc")
-    return all_nodes.join(sized, "path", "left").select("path", F.coalesce("scc", "path").alias("scc"), F.coalesce("scc_size", F.lit(1)).alias("scc_size"))
-
-
-def condense(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """Edges between components."""
-    c = components.select("path", "scc")
-    return edges.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return condensed(edges, nodes, kernel_edges)[0]
 
 
 def depths(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """(path, depth): length of the longest path to a leaf of the condensation."""
     if small(edges, kernel_edges):
         return _kernel(edges, nodes, False).select("path", "depth")
-    comp = written(scc(edges, nodes, kernel_edges), "components")
-    return comp.join(_levels(comp, written(condense(edges, comp), "dag")), "scc").select("path", "depth")
+    comp, dag = condensed(edges, nodes, kernel_edges)
+    level = _kernel(dag, None, False).select(F.col("path").alias("scc"), "depth") if small(dag, kernel_edges) else _levels(nodes_of(dag), dag)
+    return comp.join(level, "scc", "left").select("path", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def _levels(comp: DataFrame, dag: DataFrame) -> DataFrame:
+def _levels(nodes: DataFrame, dag: DataFrame) -> DataFrame:
     """(scc, depth) by one round a level; a round reads the edges into its front only."""
-    level, depth = written(comp.select("scc", F.lit(0).alias("depth")).distinct(), "depth"), 0
+    level, depth = written(nodes.select(F.col("path").alias("scc"), F.lit(0).alias("depth")), "depth"), 0
     front = level.select("scc")
     while True:  # the nodes with a path of one edge more
         front = written(dag.join(front.toDF("dst"), "dst").select(F.col("src").alias("scc")).distinct(), "front", instead_of=front)
@@ -258,68 +327,73 @@ def _levels(comp: DataFrame, dag: DataFrame) -> DataFrame:
 
 
 def reachable_from(edges: DataFrame, start: str) -> DataFrame:
-    """Nodes reached from ``start``, itself included, by frontiers."""
-    e = edges.select("src", "dst").distinct()
-    front = edges.sparkSession.createDataFrame([(start,)], "path string")
-    seen = written(front, "seen")
-    while True:
-        front = written(e.join(front.toDF("src"), "src").select(F.col("dst").alias("path")).distinct().join(seen, "path", "left_anti"), "front", instead_of=front)
+    """Nodes reached from ``start``, itself included, by frontiers over hashes of the paths."""
+    e, names = hashed(edges)
+    own = edges.sparkSession.createDataFrame([(start,)], "path string")
+    front = written(names.join(own, "path", "left_semi").select("id"), "seen")
+    seen = front
+    while True:  # a front is written once and kept: all of them together are the answer
+        front = written(e.join(front.toDF("src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
         if front.isEmpty():
-            return seen
+            return own.union(names.join(seen, "id", "left_semi").select("path").where(F.col("path") != start))
         seen = written(seen.union(front), "seen", instead_of=seen)
 
 
-def reach_by_blocks(edges: DataFrame, nodes: DataFrame | None, kernel_edges: int, block_buckets: int = 8) -> DataFrame:
-    """(path, reach) by bitmaps: each component's bitmap of the members that it reaches, a block of members at a time.
+def reach_by_blocks(comp: DataFrame, dag: DataFrame, block_buckets: int = 8) -> DataFrame:
+    """(scc, reach) of the components in ``dag`` by bitmaps: each one's bitmap of the components that it reaches.
 
-    A bitmap holds 32,768 members in 4 KB and a block ``block_buckets`` of them, so a round's state is that many bitmaps a
-    component, whatever is reached; pairs are never listed.  Components are worked level by level from the leaves.
+    A bitmap holds 32,768 components of one size in 4 KB and a block ``block_buckets`` of them, so a round's state is that
+    many bitmaps a component (one more a size), whatever is reached; pairs are never listed and a component counts as one
+    bit whatever its size.  Components are worked level by level from the leaves.
     """
-    comp = written(scc(edges, nodes, kernel_edges), "components")
-    dag = condense(edges, comp)
-    deep = written(_levels(comp, written(dag, "dag")), "levels")
+    deep = written(_levels(nodes_of(dag), dag), "levels")
     dag = written(dag.join(deep.toDF("src", "level"), "src"), "dag")
     most = deep.agg(F.max("depth")).first()[0]
     if most is None:
-        return comp.select("path", F.lit(1).cast("long").alias("reach")).limit(0)
-    number = written(comp.orderBy("path").select("scc", F.monotonically_increasing_id().alias("id")), "numbers")
-    per = {r.p: r["count"] for r in number.groupBy(F.shiftright("id", 33).alias("p")).count().collect()}  # a row by partition
-    first, n = {}, 0
-    for p in sorted(per):
-        first[p], n = n, n + per[p]
-    at = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])])[F.shiftright("id", 33)] + F.col("id").bitwiseAND((1 << 33) - 1)
-    number = number.select("scc", at.alias("k"))
+        return comp.select("scc", F.lit(1).cast("long").alias("reach")).limit(0)
+    number = written(numbered(comp.where("path = scc").join(deep.select("scc"), "scc", "left_semi").select("scc", "scc_size"), "scc_size", "scc"), "numbers")
+    n = number.count()
     total, size = None, 32768 * block_buckets
     for low in range(0, n, size):
-        own = number.where((F.col("k") >= low) & (F.col("k") < low + size)).groupBy("scc", F.floor(F.col("k") / 32768).alias("bucket"))
+        own = number.where((F.col("k") >= low) & (F.col("k") < low + size)).groupBy("scc", F.struct("scc_size", F.floor(F.col("k") / 32768)).alias("bucket"))
         own = written(own.agg(F.bitmap_construct_agg((F.col("k") % 32768).cast("int")).alias("bits")), "bits")
         known = own.join(deep.where("depth = 0"), "scc").select("scc", "bucket", "bits")
         for level in range(1, most + 1):
             below = dag.where(F.col("level") == level).join(known.select(F.col("scc").alias("dst"), "bucket", "bits"), "dst").select(F.col("src").alias("scc"), "bucket", "bits")
             above = own.join(deep.where(F.col("depth") == level), "scc").select("scc", "bucket", "bits").union(below)
             known = written(known.union(above.groupBy("scc", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))), "reached")
-        part = written(known.select("scc", F.bitmap_count("bits").alias("n")).groupBy("scc").agg(F.sum("n").alias("n")), "reach")
+        part = written(known.select("scc", (F.bitmap_count("bits") * F.col("bucket.scc_size")).alias("n")).groupBy("scc").agg(F.sum("n").alias("n")), "reach")
         total = part if total is None else written(total.union(part).groupBy("scc").agg(F.sum("n").alias("n")), "reach")
-    return comp.join(total, "scc").select("path", F.col("n").alias("reach"))
+    return total.select("scc", F.col("n").alias("reach"))
 
 
-def reach_counts(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, kernel_nodes: int = KERNEL_REACH_NODES) -> DataFrame:
-    """(path, reach): number of nodes reached, itself included."""
+def _measured(edges: DataFrame, nodes: DataFrame | None, kernel_edges: int, kernel_nodes: int) -> DataFrame:
+    """(path, depth, reach) of all nodes."""
     all_nodes = nodes_of(edges) if nodes is None else nodes.select("path").union(nodes_of(edges)).distinct()
     if small(edges, kernel_edges) and all_nodes.limit(kernel_nodes + 1).count() <= kernel_nodes:
-        return _kernel(edges, nodes, True).select("path", "reach")
-    return reach_by_blocks(edges, nodes, kernel_edges)
+        return _kernel(edges, nodes, True).select("path", "depth", "reach")
+    comp, dag = condensed(edges, nodes, kernel_edges)
+    if small(dag, kernel_edges) and nodes_of(dag).limit(kernel_nodes + 1).count() <= kernel_nodes:
+        weights = comp.where("path = scc").join(nodes_of(dag), "path", "left_semi").select("path", F.lit(None).cast("string"), "scc_size")
+        d = dag.select("src", "dst", F.lit(None).cast("int").alias("w")).union(weights).withColumn("one", F.lit(1))
+        ship(edges.sparkSession)
+        known = d.groupBy("one").applyInPandas(lambda pdf: _analyse(pdf, True), GRAPH).select(F.col("path").alias("scc"), "depth", "reach")
+    else:
+        known = _levels(nodes_of(dag), dag).join(reach_by_blocks(comp, dag), "scc")
+    return comp.join(written(known, "known"), "scc", "left").select("path", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("reach", F.col("scc_size").cast("long")).alias("reach"))
+
+
+def reach_counts(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, kernel_nodes: int = KERNEL_REACH_NODES) -> DataFrame:
+    """(path, reach): number of nodes reached, itself included."""
+    return _measured(edges, nodes, kernel_edges, kernel_nodes).select("path", "reach")
 
 
 def metrics(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, kernel_nodes: int = KERNEL_REACH_NODES) -> DataFrame:
     """One row: node_count, max_chain_length, max_fan_in, ccd, acd, nccd."""
-    all_nodes = nodes_of(edges) if nodes is None else nodes.select("path").union(nodes_of(edges)).distinct()
-    if small(edges, kernel_edges) and all_nodes.limit(kernel_nodes + 1).count() <= kernel_nodes:
-        d = _kernel(edges, nodes, True).select("path", "depth", "reach")
-    else:
-        d = depths(edges, nodes, kernel_edges).join(reach_counts(edges, nodes, kernel_edges, kernel_nodes), "path")
-    d = d.join(fan_in(edges), "path", "left")
-    one = d.agg(F.count(F.lit(1)).alias("node_count"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_chain_length"), F.coalesce(F.max("fan_in"), F.lit(0)).alias("max_fan_in"), F.coalesce(F.sum("reach"), F.lit(0)).alias("ccd"))
+    d = _measured(edges, nodes, kernel_edges, kernel_nodes)
+    one = d.agg(F.count(F.lit(1)).alias("node_count"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_chain_length"), F.coalesce(F.sum("reach"), F.lit(0)).alias("ccd"))
+    most = fan_in(edges).agg(F.coalesce(F.max("fan_in"), F.lit(0)).alias("max_fan_in"))
+    one = one.crossJoin(most).select("node_count", "max_chain_length", "max_fan_in", "ccd")
     acd = F.when(F.col("node_count") > 0, F.col("ccd") / F.col("node_count")).otherwise(0.0)
     return one.withColumn("acd", acd).withColumn("nccd", F.when(F.col("node_count") > 0, F.col("acd") / F.log2(F.col("node_count") + 1)).otherwise(0.0))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from compare import SF_DIR
 
-from codestrata.operators import lines
+from codestrata.operators import drift, graph, lines
 from codestrata.queries import edge_table, history_tables
 from codestrata.storage import numbered
 
@@ -42,3 +42,36 @@ def test_numbers_follow_the_order(spark):
 
 def test_edges_are_merged_in_one_aggregation(spark):
     assert edge_table(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_condensation_takes_a_large_component_as_one(spark):
+    rng = random.Random(7)
+    edges = {(f"n{rng.randrange(200):03}", f"n{rng.randrange(200):03}") for _ in range(900)} | {("a", "n000"), ("n001", "z"), ("z", "zz")}
+    e = spark.createDataFrame(sorted(x for x in edges if x[0] != x[1]), "src string, dst string").coalesce(1)
+    left, _ = graph.contracted(graph.hashed(e)[0])
+    assert left.count() < 60
+    want = {r.path: (r.scc, r.scc_size, r.depth, r.reach) for r in graph._kernel(e, None, True).collect()}
+    for kernel_edges in (0, e.count() - 1):  # levels and bitmaps, and the kernel over the condensation
+        got = graph._measured(e, None, kernel_edges, 1000)
+        assert {r.path: (r.depth, r.reach) for r in got.collect()} == {p: w[2:] for p, w in want.items()}
+    assert {r.path: (r.scc, r.scc_size) for r in graph.condensed(e, None, 100)[0].collect()} == {p: w[:2] for p, w in want.items()}
+
+
+def test_shortest_cycles_are_found_without_gathering_edges(spark):
+    rng = random.Random(5)
+    edges = sorted({(f"n{rng.randrange(60):02}", f"n{rng.randrange(60):02}") for _ in range(130)} | {("x", "y"), ("y", "x")})
+    edges = [e for e in edges if e[0] != e[1]]
+    d = spark.createDataFrame([(s, t, False) for s, t in edges], "src string, dst string, conditional boolean").coalesce(1)
+    df = drift.cycles(d)
+    assert "FlatMapGroupsInPandas" not in plan(df)
+    comp = {r.path: r.scc for r in graph.scc(d).where("scc_size > 1").collect()}
+
+    def cycle(start):  # the first of the shortest walks in the order of their paths
+        walks = [(start,)]
+        while True:
+            walks = sorted(w + (t,) for w in walks for s, t in edges if s == w[-1] and comp.get(t) == start)
+            done = [w for w in walks if w[-1] == start]
+            if done:
+                return "cycle: " + " → ".join(done[0])
+
+    assert {r.file: r.message for r in df.collect()} == {c: cycle(c) for c in set(comp.values())}
