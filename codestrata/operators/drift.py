@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from codestrata.functions.classify import component_stem, diff_area_of, dir_name
 from codestrata.operators import graph
 from codestrata.options import Extras
 from codestrata.schema import VIOLATIONS
-from codestrata.storage import ship, written
+from codestrata.storage import written
 
 
 def violation(df: DataFrame, rule: str | Column, file: str | Column, message: Column, line: Column | None = None) -> DataFrame:
@@ -34,45 +33,47 @@ def chain_length(edges: DataFrame, nodes: DataFrame | None = None, threshold: in
     return violation(deep, "Lakos.ChainLength", "path", F.format_string("include depth %d exceeds threshold %d", "depth", F.lit(threshold)))
 
 
-def _cycle(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The shortest cycle through a component's smallest member, ties by path."""
-    out: dict[str, list[str]] = {}
-    for s, d in sorted(zip(pdf.src, pdf.dst)):
-        out.setdefault(s, []).append(d)
-    start = key[0]
-    before, level, end = {}, [start], None
-    while level and end is None:
-        nxt = []
-        for v in level:
-            for w in out.get(v, ()):
-                if w == start:
-                    end = v
-                    break
-                if w not in before:
-                    before[w] = v
-                    nxt.append(w)
-            if end is not None:
-                break
-        level = nxt
-    path = [start, end] if end is not None else [start]
-    while path[-1] != start:
-        path.append(before[path[-1]])
-    return pd.DataFrame([(start, "cycle: " + " → ".join(reversed([start, *path[1:]]) if len(path) > 1 else [start, start]))], columns=["scc", "message"])
+def shortest_cycles(inner: DataFrame) -> DataFrame:
+    """(scc, message) of components by all their edges ``(scc, src, dst)``: the shortest cycle through the smallest member, ties by path.
+
+    Distances to the member are found by frontiers backwards, all components at once; then the cycle goes from it to the
+    smallest next node that is one nearer, so a component's edges never come together.
+    """
+    e = inner.select("scc", "src", "dst")
+    front = e.where("src = scc").select("scc", F.col("scc").alias("path")).distinct()
+    levels, ends, k = None, None, 0
+    while True:  # nodes that are k edges away; the member itself when its cycle closes, which ends its component
+        k += 1
+        step = e.join(front.select(F.col("path").alias("dst")), "dst").select("scc", F.col("src").alias("path")).distinct()
+        step = written((step if levels is None else step.join(levels, "path", "left_anti")).select("scc", "path", F.lit(k).alias("k")), "level")
+        if step.isEmpty():
+            break
+        levels = step if levels is None else levels.union(step)
+        closed = step.where("path = scc").select("scc", F.col("k").alias("n"))
+        ends = closed if ends is None else ends.union(closed)
+        front = step.join(closed.select("scc"), "scc", "left_anti")
+    if ends is None:
+        return inner.select("scc", F.col("scc").alias("message")).limit(0)
+    walk = written(ends.select("scc", "n", F.col("scc").alias("at"), F.array("scc").alias("walk")), "walk")
+    for k in range(1, k):
+        near = walk.where(F.col("n") > k).select("scc", F.col("at").alias("src"), (F.col("n") - k).alias("k"))
+        nxt = e.join(near, ["scc", "src"]).join(levels.select(F.col("path").alias("dst"), "k"), ["dst", "k"]).groupBy("scc").agg(F.min("dst").alias("next"))
+        walk = written(walk.join(nxt, "scc", "left").select("scc", "n", F.coalesce("next", "at").alias("at"), F.when(F.col("next").isNull(), F.col("walk")).otherwise(F.concat("walk", F.array("next"))).alias("walk")), "walk", instead_of=walk)
+    return walk.select("scc", F.concat(F.lit("cycle: "), F.array_join(F.concat("walk", F.array("scc")), " → ")).alias("message"))
 
 
 def cycles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """SF.9: components of two or more, unless all their edges are conditional or they are a header and its inline half."""
-    ship(edges.sparkSession)
     c = graph.scc(edges, nodes).where("scc_size > 1")
     c = written(c, "cyclic")
     inner = edges.select("src", "dst", "conditional").join(c.select(F.col("path").alias("src"), "scc"), "src").join(c.select(F.col("path").alias("dst"), F.col("scc").alias("other")), "dst").where("scc = other")
-    inner = written(inner.select("scc", "src", "dst", "conditional"), "inner")
+    inner = written(inner.select("scc", "src", "dst", "conditional"), "inner")  # read in every round
     two = c.where("scc_size = 2").groupBy("scc").agg(F.countDistinct(dir_name(F.col("path"))).alias("dirs"), F.countDistinct(component_stem(F.col("path"))).alias("stems"), F.bool_or(is_inline_impl(F.col("path"))).alias("inline"))
     split = two.where("dirs = 1 AND stems = 1 AND inline").select("scc")
     quiet = inner.groupBy("scc").agg(F.bool_and("conditional").alias("all")).where("all").select("scc").union(split)
+    quiet = written(quiet, "quiet")
     real = inner.join(quiet, "scc", "left_anti")
-    found = real.select("scc", "src", "dst").groupBy("scc").applyInPandas(_cycle, "scc string, message string")
-    return violation(found, "SF.9", "scc", F.col("message"))
+    return violation(shortest_cycles(real), "SF.9", "scc", F.col("message"))
 
 
 # -- two graphs ------------------------------------------------------------------------------------------------------
