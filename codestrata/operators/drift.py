@@ -127,19 +127,24 @@ def drop_renamed(grown: DataFrame, renamed: DataFrame) -> DataFrame:
 
 def bidirectional_coupling(base: DataFrame, cur: DataFrame, extras: Extras = Extras()) -> DataFrame:
     """DRIFT.3: two modules now depend on each other through different files and did not before; once a pair."""
-    now, before = graph.module_pairs(cur, extras), graph.module_pairs(base, extras)
+    # an edge's modules are its own, so each graph gets them once and the added edges keep them
+    own, old = (written(graph.with_modules(g.select(*EDGE), extras), "crossing") for g in (cur, base))
+    now, before = (written(g.select("a", "b").distinct(), "pairs") for g in (own, old))
     mutual = before.join(before.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
-    d = graph.with_modules(added_edges(base, cur), extras)
+    d = added_edges(old, own)
     d = d.join(now.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").join(mutual, ["a", "b"], "left_anti")
-    d = d.join(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst")), EDGE, "left_anti")
+    d = d.join(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), EDGE, "left_anti")
     first = d.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("src", "dst", "a", "b")).alias("e"))
     text = F.format_string("bidirectional module coupling: '%s' <-> '%s' (modules now depend on each other; was not mutual in baseline)", "e.a", "e.b")
     return violation(first, "DRIFT.3", F.col("e.src"), text)
 
 
-def lateral_dependencies(base: DataFrame, cur: DataFrame, extras: Extras = Extras(), max_added: int = 150, delta: float = 0.10) -> DataFrame:
-    """DRIFT.4: first dependency between two peer modules, graded by what the baseline says; silent after mass changes."""
-    new = written(added_edges(base, cur).select(*EDGE), "added")
+def lateral_dependencies(base: DataFrame, cur: DataFrame, extras: Extras = Extras(), max_added: int = 150, delta: float = 0.10, added: DataFrame | None = None) -> DataFrame:
+    """DRIFT.4: first dependency between two peer modules, graded by what the baseline says; silent after mass changes.
+
+    ``added``: the added edges, where a caller has them written already.
+    """
+    new = written(added_edges(base, cur).select(*EDGE), "added") if added is None else added
     if new.limit(max_added + 1).count() > max_added:
         return no_violations(base)
     pairs = graph.module_pairs(base, extras)
