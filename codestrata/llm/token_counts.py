@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from codestrata.storage import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK, KNOWN = 64, 2_000_000
+BLOCK, KNOWN, FEW = 64, 2_000_000, 256
 EDITS = "array<struct<at: long, remove: long, insert: string>>"
 COUNTS = "tokens_before long, tokens_after long, n_edits long, pretokens long, reencoded_pretokens long, updated_nodes long"
 TREE = "text string, tokens long, pretokens long, sizes binary, lengths binary, counts binary, sums binary"
@@ -71,21 +72,21 @@ def starts(code: np.ndarray, edge: np.ndarray | None = None) -> np.ndarray:
     c = classes()[code]
     first = np.zeros(n, bool)
     first[0 if edge is None else edge[edge < n]] = True
-    change = first.copy()
-    change[1:] |= c[1:] != c[:-1]
-    run = np.flatnonzero(change)  # runs of one class within a text
-    kind, end = c[run], np.r_[run[1:], n]
-    begin = change.copy()
+    begin = first.copy()
+    begin[1:] |= c[1:] != c[:-1]
+    run = begin.nonzero()[0]  # runs of one class within a text
+    kind, end = c[run], np.append(run[1:], n)
     # a run of white space gives its last character to what follows: as that run's own leading blank, or alone
-    space = np.flatnonzero(kind == SPACE)
-    last = end[space] - 1
-    followed = (end[space] < n) & ~first[np.minimum(end[space], n - 1)]
+    space = (kind == SPACE).nonzero()[0]
+    next_ = end[space]
+    last = next_ - 1
+    followed = (next_ < n) & ~first[np.minimum(next_, n - 1)]
     join = followed & (code[last] == 32)
-    many = followed & (end[space] - run[space] > 1)
+    many = followed & (last > run[space])
     begin[last[many]] = True
-    begin[end[space][join]] = False
+    begin[next_[join]] = False
     # contractions: an apostrophe that starts a pre-token, then s t m d or re ve ll
-    apostrophe = np.flatnonzero(code == 39)
+    apostrophe = (code == 39).nonzero()[0]
     if len(apostrophe):
         limit = np.append(np.flatnonzero(first), n)
         for p in apostrophe[begin[apostrophe]].tolist():
@@ -128,12 +129,18 @@ class Counter:
         p, inv = _powers(len(code))
         pre = np.zeros(len(code) + 1, np.uint64)
         np.cumsum((code.astype(np.uint64) + np.uint64(1)) * p, out=pre[1:])
-        end = np.r_[begin[1:], len(code)]
+        end = np.append(begin[1:], len(code))
         h = mix((pre[end] - pre[begin]) * inv[begin])
-        key, at, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > KNOWN:
             self.known.clear()
         known = self.known
+        if len(h) <= FEW:  # an edit's stretch: sorting costs more than it spares
+            counts = [known.get(x, -1) for x in h.tolist()]
+            for i, x in enumerate(counts):
+                if x < 0:
+                    counts[i] = known[int(h[i])] = len(self.tokenizer()._encode_single_piece(code[begin[i] : end[i]].tobytes().decode("utf-32-le", "replace")))
+            return np.array(counts, np.int64)
+        key, at, back = np.unique(h, return_index=True, return_inverse=True)
         counts = [known.get(x, -1) for x in key.tolist()]
         new = [i for i, x in enumerate(counts) if x < 0]
         if new:
@@ -175,9 +182,11 @@ class Tree:
 
     @classmethod
     def of(cls, code: np.ndarray, lengths: np.ndarray, counts: np.ndarray, sizes: np.ndarray | None = None, levels=None) -> Tree:
-        cut = np.r_[0, np.cumsum(sizes)] if sizes is not None else np.r_[np.arange(0, len(lengths), BLOCK), len(lengths)]
-        at = np.r_[0, np.cumsum(lengths)]
-        return cls([(code[at[i] : at[j]], lengths[i:j], counts[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], levels)
+        cut = [0, *accumulate(sizes.tolist())] if sizes is not None else [*range(0, len(lengths), BLOCK), len(lengths)]
+        at = np.zeros(len(lengths) + 1, np.int64)
+        lengths.cumsum(out=at[1:])
+        place = at[cut].tolist()
+        return cls([(code[p:q], lengths[i:j], counts[i:j]) for i, j, p, q in zip(cut, cut[1:], place, place[1:])], levels)
 
     @classmethod
     def load(cls, code: np.ndarray, sizes: bytes, lengths: bytes, counts: bytes, sums: bytes) -> Tree:
@@ -216,10 +225,10 @@ class Tree:
     def find(self, at: int) -> tuple[int, int]:
         """Block of the character ``at`` and its place in there; the text's end counts to the last block."""
         k = 0
-        for level in reversed(self.levels[:-1]):
+        for level in self.levels[-2::-1]:
             k *= 2
-            if k + 1 < len(level) and at >= level[k, 1]:
-                at -= int(level[k, 1])
+            if k + 1 < len(level) and at >= (left := int(level[k, 1])):
+                at -= left
                 k += 1
         return k, at
 
@@ -235,7 +244,7 @@ class Tree:
         # from two pre-tokens before the one with the character before the edit
         k, place = self.find(max(at - 1, 0))
         first = max(at - 1, 0) - place  # of block k
-        i = int(np.searchsorted(np.cumsum(self.blocks[k][1]), place, side="right"))
+        i = int(self.blocks[k][1].cumsum().searchsorted(place, side="right"))
         while i < 2 and k > 0:
             k -= 1
             i += len(self.blocks[k][1])
@@ -245,24 +254,28 @@ class Tree:
         shift = len(insert) - remove
         while True:  # look ahead, by more blocks each time, until a new boundary behind the edit is an old one
             own = self.blocks[k : last + 1]
-            old, lengths, counts = (np.concatenate([b[x] for b in own]) for x in range(3))
+            old, lengths, counts = own[0] if len(own) == 1 else (np.concatenate([b[x] for b in own]) for x in range(3))
             code = np.concatenate([old[: at - first], insert, old[at - first + remove :]])
-            begin = np.cumsum(lengths) - lengths
+            begin = lengths.cumsum() - lengths
             start = int(begin[i]) if i < len(begin) else 0
             whole = last == len(self.blocks) - 1
             new = starts(code[start:]) + start
             safe = new if whole else new[new < len(code) - 8]  # the stretch's end may cut a pre-token
-            behind = np.flatnonzero(begin >= at - first + remove)
-            hit = behind[np.isin(begin[behind] + shift, safe[safe >= at - first + len(insert)], assume_unique=True)]
+            # both are in order: the first old boundary behind the edit that is a new one too
+            behind = int(begin.searchsorted(at - first + remove))
+            moved, safe = begin[behind:] + shift, safe[safe.searchsorted(at - first + len(insert)) :]
+            place = safe.searchsorted(moved)
+            hit = (safe[np.minimum(place, len(safe) - 1)] == moved).nonzero()[0] if len(safe) else ()
             if len(hit) or whole:
                 break
             last = min(len(self.blocks) - 1, 2 * last - k + 1)
-        j = int(hit[0]) if len(hit) else len(lengths)
+        j = behind + int(hit[0]) if len(hit) else len(lengths)
         stop = int(begin[j]) + shift if len(hit) else len(code)
         new = new[new < stop]
         fresh = counter.many(code[start:stop], new - start)
-        lengths = np.r_[lengths[:i], np.diff(np.r_[new, stop]), lengths[j:]].astype(np.int64)
-        counts = np.r_[counts[:i], fresh, counts[j:]].astype(np.int64)
+        end = np.append(new[1:], stop) if len(new) else new
+        lengths = np.concatenate([lengths[:i], end - new, lengths[j:]])
+        counts = np.concatenate([counts[:i], fresh, counts[j:]])
         room = last - k + 1
         each = -(-len(lengths) // room)
         overflow = each > 2 * BLOCK
@@ -270,14 +283,16 @@ class Tree:
         self.blocks[k : last + 1] = Tree.of(code, lengths, counts, sizes, []).blocks
         if overflow:
             return len(new), self._raise()
-        touched, nodes = np.arange(k, last + 1), 0
-        self.levels[0][touched] = [(int(c.sum()), len(x)) for x, _, c in self.blocks[k : last + 1]]
-        for low, high in zip(self.levels, self.levels[1:]):
-            nodes += len(touched)
-            touched = np.unique(touched // 2)
-            right = 2 * touched + 1
-            high[touched] = low[2 * touched] + np.where((right < len(low))[:, None], low[np.minimum(right, len(low) - 1)], 0)
-        return len(new), nodes + len(touched)
+        self.levels[0][k : last + 1] = [(int(c.sum()), len(x)) for x, _, c in self.blocks[k : last + 1]]
+        low, high, nodes = k, last, last - k + 1  # touched nodes of a level lie side by side
+        for below, level in zip(self.levels, self.levels[1:]):
+            low, high = low // 2, high // 2
+            nodes += high - low + 1
+            pairs = below[2 * low : 2 * high + 2]
+            level[low : high + 1] = pairs[::2]
+            right = pairs[1::2]
+            level[low : low + len(right)] += right
+        return len(new), nodes
 
 
 def _points(text: str) -> np.ndarray:

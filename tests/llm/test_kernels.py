@@ -204,3 +204,26 @@ def test_small_edits_encode_little_again():
     tree = token_counts.Tree.of(code, np.diff(np.r_[begin, len(code)]), counter.many(code, begin))
     again, nodes = tree.edit(counter, 50_000, 3, token_counts._points("new"))
     assert again < 30 and nodes < 60
+
+
+def test_an_edit_of_a_few_words_sorts_nothing(monkeypatch):
+    from codestrata.llm import token_counts as tc
+
+    rng = random.Random(11)
+    with open(tc.VOCABULARY, "rb") as f:
+        counter = tc.Counter(f.read())
+    whole = lambda text: (code := tc._points(text), b := tc.starts(code), counter.many(code, b))
+    text = "".join(rng.choice(["word", " of", "it's", "  ", "\n", "12", "…", " é"]) for _ in range(1500))
+    code, begin, counts = whole(text)
+    tree = tc.Tree.of(code, np.diff(np.append(begin, len(code))), counts)
+    with monkeypatch.context() as m:
+        for name in ("unique", "isin"):
+            m.setattr(np, name, lambda *_, **__: pytest.fail("sorted"))
+        for k in range(200):
+            at, remove, insert = rng.randrange(len(text) + 1), rng.randrange(30), rng.choice(["", " it's", "\n  x", "77", " "])
+            tree.edit(counter, at, remove, tc._points(insert))
+            text = text[:at] + insert + text[at + remove :]
+            low, sums = tree.levels[0], np.array([(int(n.sum()), len(c)) for c, _, n in tree.blocks], np.int64)
+            assert (low == sums).all() and all((np.add.reduceat(x, np.arange(0, len(x), 2), axis=0) == y).all() for x, y in zip(tree.levels, tree.levels[1:])), k
+    code, begin, counts = whole(text)
+    assert tree.text() == text and tree.total == counts.sum() and tree.pretokens == len(begin)
