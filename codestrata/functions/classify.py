@@ -235,7 +235,8 @@ def diff_area_of(path: Column, second_level: Column) -> Column:  # G11
 
 
 def normalise_path(path: Column) -> Column:  # G13
-    return F.regexp_replace(F.translate(path, "\\", "/"), r"^(\./)+", "")
+    # most paths are normal, which two plain comparisons tell
+    return F.when(path.contains("\\") | path.startswith("./"), F.regexp_replace(F.translate(path, "\\", "/"), r"^(\./)+", "")).otherwise(path)
 
 
 def lexical_normal(path: Column) -> Column:

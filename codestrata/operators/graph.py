@@ -410,9 +410,10 @@ def scc_stats(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def with_modules(edges: DataFrame, extras: Extras = Extras()) -> DataFrame:
     """Edges between modules, with those of both ends as ``a`` and ``b``.
 
-    A module is worked out once a path, not once an edge; a written table keeps it from being worked out again in filters.
+    A module is worked out once a path, not once an edge; written tables keep it from being worked out again in filters,
+    and a filter on it from being moved before the paths are made distinct.
     """
-    m = written(nodes_of(edges).select("path", module_of(F.col("path"), extras).alias("m")).where("m <> ''"), "modules")
+    m = written(written(nodes_of(edges), "nodes").select("path", module_of(F.col("path"), extras).alias("m")), "modules").where("m <> ''")
     return edges.join(m.toDF("src", "a"), "src").join(m.toDF("dst", "b"), "dst").where("a <> b")
 
 
