@@ -98,22 +98,22 @@ def shortcut_edges(base: DataFrame, cur: DataFrame, base_nodes: DataFrame | None
     return violation(new, "DRIFT.1", "src", F.format_string("shortcut edge: %s -> %s", "src", "dst"))
 
 
-def grown_cycles(base: DataFrame, cur: DataFrame) -> DataFrame:
+def grown_cycles(base: DataFrame, cur: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """scc, members, baseline_size, current_size of components that are larger than the old one they share most with.
 
-    Ties go to the old component with the smallest first member.
+    Ties go to the old component with the smallest first member.  ``names(id, path)``: where edges are numbers.
     """
-    old = graph.scc(base).where("scc_size > 1").select("path", F.col("scc").alias("old"), F.col("scc_size").alias("old_size"))
-    new = written(graph.scc(cur).where("scc_size > 1"), "cyclic")
+    old = graph.scc(base, names=names).where("scc_size > 1").select("path", F.col("scc").alias("old"), F.col("scc_size").alias("old_size"))
+    new = written(graph.scc(cur, names=names).where("scc_size > 1"), "cyclic")
     shared = new.join(old, "path").groupBy("scc", "old", "old_size").agg(F.count(F.lit(1)).alias("n"))
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("scc").orderBy(F.desc("n"), "old"))).where("r = 1").select("scc", "old_size")
     whole = new.groupBy("scc", "scc_size").agg(F.array_sort(F.collect_list("path")).alias("members")).join(best, "scc", "left")
     return whole.select("scc", "members", F.coalesce("old_size", F.lit(0)).alias("baseline_size"), F.col("scc_size").alias("current_size")).where("baseline_size < current_size")
 
 
-def cycle_growth(base: DataFrame, cur: DataFrame) -> DataFrame:
+def cycle_growth(base: DataFrame, cur: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """DRIFT.2"""
-    g = grown_cycles(base, cur)
+    g = grown_cycles(base, cur, names)
     text = F.when(F.col("baseline_size") == 0, F.format_string("new cycle (%d members): ", "current_size")).otherwise(F.format_string("cycle grew from %d to %d members: ", "baseline_size", "current_size"))
     return violation(g, "DRIFT.2", "scc", F.concat(text, F.array_join("members", " ")))
 

@@ -8,7 +8,9 @@ and begin by contracting what a few rounds show to be connected both ways; depth
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from codestrata.storage import forget, numbered, ship, written
 
 KERNEL_EDGES = 2_000_000
 KERNEL_REACH_NODES = 20_000
+CORE_SLOTS = 1 << 27  # bits of a bitmap of nodes at most: 16 MB; a task has two of them as 128 MB each
 GRAPH = "path string, scc string, scc_size int, depth int, reach long"
 
 
@@ -230,17 +233,146 @@ def hashed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     for seed in range(8):
         number = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: E731, B023
         e = edges.where("src <> dst").select(F.struct(number("src").alias("id"), F.col("src").alias("path")).alias("s"), F.struct(number("dst").alias("id"), F.col("dst").alias("path")).alias("d"))
-        names = e.select(F.inline(F.array("s", "d"))).groupBy("id").agg(F.min("path").alias("path"), F.max("path").alias("last"))
-        names = written(names, "names")
-        if names.where("path <> last").isEmpty():
-            return written(e.select(F.col("s.id").alias("src"), F.col("d.id").alias("dst")), "hashed"), names.drop("last")
+        names = written(e.select(F.inline(F.array("s", "d"))).distinct(), "names")
+        if unique(names):
+            return written(e.select(F.col("s.id").alias("src"), F.col("d.id").alias("dst")), "hashed"), names
         forget(names)
     raise RuntimeError("no hash keeps the paths apart")
 
 
-def contracted(e: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def unique(names: DataFrame) -> bool:
+    """Whether no two rows of ``names(id, path)`` share a number."""
+    return names.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _bits(rows, slots: int) -> np.ndarray:
+    """A bitmap of ``slots`` bits as bytes, from rows (bucket, bits) of 32,768 of them each."""
+    out = np.zeros((slots // 32768, 4096), np.uint8)
+    for bucket, bits in rows:
+        out[bucket] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _flags(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, bitorder="little").view(bool)
+
+
+def _spread(batches, maps, reverse: bool):
+    """Bits new in this part of the edges: what ``seen`` reaches along edges of slots (or backwards), but for clashes."""
+    seen, clash = (_flags(m) for m in maps.value)
+    before = np.packbits(seen, bitorder="little")
+    for b in batches:
+        s, d = (b.column(i).to_numpy() for i in ((1, 0) if reverse else (0, 1)))
+        hit = d[seen[s]]
+        seen[hit[~clash[hit]]] = True
+    new = (np.packbits(seen, bitorder="little") & ~before).reshape(-1, 4096)
+    at = np.flatnonzero(new.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([new[i].tobytes() for i in at], pa.binary())], names=["bucket", "bits"])
+
+
+def _replaced(batches, core, pivot: int):
+    """Edges (src, dst, slots of both) with the core's nodes replaced by one; edges within it go."""
+    inside = _flags(core.value)
+    for b in batches:
+        s, d, i, j = (b.column(k).to_numpy() for k in range(4))
+        s, d = np.where(inside[i], pivot, s), np.where(inside[j], pivot, d)
+        keep = s != d
+        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(d[keep])], names=["src", "dst"])
+
+
+def _chosen(batches, core):
+    inside = _flags(core.value)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[inside[b.column(1).to_numpy()]])], names=["id"])
+
+
+def core_of(e: DataFrame, ids: DataFrame, seed: int, rounds: int = 30, slots: int = CORE_SLOTS) -> tuple[DataFrame, DataFrame, int] | None:
+    """One large set of nodes connected both ways as one: edges left, its ``(id)``, the node that stands for it.
+
+    Edges are neither sorted nor shuffled for it.  A node is a bit of a bitmap by its hash; nodes that share a bit with
+    another (all of ``ids`` are looked at) take no part, so every bit is one node.  From a node of many edges the bits that
+    it reaches and that reach it grow round by round over the edges where they lie, and only bitmaps travel.  What both
+    have in common is connected both ways whatever took no part and however many rounds were made, so the choice of the
+    node and the bounds change what is left to do, never the components.
+    """
+    spark = e.sparkSession
+    ship(spark)
+    context = spark.sparkContext
+    size = 32768
+    while size < 4 * ids.count() and size < slots:
+        size *= 2
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(size)).cast("int")
+    bucket = F.shiftright("slot", 15)
+    twice = ids.select(slot("id").alias("slot")).groupBy("slot").count().where("count > 1")
+    clash = _bits(twice.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767))).collect(), size)
+    # the source of most edges among some, of those that are ends too
+    some = e.limit(20_000).select("src", "dst", slot("src").alias("i")).toPandas()
+    some = some[~_flags(clash)[some.i.to_numpy()]]
+    both = some[some.src.isin(some.dst)]
+    starts = (both if len(both) else some).groupby(["src", "i"]).size().sort_values(ascending=False).index[:3]
+    pairs = e.select(slot("src").alias("i"), slot("dst").alias("j"))
+    for pivot, at in starts:
+        seen = []
+        for reverse in (False, True):
+            own = np.zeros(size // 8, np.uint8)
+            own[at >> 3] |= 1 << (at & 7)
+            for _ in range(rounds):
+                maps = context.broadcast((own, clash))
+                new = pairs.mapInArrow(lambda it, m=maps, r=reverse: _spread(it, m, r), "bucket int, bits binary").groupBy("bucket").agg(F.bitmap_or_agg("bits")).collect()
+                maps.unpersist()
+                if not new:
+                    break
+                own |= _bits(new, size)
+            seen.append(own)
+        core = seen[0] & seen[1]
+        if _flags(core).sum() < 2:
+            continue
+        sent, pivot = context.broadcast(core), int(pivot)
+        left = e.select("src", "dst", slot("src").alias("i"), slot("dst").alias("j")).mapInArrow(lambda it: _replaced(it, sent, pivot), "src long, dst long")
+        inside = ids.select("id", slot("id").alias("slot")).mapInArrow(lambda it: _chosen(it, sent), "id long")
+        return written(left.distinct(), "left"), written(inside, "core"), pivot
+    return None
+
+
+def contracted(e: DataFrame, rounds: int = 12, ids: DataFrame | None = None, large: int = KERNEL_EDGES) -> tuple[DataFrame, DataFrame]:
     """Edges of the graph in which nodes connected both ways are one, and ``(path, c)`` of nodes by what stands for them.
 
+    While there are more than ``large`` edges, a large set of such nodes is taken as one by :func:`core_of`, so that the
+    rounds here, which shuffle edges, have the rest only.  ``ids``: all nodes, where a caller has them.
+    """
+    first, cores = e, []
+    while len(cores) < 6 and not small(e, large):
+        ids = written(nodes_of(e).select(F.col("path").alias("id")), "ids") if ids is None else ids
+        got = core_of(e, ids, len(cores))
+        if got is None:
+            break
+        left, inside, pivot = got
+        cores.append((inside, pivot))
+        before, n = e.count(), left.count()
+        if e is not first:
+            forget(e)
+        e, ids = left, None  # the nodes of what is left
+        if 2 * n > before:
+            break
+    left, member = _coloured(e, rounds)
+    if not cores:
+        return left, member
+    # a core's node may be one with others since; there are as many as cores
+    stands = {r.path: r.c for r in member.where(F.col("path").isin([p for _, p in cores])).collect()}
+    for k in reversed(range(len(cores))):  # and a later core may have taken it
+        inside, pivot = cores[k]
+        for later, other in cores[k + 1 :]:
+            if pivot not in stands and other != pivot and not later.where(F.col("id") == pivot).isEmpty():
+                stands[pivot] = stands.get(other, other)
+        taken = inside.select(F.col("id").alias("path"), F.lit(stands.get(pivot, pivot)).alias("c"))
+        known = inside.select(F.col("id").alias("path"))
+        member = taken.union(member.join(known, "path", "left_anti"))
+    return left, written(member, "member")
+
+
+def _coloured(e: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`contracted` by colours.
+
     Every node takes the smallest name that reaches it, as in :func:`scc_loop`, and those of a name that reach it back
     are one with it.  Both hold of whatever a bounded number of rounds has found, so what is left is smaller and has the
     same components; a component of small diameter is whole after it.
@@ -272,10 +404,13 @@ def contracted(e: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
     return written(left.where("src <> dst").distinct(), "contracted"), member
 
 
-def condensed(edges: DataFrame, nodes: DataFrame | None, kernel_edges: int) -> tuple[DataFrame, DataFrame]:
-    """``(path, scc, scc_size)`` of all nodes, and the edges between components."""
-    e, names = hashed(edges)
-    left, member = contracted(e)
+def condensed(edges: DataFrame, nodes: DataFrame | None, kernel_edges: int, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(path, scc, scc_size)`` of all nodes, and the edges between components.
+
+    ``names(id, path)``: of all nodes, where ``edges`` are numbers already; no path of theirs is then moved with an edge.
+    """
+    e, names = hashed(edges) if names is None else (edges.select("src", "dst").where("src <> dst"), names)
+    left, member = contracted(e, ids=names.select("id"))
     forget(e)
     if small(left, kernel_edges):
         text = left.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
@@ -298,8 +433,17 @@ def condensed(edges: DataFrame, nodes: DataFrame | None, kernel_edges: int) -> t
     return written(comp, "components"), written(dag, "dag")
 
 
-def scc(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """(path, scc, scc_size) of all nodes; scc is the smallest member."""
+def scc(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, names: DataFrame | None = None) -> DataFrame:
+    """(path, scc, scc_size) of all nodes; scc is the smallest member.
+
+    ``names``: as in :func:`condensed`; edges are numbers, and every number has its one name.
+    """
+    if names is not None and small(edges, kernel_edges):
+        at = lambda c: names.select(F.col("id").alias(c), F.col("path").alias(f"{c}_path"))
+        e = edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst")
+        return _kernel(e.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")), nodes, False).select("path", "scc", "scc_size")
+    if names is not None:
+        return condensed(edges, nodes, kernel_edges, names)[0]
     if small(edges, kernel_edges):
         return _kernel(edges, nodes, False).select("path", "scc", "scc_size")
     return condensed(edges, nodes, kernel_edges)[0]
